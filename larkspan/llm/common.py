@@ -73,11 +73,11 @@ def discard(df: DataFrame) -> None:
 
 
 def words(text: Column) -> Column:
-    """Words `[^\\x20\\x09-\\x0D]+` of a text as an array, JVM-side; null text has none."""
-    plain = F.translate(F.coalesce(text, F.lit("")), BLANKS, " " * len(BLANKS))
-    return F.filter(F.split(plain, " "), lambda w: w != "")
+    """Words `[^\\x20\\x09-\\x0D]+` of a text as an array, JVM-side; null or blank text has none."""
+    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, f"[{BLANKS}]+"))
 
 
-def count_of(text: Column, characters: str) -> Column:
-    """How many of the text's code points are among the given characters."""
-    return (F.length(text) - F.length(F.translate(text, characters, ""))).cast("long")
+def count_of(text: Column, kind: str) -> Column:
+    """How many of the text's code points match a regular expression for one character."""
+    return F.regexp_count(text, F.lit(kind)).cast("long")

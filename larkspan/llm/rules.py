@@ -14,9 +14,8 @@ from pyspark.sql import functions as F
 
 from larkspan.llm.common import BLANKS, count_of, table, words
 
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 WINDOW = 5
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 class Rule(NamedTuple):
@@ -37,20 +36,19 @@ def measured(docs: DataFrame) -> DataFrame:
     text = F.col("_text")
     out = docs.withColumn("_text", F.coalesce(F.col("text"), F.lit("")))
     out = out.withColumn("_words", words(text))
-    out = out.withColumn("_lines", F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, BLANKS, "")) > 0))
-    out = out.withColumn("_wh", F.transform("_words", lambda w: F.xxhash64(w)))
+    out = out.withColumn("_lines", F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(f"[^{BLANKS}]"))))
     out = out.withColumn("n_words", F.size("_words").cast("long"))
-    shifts = range(WINDOW)
+    out = out.withColumn("_wh", F.transform("_words", lambda w: F.xxhash64(w)))
     hashed = F.transform(
         F.slice("_wh", F.lit(1), F.greatest(F.col("n_words") - (WINDOW - 1), F.lit(0)).cast("int")),
-        lambda h, i: F.xxhash64(*[F.get(F.col("_wh"), i + k) for k in shifts]),
+        lambda h, i: F.xxhash64(h, *[F.get(F.col("_wh"), i + k) for k in range(1, WINDOW)]),
     )
     out = out.withColumn("_win", hashed)
     twice = F.size(F.array_distinct("_win")) < F.size("_win")
-    out = out.withColumn("_sorted", F.when(twice, F.array_sort(F.transform("_win", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    out = out.withColumn("_sorted", F.when(twice, F.sort_array(F.transform("_win", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     near = lambda i, d: F.get(F.col("_sorted"), i + d)["h"]
     places = F.filter("_sorted", lambda x, i: (F.coalesce(near(i, -1) == x["h"], F.lit(False))) | (F.coalesce(near(i, 1) == x["h"], F.lit(False))))
-    out = out.withColumn("_places", F.array_sort(F.transform(places, lambda x: x["i"])))
+    out = out.withColumn("_places", F.sort_array(F.transform(places, lambda x: x["i"])))
     covered = F.aggregate(
         "_places",
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(-WINDOW).alias("last")),
@@ -59,7 +57,7 @@ def measured(docs: DataFrame) -> DataFrame:
     )
     out = out.withColumns(
         {
-            "word_chars": F.length(F.translate(text, BLANKS, "")).cast("long"),
+            "word_chars": F.length(text) - count_of(text, f"[{BLANKS}]"),
             "n_symbols": count_of(text, SYMBOLS),
             "n_lines": F.size("_lines").cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
@@ -78,9 +76,9 @@ def default_rules() -> list[Rule]:
         Rule("repeated_lines", 10 * F.col("n_dup_lines") > 3 * F.col("n_lines"), F.lit(1.0)),
         Rule("word_length", (letters < 2 * n) | (letters > 25 * n), F.lit(2.0)),
         Rule("exclamations", 10 * per_word("!") > 3 * n, chars.cast("double")),
-        Rule("capitals", 10 * per_word(UPPER) > 4 * letters, 1.5 * chars),
-        Rule("digits", 10 * per_word("0123456789") > 3 * letters, 1.2 * chars),
-        Rule("brackets", 10 * per_word("{}[]\\~^_=") > n, 1.2 * chars),
+        Rule("capitals", 10 * per_word("[A-Z]") > 4 * letters, 1.5 * chars),
+        Rule("digits", 10 * per_word("[0-9]") > 3 * letters, 1.2 * chars),
+        Rule("brackets", 10 * per_word(r"[{}\[\]\\~^_=]") > n, 1.2 * chars),
     ]
 
 
