@@ -130,17 +130,29 @@ def _bare(value: str | None) -> str | None:
     return value.strip("<>") if value else None
 
 
-PIECES = "origin string, number int, total long, type string, url string, refers string, digest string, size long, content binary"
+PIECES = "origin string, number int, total long, type string, url string, refers string, digest string, size long, content binary, bytes long, sha1 string, intact boolean"
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
+def decoded(content: bytes, digest: str | None) -> tuple[bytes | None, int | None, str | None, bool]:
+    """(payload, its bytes, its SHA-1, whether framing and digest are right) of a whole response."""
+    head, _, rest = content.partition(b"\r\n\r\n")
+    try:
+        payload = dechunked(rest) if re.search(rb"(?im)^transfer-encoding:\s*chunked\s*$", head.replace(b"\r", b"")) else rest
+    except ValueError:
+        return None, None, None, False
+    own = hashlib.sha1(payload).hexdigest()
+    return payload, len(payload), own, digest is None or own == digest
+
+
+def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """One row a record that isn't a continuation: record_id, type, url, refers_to, payload_digest,
     payload_bytes, payload (binary; null for revisits and damaged records) and intact.
 
     Continuations are grouped with their origin by its id, ordered by segment number, joined, and held
     against the total length; then the transfer framing is decoded and the digest compared. A record with
     a missing, doubled or odd segment, wrong length, framing or digest has intact = false. One record's
-    segments are gathered in a task, never those of several.
+    segments are gathered in a task, never those of several. Without payloads a response in one piece is
+    decoded where it is read, and only its length and digest move.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -153,15 +165,21 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                     own = _bare(h.get("warc-segment-origin-id")) or _bare(h["warc-record-id"])
                     total = h.get("warc-segment-total-length")
                     size = h.get("x-payload-length")
-                    out.append((own, int(h.get("warc-segment-number", 0)), int(total) if total else None, h["warc-type"], h.get("warc-target-uri"), _bare(h.get("warc-refers-to")), (h.get("warc-payload-digest") or "").removeprefix("sha1:") or None, int(size) if size else None, content))
-                yield pd.DataFrame(out, columns=[c.split()[0] for c in PIECES.split(", ")]).astype({"number": "int32", "total": "Int64", "size": "Int64"})
+                    digest = (h.get("warc-payload-digest") or "").removeprefix("sha1:") or None
+                    number = int(h.get("warc-segment-number", 0))
+                    done = (None, None, None)
+                    if not payloads and not number and h["warc-type"] == "response":
+                        _, *done = decoded(content, digest)
+                        content = None
+                    out.append((own, number, int(total) if total else None, h["warc-type"], h.get("warc-target-uri"), _bare(h.get("warc-refers-to")), digest, int(size) if size else None, content, *done))
+                yield pd.DataFrame(out, columns=[c.split()[0] for c in PIECES.split(", ")]).astype({"number": "int32", "total": "Int64", "size": "Int64", "bytes": "Int64", "intact": "boolean"})
 
     pieces = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, PIECES)
     head = lambda c: F.max(F.when(F.col("type") != "continuation", F.col(c)))
     whole = pieces.groupBy("origin").agg(
         F.sort_array(F.collect_list(F.struct("number", "content"))).alias("parts"),
         F.max("total").alias("total"),
-        *[head(c).alias(c) for c in ("url", "refers", "digest", "size")],
+        *[head(c).alias(c) for c in ("url", "refers", "digest", "size", "bytes", "sha1", "intact")],
         F.max(F.when(F.col("type") != "continuation", F.col("type"))).alias("type"),
     )
     numbers = F.transform("parts", lambda p: p["number"])
@@ -175,16 +193,13 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for kind, digest, content in zip(b["type"], b["digest"], b["content"], strict=True):
-                payload, intact = None, kind == "revisit"
+            for kind, digest, content, n, sha1, intact in zip(b["type"], b["digest"], b["content"], b["bytes"], b["sha1"], b["intact"], strict=True):
                 if content is not None:
-                    try:
-                        head, _, rest = content.partition(b"\r\n\r\n")
-                        payload = dechunked(rest) if re.search(rb"(?im)^transfer-encoding:\s*chunked\s*$", head.replace(b"\r", b"")) else rest
-                        intact = digest is None or hashlib.sha1(payload).hexdigest() == digest
-                    except ValueError:
-                        payload = None
-                out.append((payload, len(payload) if payload is not None else None, hashlib.sha1(payload).hexdigest() if payload is not None else None, intact))
+                    out.append(decoded(content, digest))
+                elif sha1 is not None or kind == "revisit":
+                    out.append((None, None if sha1 is None else int(n), sha1, kind == "revisit" or bool(intact)))
+                else:
+                    out.append((None, None, None, False))
             got = pd.DataFrame(out, columns=["payload", "bytes", "sha1", "intact"])
             revisit = (b["type"] == "revisit").to_numpy()
             yield pd.DataFrame(
@@ -201,7 +216,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path)
-    back = read_archives(spark, path).drop("payload")
+    back = read_archives(spark, path, payloads=False).drop("payload")
     page = lambda c: F.expr(f"try_cast(split_part({c}, ':', 3) AS BIGINT)")
     return back.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), page("refers_to").alias("refers_to"))
 
