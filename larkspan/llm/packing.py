@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -20,6 +22,9 @@ END_ID = 2
 UNIT = 16
 SALTS = 64
 VOCABULARY = "word_bpe_49k.json"
+_PLAIN = re.compile("[!-~\u00c0-\u00ff]+")
+#: The tokenizer's pattern for pieces, over these characters in lower case.
+_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 
 
 def tokenizer_path() -> str:
@@ -28,19 +33,93 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+class WordIds:
+    """A tokenizer's ids by white-space word. Its vocabulary drops white space and never joins characters
+    across it, so a text's ids are those of its words one after the other. Ids of words that were met are
+    kept, up to `most` words, and those of pieces of words likewise.
+
+    A new word of printable ASCII and the letters U+00C0 to U+00FF is cut here into the pieces of the
+    tokenizer's own pattern, of which most were met before, and new pieces go to its merge model; no
+    normal form but lower case applies to these characters. Any other word goes through the tokenizer.
+    """
+
+    def __init__(self, path: str, most: int = 500_000) -> None:
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(path)
+        self.tok.encode_special_tokens = True
+        self.model = self.tok.model
+        self.most = most
+        shown = [c for c in range(256) if 33 <= c <= 126 or 161 <= c <= 172 or c >= 174]  # bytes that stand for themselves
+        self.letters = {c: chr(c) for c in shown} | {c: chr(256 + i) for i, c in enumerate(c for c in range(256) if c not in shown)}
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[bytes, int] = {}
+        if len(getattr(self, "pieces", ())) < self.most:
+            self.pieces: dict[str, list[int]] = getattr(self, "pieces", {})
+        else:
+            self.pieces = {}
+        self.ids, self.start, self.count = np.empty(1 << 16, "<u4"), np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+        self.used = 0
+
+    def _piece(self, piece: str) -> list[int]:
+        shown = piece if piece.isascii() else "".join(self.letters[c] for c in piece.encode())
+        got = self.pieces[piece] = [t.id for t in self.model.tokenize(shown)]
+        return got
+
+    def _encode(self, word: bytes) -> list[int]:
+        text = word.decode("utf-8", "replace")
+        if not _PLAIN.fullmatch(text):
+            return self.tok.encode(text, add_special_tokens=False).ids
+        out: list[int] = []
+        for piece in _PIECE.findall(text.lower()):
+            out += self.pieces.get(piece) or self._piece(piece)
+        return out
+
+    def _learn(self, words: list[bytes]) -> None:
+        got = list(map(self._encode, words))
+        flat, count = list(chain.from_iterable(got)), np.fromiter(map(len, got), np.int64, len(got))
+        n, m = len(self.known), len(words)
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.empty_like(self.ids)))
+        while n + m > len(self.start):
+            self.start, self.count = (np.concatenate((x, np.empty_like(x))) for x in (self.start, self.count))
+        self.known.update(zip(words, range(n, n + m), strict=True))
+        self.count[n : n + m] = count
+        self.start[n : n + m] = self.used + np.cumsum(count) - count
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+
+    def of(self, text: str) -> np.ndarray:
+        raw = text.encode()
+        words = (raw.lower() if raw.isascii() else raw).split()
+        if not words:
+            return np.empty(0, "<u4")
+        if new := [w for w in dict.fromkeys(words) if w not in self.known]:
+            if len(self.known) + len(new) > self.most:
+                self.clear()
+                new = list(dict.fromkeys(words))
+            self._learn(new)
+        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        count = self.count[at]
+        ends = np.cumsum(count)
+        return self.ids[np.repeat(self.start[at] - (ends - count), count) + np.arange(ends[-1])]
+
+
+_shared: dict[str, WordIds] = {}
+
+
 def pieces(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
     """doc_id, row (one number a row of docs), start, length, ids_crc32, doc_tokens: each document's ids, and
     end_id after them, cut into pieces of `length` and a rest. A null text has the end_id alone."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True
+        tok = _shared.get(path) or _shared.setdefault(path, WordIds(path))
         for b in batches:
             out = []
             for doc, row, text in zip(b["doc_id"], b["row"], b["text"], strict=True):
-                ids = np.array([*tok.encode(text or "", add_special_tokens=False).ids, end_id], "<u4")
+                ids = np.append(tok.of(text or ""), np.array([end_id], "<u4"))
                 out += [(doc, row, at, min(length, len(ids) - at), zlib.crc32(ids[at : at + length].tobytes()), len(ids)) for at in range(0, len(ids), length)]
             yield pd.DataFrame(out, columns=["doc_id", "row", "start", "length", "ids_crc32", "doc_tokens"]).astype({"doc_id": "Int64"})
 
