@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,10 +16,22 @@ BLANKS = " \t\n\x0b\x0c\r"
 
 _fallback: dict[str, str] = {}
 _roots: set[str] = set()
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the executors' Python this package, once an application; they may not have it on their path."""
+    key = spark.sparkContext.applicationId
+    if key not in _shipped:
+        _shipped.add(key)
+        d = tempfile.mkdtemp(prefix="larkspan-ship-")  # the driver serves the file from here
+        atexit.register(shutil.rmtree, d, ignore_errors=True)
+        spark.sparkContext.addPyFile(shutil.make_archive(f"{d}/larkspan-package", "zip", Path(__file__).resolve().parents[2], "larkspan"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; a file or a folder of part files, on any store that Spark reads."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
