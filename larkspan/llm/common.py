@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import shutil
 import tempfile
 import uuid
 from pathlib import Path
@@ -16,17 +15,13 @@ BLANKS = " \t\n\x0b\x0c\r"
 
 _fallback: dict[str, str] = {}
 _roots: set[str] = set()
-_shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Gives the executors' Python this package, once an application; they may not have it on their path."""
-    key = spark.sparkContext.applicationId
-    if key not in _shipped:
-        _shipped.add(key)
-        d = tempfile.mkdtemp(prefix="larkspan-ship-")  # the driver serves the file from here
-        atexit.register(shutil.rmtree, d, ignore_errors=True)
-        spark.sparkContext.addPyFile(shutil.make_archive(f"{d}/larkspan-package", "zip", Path(__file__).resolve().parents[2], "larkspan"))
+    """Puts this package's folder on the path of Python workers that see it and don't have it there yet."""
+    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    if root not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = ":".join(filter(None, [env.get("PYTHONPATH", ""), root]))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

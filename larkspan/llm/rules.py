@@ -64,7 +64,8 @@ def measured(docs: DataFrame) -> DataFrame:
             "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
         }
     )
-    return out.drop("_words", "_lines", "_wh", "_win", "_sorted", "_places")
+    # a filter on the measures must not be pushed below them: it would repeat all of the above in its condition
+    return out.withColumn("_sealed", F.monotonically_increasing_id()).drop("_words", "_lines", "_wh", "_win", "_sorted", "_places")
 
 
 def default_rules() -> list[Rule]:
@@ -114,13 +115,13 @@ def quality_rules(docs: DataFrame, rules: Sequence[Rule] | None = None, sample_r
     """
     rows = measured(docs)
     rules = ordered(rows, list(rules or default_rules()), sample_rows)
-    base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    base = (F.col("_sealed") >= 0) & ((F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     hit = F.when(F.lit(False), F.lit(""))
     for rule in rules:
         hit = hit.when(rule.rejects, F.lit(rule.name))
     out = rows.withColumn("base_failed", base)
     out = out.withColumn("failed_rule", F.when(F.col("base_failed"), F.lit("base")).otherwise(hit))
-    return out.withColumn("kept", F.col("failed_rule").isNull()).drop("_text")
+    return out.withColumn("kept", F.col("failed_rule").isNull()).drop("_text", "_sealed")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
