@@ -24,7 +24,7 @@ _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
 #: Words that are turned into n-grams at once.
-CHUNK = 1 << 19
+CHUNK = 1 << 17
 #: (of words or shapes, words in an n-gram).
 FAMILIES = (("word", 1), ("word", 2), ("shape", 1), ("shape", 2), ("shape", 3))
 
@@ -102,12 +102,6 @@ def train(texts: list[bytes | None], labels: np.ndarray, alpha: float = 0.2, bet
     No rows give a model that scores 0.5 everywhere."""
     size = (1 << BITS) + 1
     z, n = np.zeros(size), np.zeros(size)
-    rows = []
-    for some in chunks(texts):
-        place, slot, value = vectors(some)
-        order = np.argsort(place, kind="stable")
-        cuts = np.searchsorted(place[order], np.arange(1, len(some)))
-        rows += [(np.append(i, size - 1), np.append(v, 1.0)) for i, v in zip(np.split(slot[order], cuts), np.split(value[order], cuts), strict=True)]
     share = np.clip(np.mean(labels) if len(labels) else 0.5, 0.05, 0.95)
     weigh = {1: 0.5 / share, 0: 0.5 / (1 - share)}
 
@@ -116,13 +110,21 @@ def train(texts: list[bytes | None], labels: np.ndarray, alpha: float = 0.2, bet
         return np.where(np.abs(zz) <= l1, 0.0, -(zz - np.sign(zz) * l1) / ((beta + np.sqrt(n[at])) / alpha + l2))
 
     for _ in range(epochs):
-        for (at, x), y in zip(rows, labels.tolist(), strict=True):
-            w = solved(at)
-            p = 1 / (1 + np.exp(-np.clip(w @ x, -35, 35)))
-            g = weigh[y] * (p - y) * x
-            step = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / alpha
-            z[at] += g - step * w
-            n[at] += g * g
+        done = 0
+        for some in chunks(texts):  # inputs are made anew each epoch; kept, they would be 40 times the weights
+            place, slot, value = vectors(some)
+            order = np.argsort(place, kind="stable")
+            slot, value = slot[order], value[order]
+            cuts = np.searchsorted(place[order], np.arange(len(some) + 1)).tolist()
+            for k, y in enumerate(labels[done : done + len(some)].tolist()):
+                at, x = np.append(slot[cuts[k] : cuts[k + 1]], size - 1), np.append(value[cuts[k] : cuts[k + 1]], 1.0)
+                w = solved(at)
+                p = 1 / (1 + np.exp(-np.clip(w @ x, -35, 35)))
+                g = weigh[y] * (p - y) * x
+                step = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / alpha
+                z[at] += g - step * w
+                n[at] += g * g
+            done += len(some)
     return Model(solved(slice(None)).astype(np.float32))
 
 
