@@ -43,7 +43,7 @@ class WordIds:
     normal form but lower case applies to these characters. Any other word goes through the tokenizer.
     """
 
-    def __init__(self, path: str, most: int = 500_000) -> None:
+    def __init__(self, path: str, most: int = 300_000) -> None:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
