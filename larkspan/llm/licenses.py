@@ -43,6 +43,7 @@ TAG = "spdx-license-identifier:"
 SCORES = {"tag": 1.0, "phrase": 0.9, "notice": 0.7}
 #: Bytes that part words: everything below 0x80 but digits and lower-case letters, after A-Z became a-z.
 _TO_WORDS = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
+_KNOWN = re.compile("|".join(map(re.escape, FAMILIES)))
 _POWER = {"or": 1, "and": 2, "with": 3}
 
 
@@ -141,7 +142,7 @@ def _tag_expression(line: str) -> str | None:
                 break
             open_ -= 1
         else:
-            if not operand:
+            if not operand or not (_KNOWN.match(t) or re.search(r"[0-9-]", t)):  # a word of prose
                 break
             operand = False
         parts.append(t)
