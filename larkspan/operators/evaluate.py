@@ -71,6 +71,33 @@ def threshold_at(values: DataFrame, percent: float) -> DataFrame:
     return rows.where(F.col("_r") == F.greatest(F.floor((F.col("_n") - 1) * percent / 100), F.col("_z"))).select(F.col("best").alias("threshold"))
 
 
+def score_cutoffs(rows: DataFrame, by: str, n: int) -> DataFrame:
+    """by, cutoff: for each group the lowest score that at most n rows reach; no row where none does."""
+    h = rows.groupBy(by, "score").agg(F.count("*").alias("_n"))
+    run = F.sum("_n").over(W.partitionBy(by).orderBy(F.col("score").desc()).rowsBetween(W.unboundedPreceding, 0))
+    return h.withColumn("_run", run).where(F.col("_run") <= n).groupBy(by).agg(F.min("score").alias("cutoff"))
+
+
+def second_stage_roc(rows: DataFrame, by: str, missed: DataFrame, seconds: float) -> DataFrame:
+    """by, score, fps, tpr from survivors of a first stage (by, score, positive) and missed (by, missed): at
+    each positive's score the false positives a second and the found share of all truths, first-stage
+    misses among them."""
+    h = rows.groupBy(by, "score").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("q"))
+    down = W.partitionBy(by).orderBy(F.col("score").desc()).rowsBetween(W.unboundedPreceding, 0)
+    out = h.select(by, "score", "p", F.sum("q").over(down).alias("_q"), F.sum("p").over(down).alias("_p"), F.sum("p").over(W.partitionBy(by)).alias("_all"))
+    out = out.where("p > 0").join(missed.select(by, "missed"), by, "left")
+    return out.select(by, "score", (F.col("_q") / F.lit(seconds)).alias("fps"), (F.col("_p") / (F.col("_all") + F.coalesce("missed", F.lit(0)))).alias("tpr"))
+
+
+def response_density(rows: DataFrame, by: str, grid: DataFrame, width: float) -> DataFrame:
+    """by, at, density: a normal kernel's density of value at each point of grid (at), which the caller keeps
+    small. Equal values are counted before they meet the grid."""
+    h = rows.groupBy(by, "value").agg(F.count("*").alias("n"))
+    z = (F.col("at") - F.col("value")) / F.lit(width)
+    mass = F.sum(F.col("n") * F.exp(-0.5 * z * z)) / F.sum("n")
+    return h.join(F.broadcast(grid), F.lit(True), "inner").groupBy(by, "at").agg((mass / F.lit(width) / F.sqrt(F.lit(2.0) * F.pi())).alias("density"))
+
+
 def hardest(rows: DataFrame, by: str, n: int, *ties: str) -> DataFrame:
     """The n highest-scoring rows of each group."""
     w = W.partitionBy(by).orderBy(F.col("score").desc(), *ties)

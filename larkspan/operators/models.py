@@ -126,6 +126,103 @@ def gaussian_mixture(examples: DataFrame, k: int, rounds: int = 20, least: float
     return params
 
 
+def shift_mixture(examples: DataFrame, k: int, width: int, rounds: int = 15, least: float = 1e-3) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[float]]:
+    """(weights, means, variances, log likelihoods) of k diagonal normals over `width` values that lie at an
+    unknown shift in each example (ex, x): component and shift are hidden, shifts are equally likely.
+
+    Starts from component ex mod k at shift 0. A round is one job that brings back k rows a partition."""
+    params, seen = None, []
+    for _ in range(rounds):
+        state = examples.sparkSession.sparkContext.broadcast(params)
+
+        def stats(batches: Iterator[pd.DataFrame], state=state) -> Iterator[pd.DataFrame]:
+            total, one, two, ll = np.zeros(k), np.zeros((k, width)), np.zeros((k, width)), 0.0
+            for b in batches:
+                if not len(b):
+                    continue
+                x = np.stack(b["x"].to_numpy()).astype(float)
+                win = np.lib.stride_tricks.sliding_window_view(x, width, axis=1)  # example, shift, place
+                if state.value is None:
+                    a = np.zeros((*win.shape[:2], k))
+                    a[np.arange(len(x)), 0, b["ex"].to_numpy() % k] = 1
+                else:
+                    w, m, v = state.value
+                    square = win**2 @ (1 / v).T - 2 * win @ (m / v).T + (m**2 / v).sum(axis=1)
+                    z = np.log(w / win.shape[1]) - 0.5 * (np.log(2 * np.pi * v).sum(axis=1) + square)
+                    top = z.max(axis=(1, 2), keepdims=True)
+                    a = np.exp(z - top)
+                    norm = a.sum(axis=(1, 2), keepdims=True)
+                    a /= norm
+                    ll += float((top + np.log(norm)).sum())
+                total += a.sum(axis=(0, 1))
+                one += np.tensordot(a, win, axes=((0, 1), (0, 1)))
+                two += np.tensordot(a, win**2, axes=((0, 1), (0, 1)))
+            yield pd.DataFrame({"comp": range(k), "n": total, "a": list(one), "b": list(two), "ll": [ll, *[0.0] * (k - 1)]})
+
+        got = examples.select("ex", "x").mapInPandas(stats, "comp int, n double, a array<double>, b array<double>, ll double").toPandas()
+        n = np.maximum(got.groupby("comp")["n"].sum().to_numpy(), 1e-12)
+        one, two = (np.stack([np.sum(np.stack(g.to_numpy()), axis=0) for _, g in got.groupby("comp")[c]]) for c in "ab")
+        if params is not None:
+            seen.append(float(got["ll"].sum()))
+        mean = one / n[:, None]
+        params = n / n.sum(), mean, np.maximum(two / n[:, None] - mean**2, least)
+        state.unpersist()
+    return *params, seen
+
+
+def placed_mixture(examples: DataFrame, k: int, starts: int, shortest: int, lengths: int, background: np.ndarray, rounds: int = 10, clip: float = 0.01) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """(weights by model and length, templates by model, frame and feature, log likelihoods) of Bernoulli
+    templates that begin at one of `starts` frames and last shortest to shortest + lengths - 1 frames.
+
+    Examples (ex, x) hold frames times features 0/1 values, row by row. Frames outside the object follow the
+    background, so a placement is weighed by its frames' log ratios, running sums of which give all lengths
+    at once. Model, start and length are hidden, starts equally likely. Begins with model ex mod k at the
+    middle start, longest; a round is one job that brings back k rows a partition."""
+    dims, longest = len(background), shortest + lengths - 1
+    odds, none = np.log(background / (1 - background)), np.log(1 - background).sum()
+    weights, templates, seen = None, None, []
+    for _ in range(rounds):
+        state = examples.sparkSession.sparkContext.broadcast((weights, templates))
+
+        def stats(batches: Iterator[pd.DataFrame], state=state) -> Iterator[pd.DataFrame]:
+            weights, templates = state.value
+            used, sums, seen_at, ll = np.zeros((k, lengths)), np.zeros((k, longest, dims)), np.zeros((k, longest)), 0.0
+            for b in batches:
+                if not len(b):
+                    continue
+                x = np.stack(b["x"].to_numpy()).astype(float).reshape(len(b), -1, dims)
+                a = np.zeros((len(x), k, starts, lengths))
+                if templates is None:
+                    a[np.arange(len(x)), b["ex"].to_numpy() % k, starts // 2, -1] = 1
+                else:
+                    back = x @ odds + none
+                    w, c = np.log(templates / (1 - templates)), np.log(1 - templates).sum(axis=2)
+                    for s in range(starts):
+                        ratio = np.einsum("nlf,klf->nkl", x[:, s : s + longest], w) + c - back[:, None, s : s + longest]
+                        a[:, :, s] = np.cumsum(ratio, axis=2)[:, :, shortest - 1 :] + np.log(weights / starts)
+                    top = a.max(axis=(1, 2, 3), keepdims=True)
+                    a = np.exp(a - top)
+                    norm = a.sum(axis=(1, 2, 3), keepdims=True)
+                    a /= norm
+                    ll += float((top + np.log(norm)).sum() + back.sum())
+                used += a.sum(axis=(0, 2))
+                for s in range(starts):
+                    mass = np.repeat(a[:, :, s].sum(axis=2, keepdims=True), longest, axis=2)  # of placements that hold a frame
+                    mass[:, :, shortest:] = np.cumsum(a[:, :, s, ::-1], axis=2)[:, :, ::-1][:, :, 1:]
+                    sums += np.einsum("nkl,nlf->klf", mass, x[:, s : s + longest])
+                    seen_at += mass.sum(axis=0)
+            yield pd.DataFrame({"comp": range(k), "n": list(used), "s": list(sums.reshape(k, -1)), "m": list(seen_at), "ll": [ll, *[0.0] * (k - 1)]})
+
+        got = examples.select("ex", "x").mapInPandas(stats, "comp int, n array<double>, s array<double>, m array<double>, ll double").toPandas()
+        n, s, m = (np.stack([np.sum(np.stack(g.to_numpy()), axis=0) for _, g in got.groupby("comp")[c]]) for c in "nsm")
+        if templates is not None:
+            seen.append(float(got["ll"].sum()))
+        weights = np.full((k, lengths), 1 / (k * lengths)) if templates is None else np.maximum(n / n.sum(), 1e-12)
+        templates = np.clip(s.reshape(k, longest, dims) / np.maximum(m, 1e-12)[:, :, None], clip, 1 - clip)
+        state.unpersist()
+    return weights, templates, seen
+
+
 def length_clusters(lengths: DataFrame, k: int, rounds: int = 20) -> list[float]:
     """Centres of 1-D k-means over a histogram of lengths (len, n), from quantiles, equal centres merged.
     The histogram is one row a distinct length and is what comes to the driver."""

@@ -165,6 +165,20 @@ def cluster_c0(detections: DataFrame, gap: int) -> DataFrame:
     return out.groupBy("utt", "cid").agg(F.min("frame").alias("c_start"), (F.max("frame") + 1).alias("c_end"), F.count("*").alias("n"))
 
 
+def cluster_own_length(detections: DataFrame) -> DataFrame:
+    """As cluster_c0() over detections (utt, frame, len), the gap being the length of the detection before."""
+    gap = F.col("frame") - F.lag("frame").over(by_frame()) >= F.lag("len").over(by_frame())
+    out = detections.withColumn("_new", F.coalesce(gap.cast("int"), F.lit(0))).withColumn("cid", F.sum("_new").over(by_frame()))
+    return out.groupBy("utt", "cid").agg(F.min("frame").alias("c_start"), (F.max("frame") + 1).alias("c_end"), F.count("*").alias("n"))
+
+
+def slices(intervals: DataFrame, frames: DataFrame, pad: float) -> DataFrame:
+    """utt, start, dt, value: the frames of each interval [start, end), with pad where the utterance has none."""
+    cells = intervals.where("end > start").select("utt", "start", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("frame"))
+    out = cells.join(frames.select("utt", "frame", "value"), ["utt", "frame"], "left")
+    return out.select("utt", "start", (F.col("frame") - F.col("start")).alias("dt"), F.coalesce("value", F.lit(pad)).alias("value"))
+
+
 def classify_windows(segments: DataFrame) -> DataFrame:
     """w_start, w_end: a third of the segment's length to either side of its start, cut at the utterance's ends."""
     third = F.floor((F.col("end_frame") - F.col("start_frame")) / 3)

@@ -114,6 +114,29 @@ def neighbour_parts(parts: DataFrame, graph: DataFrame) -> DataFrame:
     return parts.unionByName(parts.join(graph, "part").drop("part").withColumnRenamed("neighbour", "part")).distinct()
 
 
+def two_part_templates(template: DataFrame, background: DataFrame, length: int, part: int) -> DataFrame:
+    """comp, dt, feat, p: all deformations of a template (dt, feat, p) of `length` frames by its first and last
+    `part` frames. In deformation comp the back begins at frame comp of 2 part frames, comp < part; where
+    both lie the mean counts, where neither does the background (feat, p)."""
+    front = template.where(F.col("dt") < part).select(F.explode(F.sequence(F.lit(0), F.lit(part - 1))).alias("comp"), F.col("dt").cast("int").alias("dt"), "feat", "p")
+    back = template.where(F.col("dt") >= length - part).select(F.explode(F.sequence(F.lit(0), F.lit(part - 1))).alias("comp"), (F.col("dt") - (length - part)).cast("int").alias("dt"), "feat", "p")
+    laid = front.unionByName(back.withColumn("dt", F.col("dt") + F.col("comp"))).groupBy("comp", "dt", "feat").agg(F.avg("p").alias("p"))
+    grid = background.select("feat", F.col("p").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(part - 1))).alias("comp")).withColumn("dt", F.explode(F.sequence(F.lit(0), F.lit(2 * part - 1))))
+    return grid.join(laid, ["comp", "dt", "feat"], "left").select("comp", "dt", "feat", F.coalesce("p", "b").alias("p"))
+
+
+def retrained(bits: DataFrame, pairs: DataFrame, key: str, p: float = 0.01) -> DataFrame:
+    """label, feat, w, c0: each class's mean over its own examples against the mean over those wrongly given to
+    it. bits (key, feat, x), pairs (key, pred, truth); .5 stands in for a mean that has no example."""
+    own = pairs.select(key, F.col("truth").alias("label"), F.lit(1).alias("side"))
+    wrong = pairs.where("pred <> truth").select(key, F.col("pred").alias("label"), F.lit(0).alias("side"))
+    x = lambda side: clip(F.avg(F.when(F.col("side") == side, F.col("x"))), p, 1 - p)
+    means = bits.select(key, "feat", "x").join(own.unionByName(wrong), key).groupBy("label", "feat")
+    both = means.agg(F.count_if(F.col("side") == 1).alias("n1"), F.count_if(F.col("side") == 0).alias("n0"), x(1).alias("m1"), x(0).alias("m0"))
+    a, b = (F.when(F.col(n) > 0, F.col(m)).otherwise(0.5) for n, m in (("n1", "m1"), ("n0", "m0")))
+    return both.select("label", "feat", F.ln((a / b) / ((1 - a) / (1 - b))).alias("w"), F.ln((1 - a) / (1 - b)).alias("c0"))
+
+
 def negative_from_positive(p: Column, w: Column) -> Column:
     """Probabilities of the negative template that a linear filter w and the positive p imply."""
     return 1 / (1 + (1 / p - 1) * F.exp(w))

@@ -32,7 +32,12 @@ JUDGED = "j AS (SELECT n_chars::DOUBLE AS score, quality = 1 AS positive FROM do
 ROC = JUDGED + """, h AS (SELECT score, count(*) FILTER (WHERE positive) AS p, count(*) FILTER (WHERE NOT positive) AS q FROM j GROUP BY score),
 roc AS (SELECT score, p, sum(q) OVER (ORDER BY score DESC)::DOUBLE / (SELECT sum(q) FROM h)::DOUBLE AS fpr, sum(p) OVER (ORDER BY score DESC)::DOUBLE / (SELECT sum(p) FROM h)::DOUBLE AS tpr FROM h),
 rc AS (SELECT score, fpr, tpr FROM roc WHERE p > 0)"""
-PER_TRUTH = ", ".join([FRAMES, NB, PK0, TR]) + ", mp AS (SELECT t.utt, t.t_start, max(pk.value) AS best FROM t LEFT JOIN pk ON t.utt = pk.utt AND pk.frame >= t.t_start AND pk.frame < t.t_start + 3 GROUP BY t.utt, t.t_start)"
+TWO = ", ".join([BITS, TPL]) + """, gb AS (SELECT feat % 8 AS feat, greatest(0.01, least(0.99, avg(x))) AS p FROM b GROUP BY feat % 8),
+zt AS (SELECT feat // 8 AS dt, feat % 8 AS feat, p FROM ct WHERE label = 0),
+ly AS (SELECT k.i AS comp, dt, feat, p FROM zt CROSS JOIN range(5) k(i) WHERE dt < 5 UNION ALL SELECT k.i, dt - 3 + k.i, feat, p FROM zt CROSS JOIN range(5) k(i) WHERE dt >= 3),
+la AS (SELECT comp, dt, feat, avg(p) AS p FROM ly GROUP BY comp, dt, feat),
+df AS (SELECT k.i::INTEGER AS comp, j.i::INTEGER AS dt, gb.feat::INTEGER AS feat, coalesce(la.p, gb.p) AS p FROM gb CROSS JOIN range(5) k(i) CROSS JOIN range(10) j(i) LEFT JOIN la ON la.comp = k.i AND la.dt = j.i AND la.feat = gb.feat)"""
+PER_TRUTH =", ".join([FRAMES, NB, PK0, TR]) + ", mp AS (SELECT t.utt, t.t_start, max(pk.value) AS best FROM t LEFT JOIN pk ON t.utt = pk.utt AND pk.frame >= t.t_start AND pk.frame < t.t_start + 3 GROUP BY t.utt, t.t_start)"
 
 
 def _edges() -> str:
@@ -130,5 +135,34 @@ bp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key, cell ORDER
 SELECT ce.key, ce.cell, CASE WHEN coalesce(ed.n, 0) >= 3 THEN bp.part ELSE 0 END AS part FROM ce LEFT JOIN ed USING (key, cell) LEFT JOIN bp USING (key, cell)""",
     "second_stage_llr": f"""WITH {ALL}, {SC}, {BEST}, {PAIRS}, q AS (SELECT label AS pred, feat, CASE WHEN p < 1 THEN (floor(p * 12) + 0.5) / 12 ELSE p END AS p FROM fl)
 SELECT b.vec_id, pr.pred, pr.pred = pr.truth AS positive, round(sum(ln(1 - q.p) + ln(q.p / (1 - q.p)) * b.x), 6) AS score FROM b JOIN pr USING (vec_id) JOIN q ON q.pred = pr.pred AND q.feat = b.feat GROUP BY b.vec_id, pr.pred, pr.truth""",
+    "streaming_quantile": f"WITH {FRAMES} SELECT utt, frame, round(quantile_cont(value, 0.5) OVER (PARTITION BY utt ORDER BY frame ROWS BETWEEN 11 PRECEDING AND CURRENT ROW), 6) AS quantile FROM f",
+    "strict_peaks": f"WITH {PEAKS} SELECT pk.* FROM pk JOIN nb USING (utt, frame) WHERE nb.value > a OR nb.value > b",
+    "clusters_own_length": f"""WITH {PEAKS}, g AS (SELECT *, CASE WHEN frame - lag(frame) OVER w >= lag(frame % 3 + 3) OVER w THEN 1 ELSE 0 END AS nw FROM pk WINDOW w AS (PARTITION BY utt ORDER BY frame)),
+i AS (SELECT *, sum(nw) OVER (PARTITION BY utt ORDER BY frame)::BIGINT AS cid FROM g)
+SELECT utt, cid, min(frame) AS c_start, max(frame) + 1 AS c_end, count(*) AS n FROM i GROUP BY utt, cid""",
+    "example_slices": f"WITH {FRAMES}, {TR} SELECT t.utt, t.t_start AS start, k.i AS dt, coalesce(f.value, 100.0::DOUBLE) AS value FROM t CROSS JOIN range(3) k(i) LEFT JOIN f ON f.utt = t.utt AND f.frame = t.t_start + k.i",
+    "score_cutoffs": f"WITH {ALL}, {SC}, h AS (SELECT label, score, sum(count(*)) OVER (PARTITION BY label ORDER BY score DESC) AS run FROM sc GROUP BY label, score) SELECT label, min(score) AS cutoff FROM h WHERE run <= 20 GROUP BY label",
+    "second_stage_roc": f"""WITH {ALL}, {SC}, {BEST}, {PAIRS}, q AS (SELECT label AS pred, feat, CASE WHEN p < 1 THEN (floor(p * 12) + 0.5) / 12 ELSE p END AS p FROM fl),
+z AS (SELECT b.vec_id, pr.pred, pr.pred = pr.truth AS positive, round(sum(ln(1 - q.p) + ln(q.p / (1 - q.p)) * b.x), 6) AS score FROM b JOIN pr USING (vec_id) JOIN q ON q.pred = pr.pred AND q.feat = b.feat GROUP BY b.vec_id, pr.pred, pr.truth),
+h AS (SELECT pred, score, count(*) FILTER (WHERE positive) AS p, count(*) FILTER (WHERE NOT positive) AS n FROM z GROUP BY pred, score),
+r AS (SELECT pred, score, p, sum(n) OVER w AS fp, sum(p) OVER w AS tp, sum(p) OVER (PARTITION BY pred) AS al FROM h WINDOW w AS (PARTITION BY pred ORDER BY score DESC)),
+m AS (SELECT truth AS pred, count(*) AS missed FROM pr WHERE pred <> truth GROUP BY truth)
+SELECT pred, score, round(fp / 100.0::DOUBLE, 6) AS fps, round(tp::DOUBLE / (al + coalesce(missed, 0))::DOUBLE, 6) AS tpr FROM r LEFT JOIN m USING (pred) WHERE p > 0""",
+    "response_density": f"WITH {FRAMES} SELECT phn, k.i * 25.0::DOUBLE AS at, round(avg(exp(-0.5::DOUBLE * ((k.i * 25.0::DOUBLE - value) / 20) ** 2)) / 20 / sqrt(2 * pi()), 9) AS density FROM f CROSS JOIN range(21) k(i) GROUP BY phn, k.i",
+    "two_part_templates": f"WITH {TWO} SELECT comp, dt, feat, round(p, 6) AS p FROM df",
+    "deform_fit": f"""WITH {TWO}, w AS (SELECT comp, dt * 8 + df.feat AS feat, ln((df.p / gb.p) / ((1 - df.p) / (1 - gb.p))) AS w, ln((1 - df.p) / (1 - gb.p)) AS c0 FROM df JOIN gb USING (feat) WHERE dt < 8),
+z AS (SELECT vec_id, comp, round(sum(c0 + w * x), 6) AS score FROM b JOIN w USING (feat) GROUP BY vec_id, comp)
+SELECT vec_id, comp, score FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, comp) AS rn FROM z) WHERE rn = 1""",
+    "retrain_filters": f"""WITH {ALL}, {SC}, {BEST}, {PAIRS}, sd AS (SELECT vec_id, truth AS label, 1 AS side FROM pr UNION ALL SELECT vec_id, pred, 0 FROM pr WHERE pred <> truth),
+m AS (SELECT sd.label, feat, coalesce(greatest(0.01, least(0.99, avg(x) FILTER (WHERE side = 1))), 0.5) AS a0, count(*) FILTER (WHERE side = 1) AS n1, coalesce(greatest(0.01, least(0.99, avg(x) FILTER (WHERE side = 0))), 0.5) AS b0, count(*) FILTER (WHERE side = 0) AS n0 FROM b JOIN sd USING (vec_id) GROUP BY sd.label, feat),
+g AS (SELECT label, feat, CASE WHEN n1 > 0 THEN a0 ELSE 0.5 END::DOUBLE AS a, CASE WHEN n0 > 0 THEN b0 ELSE 0.5 END::DOUBLE AS b FROM m)
+SELECT label, feat, round(ln((a / b) / ((1 - a) / (1 - b))), 6) AS w, round(ln((1 - a) / (1 - b)), 6) AS c0 FROM g""",
+    "negative_templates": f"WITH {ALL} SELECT label, feat, round(1 / (1 + (1 / p - 1) * exp(w)), 6) AS q FROM fl",
+    "weighted_templates": f"""WITH {BITS}, a AS (SELECT vec_id, k.i::INTEGER AS comp, CASE WHEN k.i = 0 THEN (vec_id % 5 + 1) / 6.0::DOUBLE ELSE 1 - (vec_id % 5 + 1) / 6.0::DOUBLE END AS a FROM embeddings CROSS JOIN range(2) k(i))
+SELECT comp, feat, round(greatest(0.01, least(0.99, sum(a * x) / sum(a))), 6) AS p FROM b JOIN a USING (vec_id) GROUP BY comp, feat""",
+    "spread_parts": f"WITH {FRAMES}, {DET} SELECT DISTINCT utt, frame + x.i AS frame, (f + y.i)::INTEGER AS freq, frame % 3 AS part FROM fb CROSS JOIN range(-1, 2) x(i) CROSS JOIN range(-1, 2) y(i)",
+    "neighbour_parts": f"WITH {FRAMES}, {DET} SELECT utt, frame, f AS part FROM fb UNION SELECT utt, frame, (f + 1) % 6 FROM fb",
+    "cascade_bank": f"""WITH {ALL}, {SC}, {BEST}, {PAIRS}, q AS (SELECT label AS pred, feat, k.i AS scorer, CASE WHEN k.i = 0 THEN p ELSE (floor(p * k.i) + 0.5) / k.i END AS p FROM fl CROSS JOIN (VALUES (0), (3), (12)) k(i))
+SELECT b.vec_id, pr.pred, q.scorer, round(sum(ln(1 - q.p) + ln(q.p / (1 - q.p)) * b.x), 6) AS score FROM b JOIN pr USING (vec_id) JOIN q ON q.pred = pr.pred AND q.feat = b.feat GROUP BY b.vec_id, pr.pred, q.scorer""",
     "ordered_split": f"WITH {FRAMES}, u AS (SELECT DISTINCT utt FROM f), r AS (SELECT utt, percent_rank() OVER (ORDER BY utt) AS r FROM u) SELECT utt, r < 0.7::DOUBLE AS train, utt % 5 AS fold FROM r",
 }

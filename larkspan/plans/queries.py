@@ -388,6 +388,118 @@ def gmm_diag(s, d):
     return s.createDataFrame([(i, round(float(w[i]), 6), m[i].round(6).tolist(), v[i].round(6).tolist()) for i in range(len(w))], "comp int, weight double, mean array<double>, var array<double>")
 
 
+@query
+def shift_mixture(s, d):
+    w, m, v, _ = md.shift_mixture(examples(s, d, False), 3, 56)
+    return s.createDataFrame([(i, round(float(w[i]), 6), m[i].round(6).tolist(), v[i].round(6).tolist()) for i in range(len(w))], "comp int, weight double, mean array<double>, var array<double>")
+
+
+@query
+def placed_mixture(s, d):
+    """Vectors as 16 frames of four bits; objects of 8 to 11 frames that begin at one of the first five."""
+    back = tp.mean_background(bits(s, d).withColumn("feat", F.col("feat") % 4)).orderBy("feat").toPandas()["p"].to_numpy()  # four rows
+    w, t, _ = md.placed_mixture(examples(s, d, True), 2, 5, 8, 4, back)
+    return s.createDataFrame([(i, w[i].round(6).tolist(), t[i].ravel().round(6).tolist()) for i in range(len(w))], "comp int, weights array<double>, template array<double>")
+
+
+@query
+def streaming_quantile(s, d):
+    return sq.streaming_quantile(frames(s, d), 12, 0.5).select("utt", "frame", r6("quantile").alias("quantile"))
+
+
+@query
+def strict_peaks(s, d):
+    return sq.strict_peaks(frames(s, d), PEAK).select("utt", "frame", "value")
+
+
+@query
+def clusters_own_length(s, d):
+    return sq.cluster_own_length(sq.peaks(frames(s, d), PEAK).withColumn("len", F.col("frame") % 3 + 3))
+
+
+@query
+def example_slices(s, d):
+    return sq.slices(truths(s, d).withColumnsRenamed({"t_start": "start", "t_end": "end"}), frames(s, d), 100.0)
+
+
+@query
+def score_cutoffs(s, d):
+    return ev.score_cutoffs(scores(s, d), "label", 20)
+
+
+@query
+def second_stage_roc(s, d):
+    missed = pairs(s, d).where("pred <> truth").groupBy(F.col("truth").alias("pred")).agg(F.count("*").alias("missed"))
+    return ev.second_stage_roc(second_stage_llr(s, d), "pred", missed, 100.0).select("pred", "score", r6("fps").alias("fps"), r6("tpr").alias("tpr"))
+
+
+@query
+def response_density(s, d):
+    grid = s.range(21).select((F.col("id") * 25.0).alias("at"))
+    return ev.response_density(frames(s, d), "phn", grid, 20.0).select("phn", "at", F.round("density", 9).alias("density"))
+
+
+def folded(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(deformations of class 0's template as 8 frames of 8 features, background by feature)."""
+    b = bits(s, d)
+    t = tp.class_templates(b).where("label = 0").select(F.floor(F.col("feat") / 8).alias("dt"), (F.col("feat") % 8).alias("feat"), "p")
+    back = tp.mean_background(b.withColumn("feat", F.col("feat") % 8))
+    return tp.two_part_templates(t, back, 8, 5), back
+
+
+@query
+def two_part_templates(s, d):
+    return folded(s, d)[0].select("comp", "dt", "feat", r6("p").alias("p"))
+
+
+@query
+def deform_fit(s, d):
+    """The best deformation for each vector."""
+    forms, back = folded(s, d)
+    f = tp.llr_filter(forms.where("dt < 8"), back).select("comp", (F.col("dt") * 8 + F.col("feat")).alias("feat"), "w", "c0")
+    fit = tp.linear_scores(bits(s, d), f, "vec_id", "comp").withColumn("score", r6("score"))
+    return tp.best_class(fit, "vec_id", "comp").select("vec_id", "comp", "score")
+
+
+@query
+def retrain_filters(s, d):
+    return tp.retrained(bits(s, d), pairs(s, d), "vec_id").select("label", "feat", r6("w").alias("w"), r6("c0").alias("c0"))
+
+
+@query
+def negative_templates(s, d):
+    return filters(s, d).select("label", "feat", r6(tp.negative_from_positive(F.col("p"), F.col("w"))).alias("q"))
+
+
+@query
+def weighted_templates(s, d):
+    share = (F.col("vec_id") % 5 + 1) / 6.0
+    a = table(s, d, "embeddings").select(F.col("vec_id").alias("ex"), F.posexplode(F.array(share, 1 - share)).alias("comp", "a"))
+    return tp.weighted_templates(bits(s, d).withColumnRenamed("vec_id", "ex"), a).select("comp", "feat", r6("p").alias("p"))
+
+
+@query
+def spread_parts(s, d):
+    b = event_bits(s, d)[0].select("utt", "frame", F.col("f").alias("freq"), (F.col("frame") % 3).alias("part"))
+    return tp.spread_parts(b, 1, 1)
+
+
+@query
+def neighbour_parts(s, d):
+    graph = s.range(6).select(F.col("id").cast("int").alias("part"), ((F.col("id") + 1) % 6).cast("int").alias("neighbour"))
+    return tp.neighbour_parts(event_bits(s, d)[0].withColumnRenamed("f", "part"), graph)
+
+
+@query
+def cascade_bank(s, d):
+    """Each vector scored by every scorer of its predicted class: the template as it is (0), in 3 and 12 steps."""
+    f = filters(s, d).select(F.col("label").alias("pred"), "feat", "p")
+    kinds = [f.withColumn("scorer", F.lit(n)).withColumn("p", fn.quantize(F.col("p"), n) if n else F.col("p")) for n in (0, 3, 12)]
+    bank = tp.likelihood_filter(kinds[0].unionByName(kinds[1]).unionByName(kinds[2]))
+    rows = bits(s, d).drop("label").join(pairs(s, d), "vec_id").join(bank, ["pred", "feat"])
+    return rows.groupBy("vec_id", "pred", "scorer").agg(r6(F.sum(F.col("c0") + F.col("w") * F.col("x"))).alias("score"))
+
+
 @query
 def length_kmeans(s, d):
     lengths = sq.cluster_c0(sq.peaks(frames(s, d), 100.0), GAP).select((F.col("c_end") - F.col("c_start")).alias("len"))

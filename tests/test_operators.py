@@ -97,6 +97,54 @@ def test_gaussian_mixture_finds_two_means(spark):
     assert np.allclose(np.sort(m[:, 0]), [0, 6], atol=0.8) and (v < 4).all()
 
 
+def test_shift_mixture_climbs_and_finds_the_shape(spark):
+    rng = np.random.default_rng(4)
+    shape, x = np.array([4.0, -4, 4, -4]), rng.normal(0, 0.3, (80, 8))
+    for r in x:
+        at = rng.integers(0, 5)
+        r[at : at + 4] += shape
+    w, m, v, ll = models.shift_mixture(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "ex long, x array<double>"), 1, 4, rounds=12)
+    assert all(b >= a - 1e-6 for a, b in zip(ll, ll[1:])) and w.tolist() == [1] and v.shape == m.shape == (1, 4)
+
+
+def test_placed_mixture_climbs_and_finds_the_object(spark):
+    rng = np.random.default_rng(5)
+    x = (rng.random((120, 14, 6)) < 0.1).astype(float)
+    for r in x:
+        s, n = rng.integers(2, 5), rng.integers(5, 8)
+        r[s : s + n] = rng.random((n, 6)) < 0.9
+    ex = spark.createDataFrame([(i, r.ravel().tolist()) for i, r in enumerate(x)], "ex long, x array<double>")
+    w, t, ll = models.placed_mixture(ex, 1, 7, 5, 3, np.full(6, 0.1), rounds=10)
+    assert all(b >= a - 1e-6 for a, b in zip(ll, ll[1:])) and abs(w.sum() - 1) < 1e-9 and (t[0, 1:5] > 0.8).all()
+
+
+def test_two_part_templates_against_a_loop(spark):
+    rng = np.random.default_rng(6)
+    p, back = rng.random((8, 2)), np.array([0.2, 0.3])
+    t = spark.createDataFrame([(i, f, float(p[i, f])) for i in range(8) for f in range(2)], "dt int, feat int, p double")
+    b = spark.createDataFrame([(f, float(back[f])) for f in range(2)], "feat int, p double")
+    rows = {r[:3]: r[3] for r in templates.two_part_templates(t, b, 8, 5).collect()}
+    assert len(rows) == 5 * 10 * 2
+    for (c, i, f), v in rows.items():
+        here = ([p[i, f]] if i < 5 else []) + ([p[3 + i - c, f]] if c <= i < c + 5 else [])
+        assert abs(v - (np.mean(here) if here else back[f])) < 1e-12
+
+
+def test_cutoff_keeps_ties_out(spark):
+    rows = spark.createDataFrame([("a", 3.0), ("a", 2.0), ("a", 2.0), ("b", 1.0), ("b", 1.0), ("b", 1.0)], "k string, score double")
+    assert got(evaluate.score_cutoffs(rows, "k", 2), "k", "cutoff") == [("a", 3.0)]
+
+
+def test_slices_are_padded(spark):
+    iv = spark.createDataFrame([(1, -1, 2), (1, 2, 2)], "utt long, start long, end long")
+    assert got(sequence.slices(iv, frames(spark, [5, 6]), 9.0), "start", "dt", "value") == [(-1, 0, 9.0), (-1, 1, 5.0), (-1, 2, 6.0)]
+
+
+def test_own_length_breaks(spark):
+    d = spark.createDataFrame([(1, 0, 3), (1, 3, 9), (1, 11, 1)], "utt long, frame long, len long")
+    assert got(sequence.cluster_own_length(d), "c_start", "c_end") == [(0, 1), (3, 12)]
+
+
 def test_tapers_are_orthonormal():
     t = models.tapers(64, 3.0, 5)
     assert np.allclose(t @ t.T, np.eye(5), atol=1e-8)
