@@ -26,16 +26,45 @@ AGAINST = {"nav": 12, "footer": 12, "aside": 12, "form": 12, "menu": 12, "button
 FOR = {"article": 6, "main": 4}
 #: Words of a class, id or role that speak against or for content.
 BAD_WORDS = frozenset(
-    "ad ads advert advertisement adverts advertising alert banner breadcrumb breadcrumbs comment comments complementary cookie cookies copyright disqus footer form gdpr header hidden login masthead menu modal nav navbar "
-    "navigation newsletter notice notices pager pagination popup promo promoted promotion related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar "
-    "topbar widget widgets".split()
+    "ad ads advert advertisement adverts advertising alert banner breadcrumb breadcrumbs complementary consent cookie cookies copyright disclaimer dropdown footer form gdpr header hidden login masthead menu modal nav navbar "
+    "navigation newsletter notice notices overlay pager pagination paywall popup recommended respond rail search share sharing sidebar signup sitemap skip social subscribe subscription tags toast toolbar "
+    "topbar topnav trending widget widgets".split()
 )
+#: The like for what holds articles of its own: comments, teasers and adverts.
+BAD_ARTICLES = frozenset("advert advertisement comment commentlist comments discussion disqus promo promoted promotion related replies reply sponsor sponsored teaser teasers".split())
 GOOD_WORDS = frozenset("article body content entry main post story text".split())
+#: Beginnings of class names that tell a page's state and not what an element holds.
+_STATE = ("has-", "with-", "no-", "is-", "js-")
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HIDDEN_BY = re.compile(r"\bhidden\b(?!\s*-)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 
 
+def naming(attributes: str) -> set[str]:
+    """The words of an element's classes, id and role: the parts of each name, and each two
+    parts in a row joined, so that side-bar and leftSideBar are sidebar as well."""
+    out: set[str] = set()
+    for found in _NAMES.findall(attributes):
+        for name in "".join(found).split():
+            if not name.lower().startswith(_STATE):
+                parts = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w]
+                out.update(parts)
+                out.update(a + b for a, b in zip(parts, parts[1:], strict=False))
+    return out
+
+
+def marked(name: str, attributes: str, in_article: bool) -> tuple[bool, set[str]]:
+    """(whether an element's names or style call it boilerplate, the words of its names). An article's own
+    head (post-header, or a header inside an article) is not."""
+    words = naming(attributes) if attributes else set()
+    if name in ("html", "body", "main"):
+        return False, words
+    bad = words & BAD_ARTICLES if name == "article" else words & (BAD_WORDS | BAD_ARTICLES)
+    if in_article or words & GOOD_WORDS:
+        bad = bad - {"header"}
+    return bool(bad) or bool(attributes and name != "article" and _HIDDEN_BY.search(attributes)), words
+
+
 class Block(NamedTuple):
     text: str
     links: int  # characters inside links
@@ -57,7 +86,7 @@ def blocks(html: str) -> list[Block]:
     out: list[Block] = []
     stack = [_Open("", 0, 0.0, 0.0)]
     parts: list[str] = []
-    count, linked, in_link, tag_now = 0, 0, False, ""
+    count, linked, in_link, tag_now, own = 0, 0, False, "", 0.0
 
     def close() -> None:
         nonlocal parts, linked
@@ -65,7 +94,7 @@ def blocks(html: str) -> list[Block]:
             text = " ".join(unescape("".join(parts)).split())
             if text:
                 top = stack[-1]
-                out.append(Block(text, min(linked, len(text)), top.against, top.favour, top.number, tag_now))
+                out.append(Block(text, min(linked, len(text)), max(top.against, own), top.favour, top.number, tag_now))
             parts, linked = [], 0
 
     at, end = 0, len(html)
@@ -97,7 +126,7 @@ def blocks(html: str) -> list[Block]:
                 while stack.pop().tag != name:
                     pass
                 in_link = False
-            tag_now = ""
+            tag_now, own = "", 0.0
             continue
         if name in HIDDEN:
             if name not in VOID and not m[3].endswith("/"):
@@ -105,20 +134,23 @@ def blocks(html: str) -> list[Block]:
                 if gone or name != "head":
                     at = gone.end() if gone else end
             continue
-        tag_now = name
-        if name in HOLDERS and not m[3].endswith("/"):
+        tag_now, own = name, 0.0
+        in_article = any(o.tag in FOR for o in stack)
+        named, names = marked(name, m[3], in_article)
+        if name not in HOLDERS:
+            own = 12.0 if named else 0.0
+        elif not m[3].endswith("/"):
             top = stack[-1]
             against, favour = top.against, top.favour
-            bad = AGAINST.get(name, 0)
-            if name == "header" and any(o.tag in FOR for o in stack):
-                bad = 0  # an article's own head
-            names = {w for found in _NAMES.findall(m[3]) for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", "".join(found)).lower())}
-            if name not in ("html", "body", "article", "main") and (names & BAD_WORDS or _HIDDEN_BY.search(m[3])):
+            bad = 0 if name == "header" and in_article else AGAINST.get(name, 0)  # an article's own head
+            if named:
                 bad = max(bad, 12)
             elif name in FOR:
                 favour = max(favour, FOR[name])
             elif names & GOOD_WORDS:
                 favour = max(favour, 3)
+            if name == "main":  # the page's one main part, whatever lies around it
+                against = 0.0
             count += 1
             stack.append(_Open(name, count, max(against, bad), favour))
             in_link = False

@@ -119,6 +119,30 @@ def test_article_without_its_surroundings():
     assert [extract.main_text(x) for x in (None, "", "<p", "<script>x")] == [""] * 4
 
 
+TEXT = "This is a long paragraph of the article, with several words and a full stop at its end."
+OTHER = "I really liked this and I want to say so in a long comment, as people do now and then."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<div id="leftSideBar"><p>{OTHER}</p></div><div class="post-content"><p>{TEXT}</p></div>',
+        f'<div class="layout with-sidebar"><div class="entry"><p>{TEXT}</p></div><div class="side-bar"><p>{OTHER}</p></div></div>',
+        f'<article><p>{TEXT}</p></article><section><article class="comment"><p>{OTHER}</p></article></section>',
+        f'<article><p class="advert">{OTHER}</p><p>{TEXT}</p><section class="user-comments"><p>{OTHER}</p></section></article>',
+        f'<form><header><p>{OTHER}</p></header><main><p>{TEXT}</p><form><label>{OTHER}</label></form></main></form>',
+        f'<div role="alert">{OTHER}</div><article><header></header>{TEXT}<aside><p>{OTHER}</p></aside></article>',
+        f"<p>{TEXT}",
+    ],
+)
+def test_surroundings_by_name(page):
+    assert extract.main_text(page) == TEXT
+
+
+def test_an_articles_own_head_stays():
+    assert extract.main_text(f'<div class="post"><div class="post-header"><h1>Head</h1></div><p>{TEXT}</p></div>') == f"Head {TEXT}"
+
+
 # 3
 
 
