@@ -184,3 +184,87 @@ def classify_windows(segments: DataFrame) -> DataFrame:
     third = F.floor((F.col("end_frame") - F.col("start_frame")) / 3)
     end = F.max("end_frame").over(whole())
     return segments.withColumns({"w_start": F.greatest(F.lit(0).cast("long"), F.col("start_frame") - third), "w_end": F.least(end, F.col("start_frame") + F.greatest(third, F.lit(1)))})
+
+
+def smooth(frames: DataFrame, weights: Sequence[float]) -> DataFrame:
+    """smoothed: the weighted sum of a frame and its neighbours; nothing beyond the ends counts."""
+    half, total = len(weights) // 2, F.lit(0.0)
+    for k, weight in enumerate(weights):
+        near = F.lead("value", k - half).over(by_frame()) if k >= half else F.lag("value", half - k).over(by_frame())
+        total = total + F.lit(float(weight)) * F.coalesce(near, F.lit(0.0))
+    return frames.withColumn("smoothed", total)
+
+
+def overlap_threshold(frames: DataFrame, block: int, q: float) -> DataFrame:
+    """threshold and bit per frame: block k's frames are held against the value of 0-based rank int(q n) in a
+    window twice as long, half a block to either side. A frame is in two windows at most, so rows double."""
+    half, own = block // 2, F.floor(F.col("frame") / block)
+    first = F.greatest(F.lit(0).cast("long"), F.floor((F.col("frame") - block - half) / block) + 1)
+    seen = frames.select("utt", "value", F.explode(F.sequence(first, F.floor((F.col("frame") + half) / block))).alias("_k"))
+    w = W.partitionBy("utt", "_k")
+    seen = seen.withColumn("_r", F.row_number().over(w.orderBy("value")) - 1).withColumn("_c", F.count("*").over(w))
+    chosen = seen.where(F.col("_r") == F.floor(F.lit(float(q)) * F.col("_c"))).select("utt", "_k", F.col("value").alias("threshold"))
+    out = frames.withColumn("_k", own).join(chosen, ["utt", "_k"])
+    return out.withColumn("bit", (F.col("value") >= F.col("threshold")).cast("int")).drop("_k")
+
+
+#: (frames, channels) of a step along each of the four directions of an edge.
+DIRECTIONS = ((1, 0), (0, 1), (1, 1), (1, -1))
+
+
+def dilate_directed(edges: DataFrame, reach: int, channels: int) -> DataFrame:
+    """Distinct (utt, frame, freq, orient): each edge (.., n) spread reach steps both ways along its own
+    direction, orient modulo 4, within the n frames of its utterance and the channels."""
+    step = lambda part: F.element_at(F.array(*[F.lit(d[part]) for d in DIRECTIONS]), (F.col("orient") % 4 + 1).cast("int"))
+    out = edges.withColumn("_d", F.explode(F.sequence(F.lit(-reach), F.lit(reach))))
+    out = out.withColumns({"frame": F.col("frame") + F.col("_d") * step(0), "freq": F.col("freq") + F.col("_d") * step(1)})
+    inside = F.col("frame").between(0, F.col("n") - 1) & F.col("freq").between(0, channels - 1)
+    return out.where(inside).select("utt", "frame", "freq", "orient").distinct()
+
+
+def pyramid(cells: DataFrame, key: str, levels: int, factor: int) -> DataFrame:
+    """key, level, band, x: sums of factor^level neighbouring channels, for each level from 0."""
+    sized = cells.withColumn("_s", F.explode(F.array(*[F.struct(F.lit(i).alias("level"), F.lit(factor**i).alias("width")) for i in range(levels)])))
+    return sized.groupBy(key, F.col("_s.level").alias("level"), F.floor(F.col("feat") / F.col("_s.width")).alias("band")).agg(F.sum("x").alias("x"))
+
+
+def registered(intervals: DataFrame, frames: DataFrame, length: int) -> DataFrame:
+    """utt, start, dt, value: each interval [start, end) brought to `length` frames by its nearest frames."""
+    n = F.col("end") - F.col("start")
+    cells = intervals.where("end > start").withColumn("dt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(length - 1).cast("long"))))
+    at = F.least(n - 1, F.floor(F.col("dt") / float(length) * n + 0.5))
+    return cells.withColumn("frame", F.col("start") + at).join(frames.select("utt", "frame", "value"), ["utt", "frame"]).select("utt", "start", "dt", "value")
+
+
+def pattern_parts(segments: DataFrame, pattern: Sequence[str]) -> DataFrame:
+    """utt, start_frame, part, p_start, p_end: each label's own interval within a match of the pattern."""
+    w = W.partitionBy("utt").orderBy("start_frame")
+    hit = F.col("phn") == pattern[0]
+    for k, label in enumerate(pattern[1:], 1):
+        hit = hit & (F.lead("phn", k).over(w) == label)
+    own = [F.struct(F.lead("start_frame", k).over(w).alias("s"), F.lead("end_frame", k).over(w).alias("e")) for k in range(len(pattern))]
+    out = segments.withColumn("_hit", hit).withColumn("_parts", F.array(*own)).where("_hit")
+    out = out.select("utt", "start_frame", F.posexplode("_parts").alias("part", "_p"))
+    return out.select("utt", "start_frame", "part", F.col("_p.s").alias("p_start"), F.col("_p.e").alias("p_end"))
+
+
+def has_pattern(segments: DataFrame, pattern: Sequence[str]) -> DataFrame:
+    """utt, has: whether an utterance has the pattern anywhere."""
+    w = W.partitionBy("utt").orderBy("start_frame")
+    hit = F.col("phn") == pattern[0]
+    for k, label in enumerate(pattern[1:], 1):
+        hit = hit & F.coalesce(F.lead("phn", k).over(w) == label, F.lit(False))
+    return segments.withColumn("_hit", hit).groupBy("utt").agg(F.coalesce(F.bool_or("_hit"), F.lit(False)).alias("has"))
+
+
+def largest_peak(frames: DataFrame) -> DataFrame:
+    """utt, frame, value of the largest local peak, the first on ties; frame -1 and no value if there is none."""
+    v, a, b = F.col("value"), F.lag("value").over(by_frame()), F.lead("value").over(by_frame())
+    key = F.when(F.col("_p"), F.struct("value", -F.col("frame")))
+    out = frames.withColumn("_p", (v >= a) & (v >= b)).groupBy("utt").agg(F.max_by("frame", key).alias("frame"), F.max(F.when(F.col("_p"), v)).alias("value"))
+    return out.withColumn("frame", F.coalesce("frame", F.lit(-1).cast("long")))
+
+
+def seeded_sample(keys: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """The n keys that come first in an order fixed by the seed: the same ones on every run and cluster."""
+    return keys.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -63,8 +65,10 @@ def detect(bits: DataFrame, filters: DataFrame, spine: DataFrame, bias: DataFram
 
     Bits meet filter cells (comp, dt, f, w) on the feature and vote for the start frame - dt; starts where
     the filter runs past the end n of the utterance fall away, and a start without any bit scores the
-    bias (comp, len, c) alone, since starts come from the spine (utt, frame, n)."""
-    votes = bits.join(filters, "f").select("utt", "comp", (F.col("frame") - F.col("dt")).alias("frame"), "w")
+    bias (comp, len, c) alone, since starts come from the spine (utt, frame, n). Bits with a column x are
+    real-valued features: they vote x w."""
+    weight = F.col("w") * F.col("x") if "x" in bits.columns else F.col("w")
+    votes = bits.join(filters, "f").select("utt", "comp", (F.col("frame") - F.col("dt")).alias("frame"), weight.alias("w"))
     sums = votes.groupBy("utt", "frame", "comp").agg(F.sum("w").alias("s"))
     starts = spine.join(bias, F.col("frame") <= F.col("n") - F.col("len"))
     return starts.join(sums, ["utt", "frame", "comp"], "left").select("utt", "frame", "comp", (F.col("c") + F.coalesce("s", F.lit(0.0))).alias("score"))
@@ -140,3 +144,62 @@ def retrained(bits: DataFrame, pairs: DataFrame, key: str, p: float = 0.01) -> D
 def negative_from_positive(p: Column, w: Column) -> Column:
     """Probabilities of the negative template that a linear filter w and the positive p imply."""
     return 1 / (1 + (1 / p - 1) * F.exp(w))
+
+
+def best_per_example(scores: DataFrame) -> DataFrame:
+    """utt, comp, score, frame: each filter's best score in an utterance and the first frame that has it."""
+    return scores.groupBy("utt", "comp").agg(F.max("score").alias("score"), F.max_by("frame", F.struct("score", -F.col("frame"))).alias("frame"))
+
+
+def over_threshold(detections: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """Detections (comp, score, others) that reach their own component's threshold (comp, threshold)."""
+    return detections.join(thresholds, "comp").where(F.col("score") >= F.col("threshold")).drop("threshold")
+
+
+def salient_counts(bits: DataFrame, templates: DataFrame, key: str, least: float) -> DataFrame:
+    """key, label, n: how many of a template's salient features (p over least) are set."""
+    mask = templates.where(F.col("p") > least).select("label", "feat")
+    return bits.drop("label").join(mask, "feat").groupBy(key, "label").agg(F.sum("x").cast("long").alias("n"))
+
+
+def hard_assignments(scores: DataFrame, key: str, share: float) -> DataFrame:
+    """key, label, a: the classes whose part of an example's likelihood is over share."""
+    w = W.partitionBy(key)
+    out = scores.withColumn("_e", F.exp(F.col("score") - F.max("score").over(w)))
+    return out.withColumn("a", F.col("_e") / F.sum("_e").over(w)).where(F.col("a") > share).select(key, "label", "a")
+
+
+def direct_scores(bits: DataFrame, templates: DataFrame, background: DataFrame, key: str, log: Callable[[Column], Column] = F.ln) -> DataFrame:
+    """key, label, score: an example's log-likelihood under the template less that under the background, by
+    any logarithm, the table of hundredths for one."""
+    b = background.select("feat", F.col("p").alias("b"))
+    cells = templates.select("label", "feat", "p").join(F.broadcast(b), "feat")  # one row a feature of the model
+    p, g, x = F.col("p"), F.col("b"), F.col("x")
+    rows = bits.drop("label").join(cells, "feat")
+    return rows.groupBy(key, "label").agg(F.sum(x * (log(p) - log(g)) + (1 - x) * (log(1 - p) - log(1 - g))).alias("score"))
+
+
+def background_spread(values: DataFrame) -> DataFrame:
+    """feat, spread: mean square distance from the feature's mean, times n / (n + 1)."""
+    return values.groupBy("feat").agg((F.var_pop("x") * F.count("x") / (F.count("x") + 1.0)).alias("spread"))
+
+
+def patches(bits: DataFrame, width: int, least: int, below: int) -> DataFrame:
+    """utt, start, n, cells: the bits (utt, frame, f, n: the utterance's frames) of every patch of `width`
+    frames that holds at least `least` and fewer than `below`; cells is `dt:f,...` in order. A bit goes to
+    width patches, and a patch gathers no more than its cells."""
+    spread = bits.withColumn("dt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long")))).withColumn("start", F.col("frame") - F.col("dt"))
+    spread = spread.where((F.col("start") >= 0) & (F.col("start") + width <= F.col("n")))
+    counted = spread.groupBy("utt", "start").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("dt", "f"))).alias("_c"))
+    kept = counted.where((F.col("n") >= least) & (F.col("n") < below))
+    return kept.select("utt", "start", "n", F.array_join(F.transform("_c", lambda c: F.concat_ws(":", c["dt"].cast("string"), c["f"].cast("string"))), ",").alias("cells"))
+
+
+def coarse_to_fine(bits: DataFrame, filters: DataFrame, key: str, factor: int, least: float) -> DataFrame:
+    """key, label, coarse, score: filters of mean weights over pooled features (the largest of each factor)
+    score every example, and only pairs that reach least are scored in full."""
+    pooled = bits.groupBy(key, F.floor(F.col("feat") / factor).alias("feat")).agg(F.max("x").alias("x"))
+    rough = filters.groupBy("label", F.floor(F.col("feat") / factor).alias("feat")).agg(F.avg("w").alias("w"), F.avg("c0").alias("c0"))
+    first = linear_scores(pooled, rough, key).withColumn("coarse", F.round("score", 6)).where(F.col("coarse") >= least).select(key, "label", "coarse")
+    rows = bits.drop("label").join(first, key).join(filters.select("label", "feat", "w", "c0"), ["label", "feat"])
+    return rows.groupBy(key, "label", "coarse").agg(F.sum(F.col("c0") + F.col("w") * F.col("x")).alias("score"))

@@ -54,6 +54,15 @@ s AS (SELECT utt, o AS orient, dd, a, b FROM e UNION ALL SELECT utt, o + 4, -dd,
 SELECT utt, orient, count(*) AS n, round(sum(dd), 6) AS total FROM s WHERE dd > 0 AND (a IS NULL OR dd > a) AND (b IS NULL OR dd >= b) GROUP BY utt, orient"""
 
 
+RG = """rgs AS (SELECT d.utt, d.c_start AS start, k.i AS dt, f.value FROM d CROSS JOIN range(5) k(i)
+JOIN f ON f.utt = d.utt AND f.frame = d.c_start + least(d.c_end - d.c_start - 1, floor(k.i / 5.0::DOUBLE * (d.c_end - d.c_start) + 0.5)::BIGINT))"""
+
+
+def LQ(x: str) -> str:
+    """The logarithm by a table of hundredths."""
+    return f"CASE WHEN floor(100.0::DOUBLE * {x} + 0.5) <= 0 THEN -13.8155::DOUBLE ELSE ln(floor(100.0::DOUBLE * {x} + 0.5) / 100) END"
+
+
 SQL = {
     "frame_spine": f"WITH {FRAMES} SELECT utt, frame, phn, round(value, 6) AS value FROM f",
     "preemphasis": f"WITH {FRAMES} SELECT utt, frame, round(coalesce(value - 0.97::DOUBLE * lag(value) OVER (PARTITION BY utt ORDER BY frame), value), 6) AS y FROM f",
@@ -165,4 +174,44 @@ SELECT comp, feat, round(greatest(0.01, least(0.99, sum(a * x) / sum(a))), 6) AS
     "cascade_bank": f"""WITH {ALL}, {SC}, {BEST}, {PAIRS}, q AS (SELECT label AS pred, feat, k.i AS scorer, CASE WHEN k.i = 0 THEN p ELSE (floor(p * k.i) + 0.5) / k.i END AS p FROM fl CROSS JOIN (VALUES (0), (3), (12)) k(i))
 SELECT b.vec_id, pr.pred, q.scorer, round(sum(ln(1 - q.p) + ln(q.p / (1 - q.p)) * b.x), 6) AS score FROM b JOIN pr USING (vec_id) JOIN q ON q.pred = pr.pred AND q.feat = b.feat GROUP BY b.vec_id, pr.pred, q.scorer""",
     "ordered_split": f"WITH {FRAMES}, u AS (SELECT DISTINCT utt FROM f), r AS (SELECT utt, percent_rank() OVER (ORDER BY utt) AS r FROM u) SELECT utt, r < 0.7::DOUBLE AS train, utt % 5 AS fold FROM r",
+    "gaussian_smooth": f"""WITH {FRAMES} SELECT utt, frame, round(0.0625::DOUBLE * coalesce(lag(value, 2) OVER w, 0) + 0.25::DOUBLE * coalesce(lag(value) OVER w, 0) + 0.375::DOUBLE * value
++ 0.25::DOUBLE * coalesce(lead(value) OVER w, 0) + 0.0625::DOUBLE * coalesce(lead(value, 2) OVER w, 0), 6) AS smoothed FROM f WINDOW w AS (PARTITION BY utt ORDER BY frame)""",
+    "overlap_quantile_edges": f"""WITH {FRAMES}, k AS (SELECT DISTINCT utt, frame // 12 AS k FROM f),
+e AS (SELECT k.utt, k.k, value, row_number() OVER (PARTITION BY k.utt, k.k ORDER BY value) - 1 AS r, count(*) OVER (PARTITION BY k.utt, k.k) AS c FROM k JOIN f ON f.utt = k.utt AND frame >= k.k * 12 - 6 AND frame < k.k * 12 + 18)
+SELECT f.utt, frame, e.value AS threshold, (f.value >= e.value)::INTEGER AS bit FROM f JOIN e ON e.utt = f.utt AND e.k = frame // 12 AND r = floor(0.8::DOUBLE * c)""",
+    "directed_dilation": f"""WITH {FRAMES}, {DET}, n AS (SELECT utt, count(*) AS n FROM f GROUP BY utt), o AS (SELECT utt, frame, f, n, (frame % 8)::INTEGER AS orient FROM fb JOIN n USING (utt)),
+x AS (SELECT utt, n, orient, frame + k.i * CASE WHEN orient % 4 = 1 THEN 0 ELSE 1 END AS frame, (f + k.i * CASE orient % 4 WHEN 0 THEN 0 WHEN 3 THEN -1 ELSE 1 END)::INTEGER AS freq FROM o CROSS JOIN range(-2, 3) k(i))
+SELECT DISTINCT utt, frame, freq, orient FROM x WHERE frame >= 0 AND frame < n AND freq >= 0 AND freq < 6""",
+    "channel_pyramid": f"WITH {V} SELECT vec_id, k.i::INTEGER AS level, (feat >> k.i::INTEGER)::BIGINT AS band, round(sum(x), 6) AS x FROM v CROSS JOIN range(4) k(i) GROUP BY ALL",
+    "register_time": f"WITH {CLUSTERS}, {RG} SELECT utt, start, dt, value FROM rgs",
+    "registered_template": f"WITH {CLUSTERS}, {RG} SELECT dt, round(avg(value), 6) AS mean, count(*) AS n FROM rgs GROUP BY dt",
+    "pattern_part_times": f"""WITH {FRAMES}, n AS (SELECT *, lead(phn) OVER (PARTITION BY utt ORDER BY frame) AS b FROM f)
+SELECT utt, frame AS start_frame, k.i::INTEGER AS part, frame + k.i AS p_start, frame + k.i + 1 AS p_end FROM n CROSS JOIN range(2) k(i) WHERE phn = 'view' AND b = 'click'""",
+    "pattern_utterances": f"""WITH {FRAMES}, n AS (SELECT *, lead(phn) OVER w AS b, lead(phn, 2) OVER w AS c FROM f WINDOW w AS (PARTITION BY utt ORDER BY frame))
+SELECT utt, coalesce(bool_or(coalesce(phn = 'view' AND b = 'click' AND c = 'purchase', false)), false) AS has FROM n GROUP BY utt""",
+    "label_set": f"WITH {FRAMES} SELECT phn, count(DISTINCT utt) AS utterances FROM f GROUP BY phn",
+    "largest_peak": f"""WITH {FRAMES}, {NB}, p AS (SELECT *, row_number() OVER (PARTITION BY utt ORDER BY value DESC, frame) AS rn FROM nb WHERE value >= a AND value >= b)
+SELECT u.utt, coalesce(p.frame, -1) AS frame, p.value FROM (SELECT DISTINCT utt FROM f) u LEFT JOIN p ON p.utt = u.utt AND rn = 1""",
+    "seeded_sample": f"WITH {FRAMES} SELECT utt FROM (SELECT DISTINCT utt FROM f) ORDER BY md5('7:' || utt), utt LIMIT 10",
+    "grid_cells": f"WITH {V}, g AS (SELECT vec_id, feat % 8 AS h, (feat // 8)::BIGINT AS z, x FROM v) SELECT vec_id, h, z, floor((h + 2) / 4.0::DOUBLE)::BIGINT AS coarse, round(x, 6) AS x FROM g WHERE h % 2 = 0 AND z % 4 = 0",
+    "label_pairs_by_half": f"""WITH {FRAMES}, p AS (SELECT utt, phn AS a, lead(phn) OVER w AS b, lead(value) OVER w AS v FROM f WINDOW w AS (PARTITION BY utt ORDER BY frame)),
+g AS (SELECT a, b, floor(v / 20)::BIGINT AS level, bool_or(utt % 2 = 0) AS e, bool_or(utt % 2 = 1) AS o FROM p WHERE b IS NOT NULL AND v > 350 GROUP BY ALL)
+SELECT a, b, level, CASE WHEN e AND o THEN 'both' WHEN e THEN 'even' ELSE 'odd' END AS side FROM g""",
+    "length_histogram": f"WITH {CLUSTERS} SELECT c_end - c_start AS len, count(*) AS n FROM d GROUP BY 1",
+    "detect_values": f"""WITH {FRAMES}, {DET}, vx AS (SELECT fb.utt, comp, fb.frame - bank.dt AS frame, sum(w * (value % 100)) AS s FROM fb JOIN bank USING (f) JOIN f fr ON fr.utt = fb.utt AND fr.frame = fb.frame GROUP BY ALL)
+SELECT sp.utt, sp.frame, k.i::INTEGER AS comp, round(k.i / -8.0::DOUBLE + coalesce(vx.s, 0), 6) AS score FROM sp JOIN range(3) k(i) ON sp.frame <= sp.n - 4 LEFT JOIN vx ON vx.utt = sp.utt AND vx.frame = sp.frame AND vx.comp = k.i""",
+    "best_per_example": f"WITH {FRAMES}, {DET} SELECT utt, comp, score, frame FROM (SELECT *, row_number() OVER (PARTITION BY utt, comp ORDER BY score DESC, frame) AS rn FROM dt) WHERE rn = 1",
+    "component_threshold": f"WITH {FRAMES}, {DET} SELECT utt, frame, comp, round(score, 6) AS score FROM db WHERE score >= comp * 0.5::DOUBLE",
+    "salient_counts": f"WITH {ALL} SELECT b.vec_id, fl.label, sum(b.x)::BIGINT AS n FROM b JOIN fl USING (feat) WHERE fl.p > 0.6::DOUBLE GROUP BY ALL",
+    "hard_assignments": f"""WITH {ALL}, {SC}, e AS (SELECT *, exp(score - max(score) OVER (PARTITION BY vec_id)) AS e FROM sc), h AS (SELECT vec_id, label, e / sum(e) OVER (PARTITION BY vec_id) AS a FROM e)
+SELECT vec_id, label, round(a, 6) AS a FROM h WHERE a > 0.95::DOUBLE""",
+    "direct_scores": f"""WITH {ALL}, c AS (SELECT ct.label, feat, ct.p, bg.p AS g FROM ct JOIN bg USING (feat)),
+q AS (SELECT *, {LQ('p')} - {LQ('g')} AS w1, {LQ('(1 - p)')} - {LQ('(1 - g)')} AS w0 FROM c)
+SELECT b.vec_id, q.label, round(sum(x * (ln(p) - ln(g)) + (1 - x) * (ln(1 - p) - ln(1 - g))), 6) AS exact, round(sum(x * w1 + (1 - x) * w0), 6) AS by_table FROM b JOIN q USING (feat) GROUP BY b.vec_id, q.label""",
+    "background_spread": f"WITH {V} SELECT feat, round(var_pop(x) * count(x) / (count(x) + 1), 9) AS spread FROM v GROUP BY feat",
+    "edge_patches": f"""WITH {FRAMES}, {DET}, p AS (SELECT fb.utt, fb.frame - k.i AS start, k.i AS dt, fb.f FROM fb JOIN sp USING (utt, frame) CROSS JOIN range(3) k(i) WHERE fb.frame - k.i >= 0 AND fb.frame - k.i + 3 <= sp.n)
+SELECT utt, start, count(*) AS n, string_agg(dt || ':' || f, ',' ORDER BY dt, f) AS cells FROM p GROUP BY utt, start HAVING count(*) >= 4 AND count(*) < 6""",
+    "coarse_to_fine": f"""WITH {ALL}, {SC}, po AS (SELECT vec_id, feat // 4 AS feat, max(x) AS x FROM b GROUP BY ALL), ro AS (SELECT label, feat // 4 AS feat, avg(w) AS w, avg(c0) AS c0 FROM fl GROUP BY ALL),
+co AS (SELECT po.vec_id, ro.label, round(sum(c0 + w * x), 6) AS coarse FROM po JOIN ro USING (feat) GROUP BY ALL)
+SELECT co.vec_id, co.label, co.coarse, sc.score FROM co JOIN sc USING (vec_id, label) WHERE coarse >= 0""",
 }

@@ -525,3 +525,146 @@ def spectrogram(s, d):
 @query
 def mfcc(s, d):
     return md.spectrogram(signals(s, d), 32, 8, multitaper=False, bands=8, cepstra=5, rate=32.0)
+
+
+@query
+def gaussian_smooth(s, d):
+    return sq.smooth(frames(s, d), (0.0625, 0.25, 0.375, 0.25, 0.0625)).select("utt", "frame", r6("smoothed").alias("smoothed"))
+
+
+@query
+def overlap_quantile_edges(s, d):
+    return sq.overlap_threshold(frames(s, d), 12, 0.8).select("utt", "frame", "threshold", "bit")
+
+
+@query
+def directed_dilation(s, d):
+    b = event_bits(s, d)[0].withColumn("orient", (F.col("frame") % 8).cast("int")).withColumnRenamed("f", "freq")
+    b = b.join(frames(s, d).groupBy("utt").agg(F.count("*").alias("n")), "utt")
+    return sq.dilate_directed(b, 2, 6)
+
+
+@query
+def channel_pyramid(s, d):
+    return sq.pyramid(vectors(s, d), "vec_id", 4, 2).select("vec_id", "level", "band", r6("x").alias("x"))
+
+
+def spans(s: SparkSession, d: str) -> DataFrame:
+    return clusters(s, d).select("utt", F.col("c_start").alias("start"), F.col("c_end").alias("end"))
+
+
+@query
+def register_time(s, d):
+    return sq.registered(spans(s, d), frames(s, d), 5)
+
+
+@query
+def registered_template(s, d):
+    return register_time(s, d).groupBy("dt").agg(r6(F.avg("value")).alias("mean"), F.count("*").alias("n"))
+
+
+def one_frame_segments(s: SparkSession, d: str) -> DataFrame:
+    return frames(s, d).select("utt", F.col("frame").alias("start_frame"), (F.col("frame") + 1).alias("end_frame"), "phn")
+
+
+@query
+def pattern_part_times(s, d):
+    return sq.pattern_parts(one_frame_segments(s, d), ["view", "click"])
+
+
+@query
+def pattern_utterances(s, d):
+    return sq.has_pattern(one_frame_segments(s, d), ["view", "click", "purchase"])
+
+
+@query
+def label_set(s, d):
+    return frames(s, d).groupBy("phn").agg(F.countDistinct("utt").alias("utterances"))
+
+
+@query
+def largest_peak(s, d):
+    return sq.largest_peak(frames(s, d))
+
+
+@query
+def seeded_sample(s, d):
+    return sq.seeded_sample(frames(s, d).select("utt").distinct(), "utt", 10, 7)
+
+
+@query
+def grid_cells(s, d):
+    """Every second vector component in the layout of 8 channels, with its coarse coordinate."""
+    v = vectors(s, d).withColumns({"h": F.col("feat") % 8, "z": F.floor(F.col("feat") / 8)})
+    return v.where("h % 2 = 0 AND z % 4 = 0").select("vec_id", "h", "z", fn.coarse(F.col("h"), 4).alias("coarse"), r6("x").alias("x"))
+
+
+@query
+def label_pairs_by_half(s, d):
+    """Set operations: label pairs of even utterances only, of odd ones only, and of both."""
+    w = W.partitionBy("utt").orderBy("frame")
+    p = frames(s, d).select("utt", "phn", F.lead("phn").over(w).alias("b"), F.lead("value").over(w).alias("v")).where("b IS NOT NULL AND v > 350")
+    even, odd = (p.where(F.col("utt") % 2 == k).select(F.col("phn").alias("a"), "b", F.floor(F.col("v") / 20).alias("level")) for k in (0, 1))
+    tag = lambda rows, name: rows.withColumn("side", F.lit(name))
+    return tag(even.subtract(odd), "even").unionByName(tag(odd.subtract(even), "odd")).unionByName(tag(even.intersect(odd), "both"))
+
+
+@query
+def length_histogram(s, d):
+    return clusters(s, d).groupBy((F.col("c_end") - F.col("c_start")).alias("len")).agg(F.count("*").alias("n"))
+
+
+@query
+def detect_values(s, d):
+    """Filters slid over real-valued features: each frame's hundred carries the rest of its value."""
+    b, spine = event_bits(s, d)
+    bank, bias = filter_bank(s)
+    b = b.join(frames(s, d).select("utt", "frame", (F.col("value") % 100).alias("x")), ["utt", "frame"])
+    return tp.detect(b, bank, spine, bias).select("utt", "frame", "comp", r6("score").alias("score"))
+
+
+@query
+def best_per_example(s, d):
+    return tp.best_per_example(detected(s, d).withColumn("score", r6("score")))
+
+
+@query
+def component_threshold(s, d):
+    bar = s.range(3).select(F.col("id").cast("int").alias("comp"), (F.col("id") * 0.5).alias("threshold"))
+    best = tp.best_filter(detected(s, d).withColumn("score", r6("score")))
+    return tp.over_threshold(best, bar).select("utt", "frame", "comp", "score")
+
+
+@query
+def salient_counts(s, d):
+    return tp.salient_counts(bits(s, d), filters(s, d), "vec_id", 0.6)
+
+
+@query
+def hard_assignments(s, d):
+    return tp.hard_assignments(scores(s, d), "vec_id", 0.95).select("vec_id", "label", r6("a").alias("a"))
+
+
+@query
+def direct_scores(s, d):
+    b = bits(s, d)
+    t, g = tp.class_templates(b), tp.mean_background(b)
+    exact = tp.direct_scores(b, t, g, "vec_id").select("vec_id", "label", r6("score").alias("exact"))
+    table_ = tp.direct_scores(b, t, g, "vec_id", fn.log_quantized).select("vec_id", "label", r6("score").alias("by_table"))
+    return exact.join(table_, ["vec_id", "label"])
+
+
+@query
+def background_spread(s, d):
+    return tp.background_spread(vectors(s, d)).select("feat", F.round("spread", 9).alias("spread"))
+
+
+@query
+def edge_patches(s, d):
+    b, spine = event_bits(s, d)
+    return tp.patches(b.join(spine, ["utt", "frame"]), 3, 4, 6)
+
+
+@query
+def coarse_to_fine(s, d):
+    return tp.coarse_to_fine(bits(s, d), filters(s, d), "vec_id", 4, 0.0).select("vec_id", "label", "coarse", r6("score").alias("score"))
