@@ -129,6 +129,24 @@ def two_part_templates(template: DataFrame, background: DataFrame, length: int,
     return grid.join(laid, ["comp", "dt", "feat"], "left").select("comp", "dt", "feat", F.coalesce("p", "b").alias("p"))
 
 
+def three_part_templates(template: DataFrame, background: DataFrame, length: int, front: int, middle: int, back: int) -> DataFrame:
+    """f, b, dt, feat, p: all deformations of a template (dt, feat, p) of `length` frames by its first `front`,
+    central `middle` and last `back` frames. The middle moves f frames towards the front, and the back b frames
+    away from the middle, as far as neighbouring parts still touch in the template's own overlap. The mean counts
+    where parts overlap, the background (feat, p) where none lies. Rows depend on the model alone."""
+    at_middle, at_back = length // 2 - middle // 2, length - back
+    reach_f, reach_b = front - at_middle, at_middle + middle - at_back
+    moves = [F.explode(F.sequence(F.lit(-r), F.lit(r))).alias(n) for n, r in (("f", reach_f), ("b", reach_b))]
+    forms = template.sparkSession.range(1).select(moves[0]).select("f", moves[1])
+    starts = ((0, front, F.lit(0)), (at_middle, middle, -F.col("f")), (at_back, back, F.col("b") - F.col("f")))
+    parts = F.array_compact(F.array(*[F.when(F.col("dt").between(s, s + n - 1), F.col("dt").cast("int") + shift) for s, n, shift in starts]))
+    laid = template.select("dt", "feat", "p").join(F.broadcast(forms), F.lit(True), "inner")  # the fixed number of deformations
+    laid = laid.select("f", "b", "feat", "p", F.explode(parts).alias("dt")).groupBy("f", "b", "dt", "feat").agg(F.avg("p").alias("p"))
+    grid = background.select("feat", F.col("p").alias("_g")).join(F.broadcast(forms), F.lit(True), "inner")
+    grid = grid.withColumn("dt", F.explode(F.sequence(F.lit(0), F.lit(length + reach_f + reach_b - 1))))
+    return grid.join(laid, ["f", "b", "dt", "feat"], "left").select("f", "b", "dt", "feat", F.coalesce("p", "_g").alias("p"))
+
+
 def retrained(bits: DataFrame, pairs: DataFrame, key: str, p: float = 0.01) -> DataFrame:
     """label, feat, w, c0: each class's mean over its own examples against the mean over those wrongly given to
     it. bits (key, feat, x), pairs (key, pred, truth); .5 stands in for a mean that has no example."""

@@ -214,4 +214,14 @@ SELECT utt, start, count(*) AS n, string_agg(dt || ':' || f, ',' ORDER BY dt, f)
     "coarse_to_fine": f"""WITH {ALL}, {SC}, po AS (SELECT vec_id, feat // 4 AS feat, max(x) AS x FROM b GROUP BY ALL), ro AS (SELECT label, feat // 4 AS feat, avg(w) AS w, avg(c0) AS c0 FROM fl GROUP BY ALL),
 co AS (SELECT po.vec_id, ro.label, round(sum(c0 + w * x), 6) AS coarse FROM po JOIN ro USING (feat) GROUP BY ALL)
 SELECT co.vec_id, co.label, co.coarse, sc.score FROM co JOIN sc USING (vec_id, label) WHERE coarse >= 0""",
+    "three_part_templates": f"""WITH {TWO}, mv AS (SELECT x.i AS f, y.i AS b FROM range(-2, 3) x(i) CROSS JOIN range(-2, 3) y(i)),
+pl AS (SELECT f, b, dt, feat, p FROM zt CROSS JOIN mv WHERE dt < 4 UNION ALL SELECT f, b, dt - f, feat, p FROM zt CROSS JOIN mv WHERE dt >= 2 AND dt < 6 UNION ALL SELECT f, b, dt + b - f, feat, p FROM zt CROSS JOIN mv WHERE dt >= 4),
+pa AS (SELECT f, b, dt, feat, avg(p) AS p FROM pl GROUP BY ALL)
+SELECT mv.f::INTEGER AS f, mv.b::INTEGER AS b, j.i::INTEGER AS dt, gb.feat::INTEGER AS feat, round(coalesce(pa.p, gb.p), 6) AS p
+FROM gb CROSS JOIN mv CROSS JOIN range(12) j(i) LEFT JOIN pa ON pa.f = mv.f AND pa.b = mv.b AND pa.dt = j.i AND pa.feat = gb.feat""",
+    "window_means": """WITH w AS (SELECT time_bucket(INTERVAL '30 minutes', ts) - k.i * INTERVAL '30 minutes' AS start, event_type, value FROM events CROSS JOIN range(2) k(i))
+SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, event_type, round(avg(value), 6) AS mean, count(*) AS n FROM w GROUP BY ALL""",
+    "detection_sessions": """WITH h AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL '12 hours' THEN 1 ELSE 0 END AS nw FROM events WHERE value >= 60),
+i AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY ts) AS sid FROM h)
+SELECT min(ts) AS start, user_id, count(*) AS n, max(value) AS best FROM i GROUP BY user_id, sid""",
 }

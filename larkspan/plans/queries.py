@@ -13,6 +13,7 @@ from larkspan.operators import models as md
 from larkspan.operators import sequence as sq
 from larkspan.operators import templates as tp
 from larkspan.sources.tables import event_frames, table, vectors
+from larkspan.streaming import running
 
 PEAK, GAP, BACK, AHEAD = 60.0, 4, 1, 2
 QUERIES = {}
@@ -668,3 +669,26 @@ def edge_patches(s, d):
 @query
 def coarse_to_fine(s, d):
     return tp.coarse_to_fine(bits(s, d), filters(s, d), "vec_id", 4, 0.0).select("vec_id", "label", "coarse", r6("score").alias("score"))
+
+
+@query
+def three_part_templates(s, d):
+    b = bits(s, d)
+    t = tp.class_templates(b).where("label = 0").select(F.floor(F.col("feat") / 8).alias("dt"), (F.col("feat") % 8).alias("feat"), "p")
+    back = tp.mean_background(b.withColumn("feat", F.col("feat") % 8))
+    return tp.three_part_templates(t, back, 8, 4, 4, 4).select("f", "b", "dt", "feat", r6("p").alias("p"))
+
+
+def timed(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query
+def window_means(s, d):
+    """The streaming windows over the events as one batch."""
+    return running.window_means(timed(s, d)).select(F.col("window.start").cast("string").alias("start"), "event_type", r6("mean").alias("mean"), "n")
+
+
+@query
+def detection_sessions(s, d):
+    return running.detection_sessions(timed(s, d), 60.0, "12 hours").select(F.col("session_window.start").cast("timestamp_ntz").alias("start"), "user_id", "n", "best")
