@@ -38,6 +38,8 @@ SEGMENTS = ((0, 23), (23, 23), (46, 18))
 GENERATOR = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1, of the binary Golay code
 #: Fingerprints of one key that are compared in one block; more are dealt over pairs of blocks.
 BLOCK = 1 << 16
+#: Parts over which the links of one node are dealt in a components round.
+SALTS = 16
 
 
 def fingerprint(text: bytes | None) -> int:
@@ -223,19 +225,25 @@ def components(edges: DataFrame) -> DataFrame:
 
     Rounds of large star and small star: a node links its larger neighbours, then its smaller ones and
     itself, to the smallest neighbour it has. Only smallest neighbours are gathered by node, summed before
-    they move; each round's edges are written, and the rounds end when the edges stay as they are.
+    they move, and dealt over SALTS copies for the joins, so the links of one node, up to all of them, spread
+    over as many tasks. Each round's edges are written, and the rounds end when the edges stay as they are.
     """
-    spark = edges.sparkSession
+    salt = F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")
+
+    def met(edges: DataFrame, least: DataFrame) -> DataFrame:
+        copies = least.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("n", "a")
+        return edges.withColumn("_s", salt).join(copies, ["a", "_s"])
+
     mark = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     now, before = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc"), None
     while (state := mark(now)) != before:
         before = state
         both = now.union(now.select("b", "a"))
         least = both.groupBy(F.col("a").alias("n")).agg(F.least(F.min("b"), F.col("n")).alias("m"))
-        large = both.join(least, both["a"] == least["n"]).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = met(both, least).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         mid = written(large.where("a <> b").distinct(), "cc")
         least = mid.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m"))
-        small = mid.join(least, mid["a"] == least["n"]).select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("n", "m"))
+        small = met(mid, least).select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("n", "m"))
         after = written(small.where("a <> b").distinct(), "cc")
         discard(mid)
         discard(now)
