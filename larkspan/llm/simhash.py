@@ -232,7 +232,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     def met(edges: DataFrame, least: DataFrame) -> DataFrame:
         copies = least.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("n", "a")
-        return edges.withColumn("_s", salt).join(copies, ["a", "_s"])
+        # sort-merge: the planner's sizes don't count the copies, so it might broadcast 16 times what it means to
+        return edges.withColumn("_s", salt).join(copies.hint("merge"), ["a", "_s"])
 
     mark = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     now, before = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc"), None
