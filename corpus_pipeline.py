@@ -28,13 +28,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the group's smallest doc_id. Of rows that
-    share that doc_id, the one with the smallest content stays; a group without any id keeps one row."""
-    groups = simhash.near_duplicates(docs.select("doc_id", "text")).select("doc_id", "component_id").distinct()
-    keep = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    first = W.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns), *[F.col(c) for c in docs.columns if c != "doc_id"])
-    return kept.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(docs.columns)
+    """One document of each group of near-duplicates, whatever ids it has: the one with the group's smallest
+    doc_id, one without an id only where no row of the group has any. Of rows that share that doc_id one
+    stays, by a hash of the content; rows are told apart by text and all other columns."""
+    others = [x for c in docs.columns for x in (F.col(c).isNull(), F.col(c))]
+    rows = docs.withColumn("_row", F.concat_ws(":", F.hex(F.xxhash64(*others)), F.md5(F.col("text"))))
+    keep = simhash.survivors(rows.select("doc_id", "text", F.col("_row").alias("row")))
+    once = rows.withColumn("_n", F.row_number().over(W.partitionBy("_row").orderBy("doc_id"))).where("_n = 1")
+    return once.join(keep, F.col("_row") == F.col("row"), "left_semi").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

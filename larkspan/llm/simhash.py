@@ -252,6 +252,29 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b").distinct())
 
 
+def rooted(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Distinct fingerprints (fp, others) with root, the smallest fingerprint of the group."""
+    roots = written(components(links(distinct.select("fp"), block)), "prints-roots")
+    return distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+def survivors(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(row): of rows (doc_id, text, row), where row tells rows apart and equal ones have equal texts, one for
+    each group of near-duplicates: the smallest doc_id, null ids last, then the smallest row.
+
+    The smallest is taken by fingerprint and then by group, summed before it moves each time."""
+
+    @F.pandas_udf("long")
+    def fp(text: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t) for t in text], dtype=np.uint64).view(np.int64))
+
+    prints = rows.select("doc_id", "row", fp(F.col("text").cast("binary")).alias("fp"))
+    prints = written(prints, "prints")
+    best = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    distinct = written(prints.groupBy("fp").agg(F.min(best).alias("best")), "prints-distinct")
+    return rooted(distinct, block).groupBy("root").agg(F.min("best").alias("best")).select("best.row")
+
+
 def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, fingerprint (16 hex digits), component_id.
 
@@ -262,9 +285,7 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """
     prints = written(fingerprints(docs), "prints")
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "prints-distinct")
-    found = links(distinct.select("fp"), block)
-    roots = written(components(found), "prints-roots")
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = rooted(distinct, block)
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
     named = written(named.select("fp", "root").join(smallest, "root").select("fp", "component_id"), "prints-named")
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -397,3 +397,13 @@ def test_pipeline_stages_on_odd_rows(spark, odd, none):
     for docs in (odd, none):
         for _, stage in corpus_pipeline.STAGES:
             assert stage(spark, docs, SF).count() >= 0
+
+
+def test_one_row_of_each_group_whatever_its_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    texts = [(None, a), (None, b), (None, b), (7, c), (7, d), (8, d), (None, c), (2**60 + 1, a + " end"), (None, ""), (9, None), (9, None)]
+    docs = spark.createDataFrame([(i, t, None, "s", None) for i, t in texts], DOCS)
+    assert simhash.near_duplicates(docs.where("text IS NOT NULL AND text <> ''")).select("fingerprint").distinct().count() == 5
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()), key=repr)
+    near = bin(brute_fingerprint(a) ^ brute_fingerprint(a + " end")).count("1") <= 4
+    assert got == sorted([(None, b), (7, c), (7, d), (2**60 + 1, a + " end"), (9, None)] + ([] if near else [(None, a)]), key=repr)
