@@ -26,7 +26,7 @@ AGAINST = {"nav": 12, "footer": 12, "aside": 12, "form": 12, "menu": 12, "button
 FOR = {"article": 6, "main": 4}
 #: Words of a class, id or role that speak against or for content.
 BAD_WORDS = frozenset(
-    "ad ads advert advertisement adverts advertising alert banner breadcrumb breadcrumbs complementary consent cookie cookies copyright disclaimer dropdown footer form gdpr header hidden login masthead menu modal nav navbar "
+    "ad ads advert advertisement adverts advertising alert banner breadcrumb breadcrumbs complementary consent cookie cookies copyright disclaimer dropdown footer form gdpr header login masthead menu modal nav navbar "
     "navigation newsletter notice notices overlay pager pagination paywall popup recommended respond rail search share sharing sidebar signup sitemap skip social subscribe subscription tags toast toolbar "
     "topbar topnav trending widget widgets".split()
 )
@@ -36,33 +36,58 @@ GOOD_WORDS = frozenset("article body content entry main post story text".split()
 #: Beginnings of class names that tell a page's state and not what an element holds.
 _STATE = ("has-", "with-", "no-", "is-", "js-")
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_HIDDEN_BY = re.compile(r"\bhidden\b(?!\s*-)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
+_UNSEEN = re.compile(r"(?<![\w-])(?:display\s*:\s*none|visibility\s*:\s*hidden)(?![\w-])", re.I)
 
 
-def naming(attributes: str) -> set[str]:
-    """The words of an element's classes, id and role: the parts of each name, and each two
-    parts in a row joined, so that side-bar and leftSideBar are sidebar as well."""
+def attributes_of(tag: str) -> dict[str, str]:
+    """A tag's attributes by lower-case name, empty where there is no value; of repeated ones the first."""
+    out: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(tag):
+        out.setdefault(name.lower(), "".join(values))
+    return out
+
+
+def names_of(attributes: dict[str, str]) -> list[str]:
+    """An element's classes, id and role."""
+    return [name for key in ("class", "id", "role") for name in attributes.get(key, "").split()]
+
+
+def naming(names: list[str]) -> set[str]:
+    """The words of names: the parts of each name, and each two parts in a row joined, so that side-bar
+    and leftSideBar are sidebar as well."""
     out: set[str] = set()
-    for found in _NAMES.findall(attributes):
-        for name in "".join(found).split():
-            if not name.lower().startswith(_STATE):
-                parts = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w]
-                out.update(parts)
-                out.update(a + b for a, b in zip(parts, parts[1:], strict=False))
+    for name in names:
+        if not name.lower().startswith(_STATE):
+            parts = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w]
+            out.update(parts)
+            out.update(a + b for a, b in zip(parts, parts[1:], strict=False))
     return out
 
 
-def marked(name: str, attributes: str, in_article: bool) -> tuple[bool, set[str]]:
+def unseen(attributes: dict[str, str], names: list[str]) -> bool:
+    """Whether an element isn't shown: the attribute hidden, aria-hidden that is true, a style that says so,
+    or a name that is hidden as a whole. overflow:hidden and hidden-xs don't hide it."""
+    return (
+        "hidden" in attributes
+        or attributes.get("aria-hidden", "").strip().lower() == "true"
+        or bool(_UNSEEN.search(attributes.get("style", "")))
+        or any(name.lower() == "hidden" for name in names)
+    )
+
+
+def marked(name: str, tag: str, in_article: bool) -> tuple[bool, set[str]]:
     """(whether an element's names or style call it boilerplate, the words of its names). An article's own
     head (post-header, or a header inside an article) is not."""
-    words = naming(attributes) if attributes else set()
+    attributes = attributes_of(tag) if tag else {}
+    names = names_of(attributes)
+    words = naming(names)
     if name in ("html", "body", "main"):
         return False, words
     bad = words & BAD_ARTICLES if name == "article" else words & (BAD_WORDS | BAD_ARTICLES)
     if in_article or words & GOOD_WORDS:
         bad = bad - {"header"}
-    return bool(bad) or bool(attributes and name != "article" and _HIDDEN_BY.search(attributes)), words
+    return bool(bad) or name != "article" and unseen(attributes, names), words
 
 
 class Block(NamedTuple):

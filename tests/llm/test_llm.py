@@ -143,6 +143,17 @@ def test_an_articles_own_head_stays():
     assert extract.main_text(f'<div class="post"><div class="post-header"><h1>Head</h1></div><p>{TEXT}</p></div>') == f"Head {TEXT}"
 
 
+@pytest.mark.parametrize("says", ['style="overflow:hidden"', 'aria-hidden="false"', 'title="the hidden truth"', 'data-x="hidden"', 'data-id="sidebar"', 'class="overflow-hidden hidden-xs"'])
+def test_the_word_hidden_alone_hides_nothing(says):
+    for inner in (f"<p>{TEXT}</p>", f"<article><p>{TEXT}</p></article>"):
+        assert extract.main_text(f"<div {says}>{inner}</div>") == TEXT
+
+
+@pytest.mark.parametrize("says", ["hidden", "hidden=''", "aria-hidden=true", "style='x:y; Display : none'", 'style="visibility:hidden"', 'class="a hidden"'])
+def test_what_is_hidden_goes(says):
+    assert extract.main_text(f"<div {says}><p>{OTHER}</p></div><article><p>{TEXT}</p></article>") == TEXT
+
+
 # 3
 
 
