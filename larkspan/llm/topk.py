@@ -38,20 +38,21 @@ def _masks(radius: int) -> np.ndarray:
 
 
 class Index:
-    """Distinct codes of a block, sorted by each segment's value."""
+    """Distinct codes of a block with the ids of each, sorted by each segment's value."""
 
-    def __init__(self, codes: np.ndarray) -> None:
-        self.codes = codes
+    def __init__(self, codes: np.ndarray, ids: list[np.ndarray]) -> None:
+        self.codes, self.ids = codes, ids
         segments = codes.view("<u2").reshape(-1, PARTS)
         self.order = [np.argsort(segments[:, p], kind="stable") for p in range(PARTS)]
         self.first = [np.searchsorted(segments[o, p], np.arange((1 << SEGMENT) + 1)) for p, o in enumerate(self.order)]
 
-    def nearest(self, query: np.uint64, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(positions, distances) of the block's codes up to the kth smallest distance, ties included.
+    def nearest(self, query: np.uint64, k: int, asker: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, distances) of the k nearest distinct ids but the asker's, by distance and id; an id of several
+        codes counts once, at its smallest distance.
 
         After all segments were probed up to radius r, and the first p at r + 1, whatever is not seen yet
-        differs in at least PARTS * (r + 1) + p bits: the radii grow one segment at a time until the kth
-        verified distance lies below that, or everything has been seen.
+        differs in at least PARTS * (r + 1) + p bits: the radii grow one segment at a time until the codes
+        verified below that hold k such ids, or everything has been seen.
         """
         own = np.array([query], np.uint64).view("<u2")
         seen = np.zeros(len(self.codes), bool)
@@ -71,15 +72,23 @@ class Index:
                     at = np.concatenate((at, new))
                     dist = np.concatenate((dist, np.bitwise_count(self.codes[new] ^ query)))
                 covered = PARTS * radius + p  # distances up to this one are complete
-                if len(at) >= k and np.partition(dist, k - 1)[k - 1] <= covered or len(at) == len(self.codes):
-                    break
-            else:
-                continue
-            break
-        if len(at) > k:
-            keep = dist <= np.partition(dist, k - 1)[k - 1]
-            at, dist = at[keep], dist[keep]
-        return at, dist
+                if len(at) == len(self.codes):
+                    return self._first(at, dist, k, asker)
+                below = dist <= covered
+                if below.any():
+                    found, far = self._first(at[below], dist[below], k, asker)
+                    if len(found) == k:
+                        return found, far
+        return self._first(at, dist, k, asker)
+
+    def _first(self, at: np.ndarray, dist: np.ndarray, k: int, asker: int) -> tuple[np.ndarray, np.ndarray]:
+        """The first k distinct ids of the codes at these places, and their distances."""
+        ids = np.concatenate([self.ids[i] for i in at.tolist()]) if len(at) else np.empty(0, np.int64)
+        far = np.repeat(dist, [len(self.ids[i]) for i in at.tolist()])
+        order = np.lexsort((ids, far))
+        order = order[ids[order] != asker]
+        first = np.sort(np.unique(ids[order], return_index=True)[1])[:k]
+        return ids[order[first]], far[order[first]]
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, codes: int = CODES, per_cell: int = QUERIES) -> DataFrame:
@@ -106,13 +115,12 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, codes: int = CODES,
 
     def search(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         here = pdf["id"].isna().to_numpy()
-        own, ids = Index(pdf["code"].to_numpy()[here].view(np.uint64)), pdf["ids"].to_numpy()[here]
+        own = Index(pdf["code"].to_numpy()[here].view(np.uint64), [np.asarray(x, np.int64) for x in pdf["ids"].to_numpy()[here]])
         out: list[tuple[int, int, int]] = []
         if here.any():
             for q, c in zip(pdf["id"].to_numpy()[~here].astype(np.int64).tolist(), pdf["code"].to_numpy()[~here].view(np.uint64), strict=True):
-                at, dist = own.nearest(c, k + 1)
-                got = sorted((int(d), int(i)) for a, d in zip(at.tolist(), dist.tolist(), strict=True) for i in ids[a])
-                out += [(q, i, d) for d, i in [x for x in got if x[1] != q][:k]]
+                found, far = own.nearest(c, k, q)
+                out += [(q, i, d) for i, d in zip(found.tolist(), far.tolist(), strict=True)]
         return pd.DataFrame(out, columns=["query_id", "neighbor_id", "distance"])
 
     found = left.unionByName(right).groupBy("block", "cell").applyInPandas(search, "query_id long, neighbor_id long, distance int")

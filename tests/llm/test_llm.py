@@ -358,6 +358,13 @@ def test_top_k_by_brute_force(spark, codes):
     assert got == want
 
 
+def test_ids_with_several_near_codes_count_once(spark):
+    many = [(1, 1 << i) for i in range(30)] + [(0, 0), (0, 3)]
+    df = spark.createDataFrame(many + [(i, (1 << 40) - (1 << (40 - i))) for i in range(5, 12)], "id long, code long")
+    want = [(0, 1, 1, 1)] + [(0, i - 3, i, i) for i in range(5, 9)]
+    assert sorted(tuple(r) for r in topk.top_k(df, df.where("code = 0"), 5).collect()) == want
+
+
 # 10
 
 
