@@ -388,6 +388,18 @@ def test_mined_rules_match_as_brute_force(spark):
     assert all((v == "block") == bool(re.search("spam|bets.*/a/", u)) for u, v in got.items())
 
 
+def test_rules_at_small_sizes_and_of_four_tokens(spark):
+    rng = random.Random(6)
+    made = [(f"http://h{rng.randint(0, 9)}.org/{rng.randint(0, 99)}", rng.random() < 0.1) for _ in range(980)] + [(f"http://spam.org/{i}", True) for i in range(20)]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(made)], "page_id long, url string, bad boolean")
+    got = urls.url_filter(df.drop("bad"), df.select("url", "bad")).where("verdict = 'block'").select("url").distinct().collect()
+    assert {r.url for r in got} == {f"http://spam.org/{i}" for i in range(20)}
+    four = [("a/b/c/d", True)] * 40 + [(x, False) for x in ("a/b/c", "a/b/d", "a/c/d", "b/c/d") for _ in range(60)]
+    df = spark.createDataFrame([(i, f"http://h.org/{u}", b) for i, (u, b) in enumerate(four)], "page_id long, url string, bad boolean")
+    got = urls.url_filter(df, df.select("url", "bad")).where("(verdict = 'block') <> bad")
+    assert got.count() == 0
+
+
 # the pipeline
 
 
