@@ -44,6 +44,10 @@ SCORES = {"tag": 1.0, "phrase": 0.9, "notice": 0.7}
 #: Bytes that part words: everything below 0x80 but digits and lower-case letters, after A-Z became a-z.
 _TO_WORDS = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 _KNOWN = re.compile("|".join(map(re.escape, FAMILIES)))
+_TAG = re.compile(re.escape(TAG), re.I | re.A)
+_NO_LICENCE = frozenset(("none", "noassertion"))
+#: What follows a plain word that is an identifier: marks up to the line's end, a bracket or an operator.
+_PLAIN_END = re.compile(r"\W*\Z|\s*\)|\s+(?:or|and|with)\s", re.I)
 _POWER = {"or": 1, "and": 2, "with": 3}
 
 
@@ -120,19 +124,23 @@ def evaluate(expression: str) -> list[frozenset[str]] | None:
 
 
 def _tag_expression(line: str) -> str | None:
-    """The longest beginning of a line that is an expression; after it prose may follow."""
-    got = [m for m in re.finditer(r"\s*(?:[()]|[a-z0-9][a-z0-9.+-]*)", line)]
+    """The longest beginning of a line that is an expression, in lower case; after it prose may follow.
+
+    Any identifier is an operand. A plain word, without digit, hyphen, known family or a second capital, may
+    also be prose: it is an operand after an operator in capitals, or if nothing but marks, an operator or a
+    bracket follows. NONE and NOASSERTION name no licence."""
     end, at = 0, 0
     parts: list[str] = []
-    open_, operand = 0, True
-    for m in got:
+    open_, operand, sure = 0, True, False
+    for m in re.finditer(r"\s*(?:[()]|[A-Za-z0-9][A-Za-z0-9.+-]*)", line):
         if m.start() != at:
             break
-        t = m[0].strip().rstrip(".")
+        word = m[0].strip().rstrip(".")
+        t = word.lower()
         if t in _POWER:
             if operand:
                 break
-            operand = True
+            operand, sure = True, word.isupper()
         elif t == "(":
             if not operand:
                 break
@@ -142,7 +150,8 @@ def _tag_expression(line: str) -> str | None:
                 break
             open_ -= 1
         else:
-            if not operand or not (_KNOWN.match(t) or re.search(r"[0-9-]", t)):  # a word of prose
+            named = _KNOWN.match(t) or re.search(r"[0-9-]|[A-Z].*[A-Z]", word)
+            if not operand or t in _NO_LICENCE or not (named or sure or _PLAIN_END.match(line, m.end())):  # a word of prose
                 break
             operand = False
         parts.append(t)
@@ -186,7 +195,7 @@ def scan(text: bytes | None, machine: ahocorasick.Automaton) -> Scan:
             found.add(label)
     expressions = []
     if tagged:
-        for line in raw.decode("utf-8", "replace").lower().split(TAG)[1:]:
+        for line in _TAG.split(raw.decode("utf-8", "replace"))[1:]:
             if expression := _tag_expression(line.split("\n", 1)[0]):
                 expressions.append(expression)
                 found.update(x for way in evaluate(expression) or [] for x in way)

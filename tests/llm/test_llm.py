@@ -301,6 +301,18 @@ def test_licence_expressions():
     assert (got.labels, got.base_labels, got.score) == ("gpl,mit", "", 1.0)
 
 
+@pytest.mark.parametrize(
+    "line, labels",
+    [
+        ("WTFPL", "wtfpl"), ("MIT OR WTFPL", "mit,wtfpl"), ("Ruby */", "ruby"), ("curl AND (OpenSSL OR NCSA) see the file", "curl,ncsa,openssl"), ("MIT AND Ruby see there", "mit,ruby"),
+        ("(postgresql or mit)", "mit,postgresql"), ("WTFPL see LICENSE", "wtfpl"), ("MIT and so on", "mit"), ("is needed in each file", ""), ("NONE", ""), ("GPL-2.0-only WITH Classpath-exception-2.0", "gpl"),
+    ],
+)
+def test_licence_tags_of_any_identifier(line, labels):
+    got = licenses.scan(f"# SPDX-License-Identifier: {line}\r\ntext".encode(), licenses.automaton())
+    assert (got.labels, got.score) == (labels, 1.0 if labels else 0.0)
+
+
 # 7
 
 
