@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections import Counter
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,12 +19,17 @@ from larkspan.llm.common import table, written
 LENGTH = 4096
 END_ID = 2
 #: Lengths are planned in units of so many tokens; a piece takes the next whole number of units.
-UNIT = 16
-SALTS = 64
+UNIT = 8
+#: Parts over which the pieces of one size are dealt to be ranked.
+SALTS = 256
 VOCABULARY = "word_bpe_49k.json"
-_PLAIN = re.compile("[!-~\u00c0-\u00ff]+")
-#: The tokenizer's pattern for pieces, over these characters in lower case.
-_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+#: The bytes of Latin-1 that the fast way takes, but for white space: printable ASCII and U+00C0 to U+00FF.
+_PLAIN = bytes([*range(33, 127), *range(0xC0, 0x100)])
+_SPACE = b" \t\n\x0b\x0c\r"
+#: Latin-1 in lower case.
+_LOWER = bytes(c + 32 if 65 <= c <= 90 or 0xC0 <= c <= 0xDE and c != 0xD7 else c for c in range(256))
+#: The tokenizer's pattern for pieces, over these bytes in lower case.
+_PIECE = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\sa-z0-9\xdf-\xf6\xf8-\xff]+")
 
 
 def tokenizer_path() -> str:
@@ -33,78 +38,77 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
-class WordIds:
-    """A tokenizer's ids by white-space word. Its vocabulary drops white space and never joins characters
-    across it, so a text's ids are those of its words one after the other. Ids of words that were met are
-    kept, up to `most` words, and those of pieces of words likewise.
+class _Known(dict):
+    """What was met before, with its ids as little-endian unsigned 32-bit bytes; the rest is made on demand.
+    Beyond `most` entries a new generation begins, which takes over what it meets of the last one, and the
+    one before is forgotten; so a worker's memory is bounded, and what is frequent stays."""
+
+    def __init__(self, make: Callable[[bytes], list[int]], most: int) -> None:
+        self.make, self.most, self.last = make, most, {}
+
+    def __missing__(self, key: bytes) -> bytes:
+        if len(self) >= self.most:
+            self.last = dict(self)
+            self.clear()
+        got = self.last.get(key)
+        if got is None:
+            ids = self.make(key)
+            got = struct.pack(f"<{len(ids)}I", *ids)
+        self[key] = got
+        return got
+
 
-    A new word of printable ASCII and the letters U+00C0 to U+00FF is cut here into the pieces of the
-    tokenizer's own pattern, of which most were met before, and new pieces go to its merge model; no
-    normal form but lower case applies to these characters. Any other word goes through the tokenizer.
+class WordIds:
+    """A tokenizer's ids, just as its own encode() gives them without special tokens added; up to `most`
+    pieces and their ids are kept.
+
+    The strings of special tokens (<|endoftext|> and the like) stand for their ids wherever they occur in
+    a text, so the text is parted at them first. The vocabulary drops white space and never joins characters
+    across it. Words of printable ASCII and the letters U+00C0 to U+00FF are cut here into the pieces of the
+    tokenizer's own pattern, of which most were met before, and new pieces go to its merge model; no normal
+    form but lower case applies to these characters. Any other word goes through the tokenizer.
     """
 
-    def __init__(self, path: str, most: int = 300_000) -> None:
+    def __init__(self, path: str, most: int = 400_000) -> None:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
-        self.model = self.tok.model
-        self.most = most
+        tokenize = self.tok.model.tokenize
         shown = [c for c in range(256) if 33 <= c <= 126 or 161 <= c <= 172 or c >= 174]  # bytes that stand for themselves
-        self.letters = {c: chr(c) for c in shown} | {c: chr(256 + i) for i, c in enumerate(c for c in range(256) if c not in shown)}
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        if len(getattr(self, "pieces", ())) < self.most:
-            self.pieces: dict[str, list[int]] = getattr(self, "pieces", {})
-        else:
-            self.pieces = {}
-        self.ids, self.start, self.count = np.empty(1 << 16, "<u4"), np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
-        self.used = 0
-
-    def _piece(self, piece: str) -> list[int]:
-        shown = piece if piece.isascii() else "".join(self.letters[c] for c in piece.encode())
-        got = self.pieces[piece] = [t.id for t in self.model.tokenize(shown)]
-        return got
-
-    def _encode(self, word: bytes) -> list[int]:
-        text = word.decode("utf-8", "replace")
-        if not _PLAIN.fullmatch(text):
-            return self.tok.encode(text, add_special_tokens=False).ids
-        out: list[int] = []
-        for piece in _PIECE.findall(text.lower()):
-            out += self.pieces.get(piece) or self._piece(piece)
-        return out
-
-    def _learn(self, words: list[bytes]) -> None:
-        got = list(map(self._encode, words))
-        flat, count = list(chain.from_iterable(got)), np.fromiter(map(len, got), np.int64, len(got))
-        n, m = len(self.known), len(words)
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate((self.ids, np.empty_like(self.ids)))
-        while n + m > len(self.start):
-            self.start, self.count = (np.concatenate((x, np.empty_like(x))) for x in (self.start, self.count))
-        self.known.update(zip(words, range(n, n + m), strict=True))
-        self.count[n : n + m] = count
-        self.start[n : n + m] = self.used + np.cumsum(count) - count
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.used += len(flat)
+        letters = {c: chr(256 + i) for i, c in enumerate(c for c in range(256) if c not in shown)}
+        self.added = {t.content: struct.pack("<I", i) for i, t in self.tok.get_added_tokens_decoder().items()}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+
+        def piece(raw: bytes) -> list[int]:
+            shown = raw.decode("latin-1")
+            return [t.id for t in tokenize(shown if raw.isascii() else shown.encode().decode("latin-1").translate(letters))]
+
+        self.pieces = _Known(piece, most)
+        self.odd = _Known(lambda raw: self.tok.encode(raw.decode("utf-8"), add_special_tokens=False).ids, most // 8)
+
+    def _plain(self, raw: bytes) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, _PIECE.findall(raw.translate(_LOWER))))
+
+    def _part(self, text: str) -> bytes:
+        try:
+            raw = text.encode("latin-1")
+            if not raw.translate(None, _PLAIN + _SPACE):
+                return self._plain(raw)
+        except UnicodeEncodeError:
+            pass
+        out = []
+        for word in text.encode("utf-8", "replace").split():
+            raw = word if word.isascii() else word.decode().encode("latin-1", "ignore")
+            plain = len(raw) == len(word.decode()) and not raw.translate(None, _PLAIN)
+            out.append(self._plain(raw) if plain else self.odd[word])
+        return b"".join(out)
 
     def of(self, text: str) -> np.ndarray:
-        raw = text.encode()
-        words = (raw.lower() if raw.isascii() else raw).split()
-        if not words:
-            return np.empty(0, "<u4")
-        if new := [w for w in dict.fromkeys(words) if w not in self.known]:
-            if len(self.known) + len(new) > self.most:
-                self.clear()
-                new = list(dict.fromkeys(words))
-            self._learn(new)
-        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        count = self.count[at]
-        ends = np.cumsum(count)
-        return self.ids[np.repeat(self.start[at] - (ends - count), count) + np.arange(ends[-1])]
+        if self.cut and "<|" in text:
+            raw = b"".join(self.added[t] if t in self.added else self._part(t) for t in self.cut.split(text))
+        else:
+            raw = self._part(text)
+        return np.frombuffer(raw, "<u4")
 
 
 _shared: dict[str, WordIds] = {}
@@ -127,37 +131,70 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_I
     return rows.mapInPandas(run, "doc_id long, row long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
-def price(duals: np.ndarray, units: np.ndarray, room: int) -> tuple[float, np.ndarray]:
-    """The best pattern at these prices: an unbounded knapsack by dynamic programming, (value, counts)."""
+def price(duals: np.ndarray, units: np.ndarray, room: int, most: int = 1) -> tuple[float, list[np.ndarray]]:
+    """The best pattern's worth at these prices, and up to `most` patterns (counts) by falling worth, each
+    the best of those that hold some size: an unbounded knapsack by dynamic programming. units ascend.
+    In increasing room each optimum is found from smaller ones."""
     best, took = np.zeros(room + 1), np.full(room + 1, -1)
-    # density order lets a pass in increasing room find each optimum from smaller ones
+    fits = np.searchsorted(units, np.arange(room + 1), side="right")
     for r in range(1, room + 1):
-        fit = units <= r
-        if fit.any():
-            values = np.where(fit, duals + best[np.maximum(r - units, 0)], -1.0)
-            k = int(values.argmax())
-            if values[k] > best[r - 1] + 1e-12:
+        best[r] = best[r - 1]
+        if n := fits[r]:
+            values = duals[:n] + best[r - units[:n]]
+            k = values.argmax()
+            if values[k] > best[r] + 1e-12:
                 best[r], took[r] = values[k], k
+    worth, out = duals + best[room - units], []
+    for first in np.argsort(-worth, kind="stable")[:most].tolist():
+        counts, r = np.zeros(len(units), np.int64), room - int(units[first])
+        counts[first] = 1
+        while r > 0:
+            if took[r] < 0:
+                r -= 1
+            else:
+                counts[took[r]] += 1
+                r -= int(units[took[r]])
+        out.append(counts)
+    return float(best[room]), out
+
+
+def best_fit(left: dict[int, int], room: int) -> Counter:
+    """Patterns, each a sorted tuple of (units, pieces), and how often they are used, for pieces {units: pieces}
+    placed by decreasing size into the fullest sequence with room. Sequences of the same content are one
+    entry here, so the work depends on the sizes and not on the pieces."""
+    bins: dict[int, Counter] = {}  # room left: {content: sequences}
+    for s in sorted(left, reverse=True):
+        n = left[s]
+        for free in sorted(bins):
+            if free < s or not n:
                 continue
-        best[r] = best[r - 1]
-    counts, r = np.zeros(len(units), np.int64), room
-    while r > 0:
-        if took[r] < 0:
-            r -= 1
-        else:
-            counts[took[r]] += 1
-            r -= int(units[took[r]])
-    return float(best[room]), counts
-
-
-def plan(histogram: dict[int, int], room: int, rounds: int = 4000) -> list[tuple[dict[int, int], int]]:
+            each, entries = free // s, bins.pop(free)
+            for content, times in sorted(entries.items()):
+                full, part = min(times, n // each), 0
+                if full < times:
+                    part = n - full * each  # under a whole sequence's, and that sequence exists
+                for c, t in ((each, full), (part, 1 if part else 0), (0, times - full - (1 if part else 0))):
+                    if t:
+                        rest = free - c * s
+                        bins.setdefault(rest, Counter())[tuple(sorted((*content, (s, c)))) if c else content] += t
+                n -= full * each + part
+        each = room // s
+        for c, t in ((each, n // each), (n % each, 1 if n % each else 0)):
+            if t:
+                bins.setdefault(room - c * s, Counter())[((s, c),)] += t
+    return sum(bins.values(), Counter())
+
+
+def plan(histogram: dict[int, int], room: int, gap: float = 0.001, rounds: int = 4000) -> list[tuple[dict[int, int], int]]:
     """Patterns ({units: pieces}, times used) that hold exactly the pieces of histogram {units: pieces}.
 
     Column generation for the cutting-stock problem: a basis of one pattern a size is improved by the revised
-    simplex method, a knapsack over the present prices giving the entering pattern until none pays. The
-    basis solution is rounded down, never beyond what there is, and what remains is placed first-fit by
-    decreasing size, which adds at most about one sequence a size. Work depends on the sizes, not on how
-    many documents there are.
+    simplex method, a knapsack over the present prices giving the entering pattern. It ends when none pays,
+    or when Farley's bound (the prices' worth over the best pattern's) proves that at most the share `gap` of
+    the sequences could be saved, or less than one. `rounds` bounds the driver's work should a degenerate
+    basis circle; the plan is whole wherever it stops. The basis solution is rounded down, never beyond what
+    there is, and what remains, less than one pattern a size, is placed best-fit by decreasing size. Work
+    depends on the sizes, not on how many documents there are.
     """
     sizes = np.array(sorted(s for s, n in histogram.items() if n > 0), np.int64)
     need = np.array([histogram[int(s)] for s in sizes], float)
@@ -166,53 +203,43 @@ def plan(histogram: dict[int, int], room: int, rounds: int = 4000) -> list[tuple
     basis = np.diag((room // sizes).astype(float))
     inverse = np.linalg.inv(basis)
     x = inverse @ need
-    for turn in range(rounds):
+    pivots = 0
+    while pivots < rounds:
         duals = inverse.sum(axis=0)
-        value, column = price(duals, sizes, room)
-        if value <= 1 + 1e-7:
+        value, columns = price(duals, sizes, room)
+        bound, held = duals @ need / value, x.sum()
+        if value <= 1 + 1e-7 or bound >= (1 - gap) * held or np.ceil(bound - 1e-6) >= np.ceil(held - 1e-6):
             break
-        direction = inverse @ column
-        ratio = np.where(direction > 1e-9, x / np.where(direction > 1e-9, direction, 1), np.inf)
-        leave = int(ratio.argmin())
-        step = ratio[leave]
-        basis[:, leave] = column
-        x = x - step * direction
-        x[leave] = step
-        if turn % 50 == 49:
-            inverse = np.linalg.inv(basis)
-            x = np.maximum(inverse @ need, 0)
-        else:
-            pivot = inverse[leave] / direction[leave]
-            inverse = inverse - np.outer(direction, pivot)
-            inverse[leave] = pivot
+        for column in columns:
+            if inverse.sum(axis=0) @ column <= 1 + 1e-7:  # the pivots before took its gain
+                continue
+            direction = inverse @ column
+            ratio = np.where(direction > 1e-9, x / np.where(direction > 1e-9, direction, 1), np.inf)
+            leave = int(ratio.argmin())
+            step = ratio[leave]
+            basis[:, leave] = column
+            x = x - step * direction
+            x[leave] = step
+            pivots += 1
+            if pivots % 50 == 0:
+                inverse = np.linalg.inv(basis)
+                x = np.maximum(inverse @ need, 0)
+            else:
+                pivot = inverse[leave] / direction[leave]
+                inverse -= np.outer(direction, pivot)
+                inverse[leave] = pivot
     times = np.floor(np.maximum(x, 0) + 1e-6).astype(np.int64)
     left = need.astype(np.int64)
-    out: list[tuple[dict[int, int], int]] = []
+    used_: Counter = Counter()
     for k in np.argsort(-(basis * sizes[:, None]).sum(axis=0), kind="stable"):
         counts = np.rint(basis[:, k]).astype(np.int64)
         used = counts > 0
         n = min(int(times[k]), int((left[used] // counts[used]).min()))
         if n > 0:
             left -= n * counts
-            out.append(({int(s): int(c) for s, c in zip(sizes[used], counts[used], strict=True)}, n))
-    free: list[list] = []  # [room, counts]
-    for s, n in zip(sizes[::-1].tolist(), left[::-1].tolist(), strict=True):
-        for bin_ in free:
-            if not n:
-                break
-            fit = min(n, bin_[0] // s)
-            if fit:
-                bin_[0] -= fit * s
-                bin_[1][s] = bin_[1].get(s, 0) + fit
-                n -= fit
-        if n:
-            each = room // s
-            if n // each:
-                out.append(({s: each}, n // each))
-            if n % each:
-                free.append([room - (n % each) * s, {s: n % each}])
-    same = Counter(tuple(sorted(c.items())) for _, c in free)
-    return out + [(dict(c), n) for c, n in same.items()]
+            used_[tuple((int(s), int(c)) for s, c in zip(sizes[used], counts[used], strict=True))] += n
+    used_ += best_fit({int(s): int(n) for s, n in zip(sizes, left, strict=True) if n}, room)
+    return [(dict(c), n) for c, n in used_.items()]
 
 
 def slots(patterns: list[tuple[dict[int, int], int]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -232,40 +259,42 @@ def slots(patterns: list[tuple[dict[int, int], int]]) -> dict[int, tuple[np.ndar
 def pack(cut: DataFrame, length: int = LENGTH, unit: int = UNIT, salts: int = SALTS) -> DataFrame:
     """cut (row, start, length, others) with sequence_id and offset.
 
-    The histogram of sizes is at most length / unit numbers; the plan made from it is of the same order, so
-    both fit the driver and a broadcast whatever the input. Pieces of a size are ranked without gaps and
+    A piece of `length` tokens is a sequence of its own and moves nowhere; their ids are below zero. Of the
+    others the histogram of sizes is at most length / unit numbers; the plan made from it is of the same order,
+    so both fit the driver and a broadcast whatever the input. Pieces of a size are ranked without gaps and
     without bringing them together: they are dealt over salts, ranked there, and the salts' counts are
     added up. Rank decides the sequence; inside a sequence pieces lie one after the other from 0, large
-    ones first. An empty table gives no rows.
+    ones first. An empty table gives no rows. cut is read three times and should be a written table.
     """
-    sized = cut.withColumn("_size", F.ceil(F.col("length") / unit).cast("int")).withColumn("_salt", F.pmod(F.xxhash64("row", "start"), F.lit(salts)).cast("int"))
+    whole = cut.where(F.col("length") >= length).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    sized = cut.where(F.col("length") < length).withColumn("_size", F.ceil(F.col("length") / unit).cast("int")).withColumn("_salt", F.pmod(F.xxhash64("row", "start"), F.lit(salts)).cast("int"))
     counts = sized.groupBy("_size", "_salt").agg(F.count("*").alias("n"))
     table_ = counts.toPandas().sort_values(["_size", "_salt"])  # at most length / unit * salts rows
     before = (table_.groupby("_size")["n"].cumsum() - table_["n"]).to_numpy()
-    base = {(int(s), int(t)): int(b) for s, t, b in zip(table_["_size"], table_["_salt"], before, strict=True)}
+    starts = np.zeros((length // unit + 1, salts), np.int64)
+    starts[table_["_size"], table_["_salt"]] = before
     places = slots(plan({int(s): int(n) for s, n in table_.groupby("_size")["n"].sum().items()}, length // unit))
     context = cut.sparkSession.sparkContext
-    shared = context.broadcast((base, places))
+    shared = context.broadcast((starts, places))
     ranked = sized.withColumn("_rank", F.row_number().over(W.partitionBy("_size", "_salt").orderBy("row", "start")) - 1)
 
     @F.pandas_udf("long")
     def sequence(size: pd.Series, salt: pd.Series, rank: pd.Series) -> pd.Series:
-        base, places = shared.value
-        size, salt = size.to_numpy(), salt.to_numpy()
-        rank = rank.to_numpy().astype(np.int64)
-        out = np.zeros(len(rank), np.int64)
+        starts, places = shared.value
+        size, own = size.to_numpy(), rank.to_numpy().astype(np.int64)
+        own = own + starts[size, salt.to_numpy()]
+        out = np.zeros(len(own), np.int64)
         for s in np.unique(size):
             first, at, each = places[int(s)]
             here = np.flatnonzero(size == s)
-            own = rank[here] + np.array([base[int(s), int(t)] for t in salt[here]], np.int64)
-            run = np.searchsorted(first, own, side="right") - 1
-            out[here] = at[run] + (own - first[run]) // each[run]
+            run = np.searchsorted(first, own[here], side="right") - 1
+            out[here] = at[run] + (own[here] - first[run]) // each[run]
         return pd.Series(out)
 
     placed = ranked.withColumn("sequence_id", sequence("_size", "_salt", "_rank")).drop("_size", "_salt", "_rank")
     order = W.partitionBy("sequence_id").orderBy(F.col("length").desc(), "row", "start")
     offset = F.coalesce(F.sum("length").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return placed.withColumn("offset", offset.cast("long"))
+    return placed.withColumn("offset", offset.cast("long")).unionByName(whole)
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> DataFrame:
