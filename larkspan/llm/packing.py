@@ -131,10 +131,9 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_I
     return rows.mapInPandas(run, "doc_id long, row long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
-def price(duals: np.ndarray, units: np.ndarray, room: int, most: int = 1) -> tuple[float, list[np.ndarray]]:
-    """The best pattern's worth at these prices, and up to `most` patterns (counts) by falling worth, each
-    the best of those that hold some size: an unbounded knapsack by dynamic programming. units ascend.
-    In increasing room each optimum is found from smaller ones."""
+def price(duals: np.ndarray, units: np.ndarray, room: int) -> tuple[float, np.ndarray]:
+    """The best pattern's worth at these prices, and its counts: an unbounded knapsack by dynamic
+    programming. units ascend. In increasing room each optimum is found from smaller ones."""
     best, took = np.zeros(room + 1), np.full(room + 1, -1)
     fits = np.searchsorted(units, np.arange(room + 1), side="right")
     for r in range(1, room + 1):
@@ -144,18 +143,14 @@ def price(duals: np.ndarray, units: np.ndarray, room: int, most: int = 1) -> tup
             k = values.argmax()
             if values[k] > best[r] + 1e-12:
                 best[r], took[r] = values[k], k
-    worth, out = duals + best[room - units], []
-    for first in np.argsort(-worth, kind="stable")[:most].tolist():
-        counts, r = np.zeros(len(units), np.int64), room - int(units[first])
-        counts[first] = 1
-        while r > 0:
-            if took[r] < 0:
-                r -= 1
-            else:
-                counts[took[r]] += 1
-                r -= int(units[took[r]])
-        out.append(counts)
-    return float(best[room]), out
+    counts, r = np.zeros(len(units), np.int64), room
+    while r > 0:
+        if took[r] < 0:
+            r -= 1
+        else:
+            counts[took[r]] += 1
+            r -= int(units[took[r]])
+    return float(best[room]), counts
 
 
 def best_fit(left: dict[int, int], room: int) -> Counter:
@@ -185,14 +180,34 @@ def best_fit(left: dict[int, int], room: int) -> Counter:
     return sum(bins.values(), Counter())
 
 
+def inverted(matrix: np.ndarray) -> np.ndarray:
+    """A matrix's inverse by Gauss-Jordan steps. NumPy's own calls a threaded library, whose threads may wait
+    forever in a process that forked a child, as a Spark driver does when it starts its JVM."""
+    n = len(matrix)
+    both = np.hstack([matrix, np.eye(n)])
+    for k in range(n):
+        at = k + int(np.abs(both[k:, k]).argmax())
+        both[[k, at]] = both[[at, k]]
+        both[k] /= both[k, k]
+        others = both[:, k].copy()
+        others[k] = 0
+        both -= np.multiply.outer(others, both[k])
+    return both[:, n:].copy()
+
+
+def _times(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    """matrix @ vector without the threaded library."""
+    return np.einsum("ij,j->i", matrix, vector)
+
+
 def plan(histogram: dict[int, int], room: int, gap: float = 0.001, rounds: int = 4000) -> list[tuple[dict[int, int], int]]:
     """Patterns ({units: pieces}, times used) that hold exactly the pieces of histogram {units: pieces}.
 
     Column generation for the cutting-stock problem: a basis of one pattern a size is improved by the revised
     simplex method, a knapsack over the present prices giving the entering pattern. It ends when none pays,
     or when Farley's bound (the prices' worth over the best pattern's) proves that at most the share `gap` of
-    the sequences could be saved, or less than one. `rounds` bounds the driver's work should a degenerate
-    basis circle; the plan is whole wherever it stops. The basis solution is rounded down, never beyond what
+    the sequences could be saved, or less than one. The inverse is made anew when it has drifted. `rounds`
+    bounds the driver's work should a degenerate basis circle; the plan is whole wherever it stops. The basis solution is rounded down, never beyond what
     there is, and what remains, less than one pattern a size, is placed best-fit by decreasing size. Work
     depends on the sizes, not on how many documents there are.
     """
@@ -201,33 +216,31 @@ def plan(histogram: dict[int, int], room: int, gap: float = 0.001, rounds: int =
     if not len(sizes):
         return []
     basis = np.diag((room // sizes).astype(float))
-    inverse = np.linalg.inv(basis)
-    x = inverse @ need
+    inverse = np.diag(1 / (room // sizes))
+    x = _times(inverse, need)
     pivots = 0
     while pivots < rounds:
         duals = inverse.sum(axis=0)
-        value, columns = price(duals, sizes, room)
-        bound, held = duals @ need / value, x.sum()
+        value, column = price(duals, sizes, room)
+        bound, held = (duals * need).sum() / value, x.sum()
         if value <= 1 + 1e-7 or bound >= (1 - gap) * held or np.ceil(bound - 1e-6) >= np.ceil(held - 1e-6):
             break
-        for column in columns:
-            if inverse.sum(axis=0) @ column <= 1 + 1e-7:  # the pivots before took its gain
-                continue
-            direction = inverse @ column
-            ratio = np.where(direction > 1e-9, x / np.where(direction > 1e-9, direction, 1), np.inf)
-            leave = int(ratio.argmin())
-            step = ratio[leave]
-            basis[:, leave] = column
-            x = x - step * direction
-            x[leave] = step
-            pivots += 1
-            if pivots % 50 == 0:
-                inverse = np.linalg.inv(basis)
-                x = np.maximum(inverse @ need, 0)
-            else:
-                pivot = inverse[leave] / direction[leave]
-                inverse -= np.outer(direction, pivot)
-                inverse[leave] = pivot
+        if (duals * column).sum() <= 1 + 1e-7:  # it pays by rounding errors only
+            break
+        direction = _times(inverse, column)
+        ratio = np.where(direction > 1e-9, x / np.where(direction > 1e-9, direction, 1), np.inf)
+        leave = int(ratio.argmin())
+        step = ratio[leave]
+        basis[:, leave] = column
+        x = x - step * direction
+        x[leave] = step
+        pivot = inverse[leave] / direction[leave]
+        inverse -= np.multiply.outer(direction, pivot)
+        inverse[leave] = pivot
+        pivots += 1
+        if pivots % 50 == 0 and (np.abs(_times(basis, x) - need).max() > 1e-7 * need.max() or np.abs(_times(basis.T, inverse.sum(axis=0)) - 1).max() > 1e-7):
+            inverse = inverted(basis)
+            x = np.maximum(_times(inverse, need), 0)
     times = np.floor(np.maximum(x, 0) + 1e-6).astype(np.int64)
     left = need.astype(np.int64)
     used_: Counter = Counter()

@@ -284,6 +284,13 @@ def test_plan_holds_each_piece_once_and_is_close_to_best_fit(seed):
     assert packing.best_fit(need, 64).total() == len(bins)
 
 
+def test_inverted():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 7, 60):
+        m = rng.integers(-3, 9, (n, n)) + np.eye(n)[::-1] * 5
+        assert np.allclose(packing.inverted(m) @ m, np.eye(n), atol=1e-8)
+
+
 def test_word_ids_equal_the_tokenizer():
     from tokenizers import Tokenizer
 
