@@ -107,7 +107,8 @@ def postfix(expression: str) -> list[str] | None:
 def evaluate(expression: str) -> list[frozenset[str]] | None:
     """The ways to satisfy an expression: or gives the choice of either side, and takes one way from each,
     with adds an exception, which is no licence. None if the text isn't an expression. Only the smallest
-    ways are kept, so that (a or b) and (a or b) has two."""
+    ways are kept, so that (a or b) and (a or b) has two. There can be two to the power of the expression's
+    length, so this is for expressions known to be short; a scan calls licences()."""
     order = postfix(expression)
     if order is None:
         return None
@@ -123,6 +124,36 @@ def evaluate(expression: str) -> list[frozenset[str]] | None:
     return stack.pop()
 
 
+def licences(expression: str) -> tuple[set[str], set[str]] | None:
+    """(licences that an expression names, those among them that each way to satisfy it needs), exceptions
+    after with left out. None if it isn't an expression.
+
+    Either side of an or is named, also one that a shorter way makes superfluous, as b in a or (a and b).
+    Both sets are found on the postfix order, the smaller set being put into the larger, so the work is
+    about in proportion to the expression, however many ways it has."""
+    order = postfix(expression)
+    if order is None:
+        return None
+    stack: list[tuple[set[str], set[str]]] = []
+    for t in order:
+        if t not in _POWER:
+            stack.append(({family(t)}, {family(t)}))
+            continue
+        (named_b, needs_b), (named_a, needs_a) = stack.pop(), stack.pop()
+        if t == "with":
+            stack.append((named_a, needs_a))
+            continue
+        more, less = (named_a, named_b) if len(named_a) >= len(named_b) else (named_b, named_a)
+        more |= less
+        if t == "or":
+            needs = needs_a & needs_b
+        else:
+            needs, less = (needs_a, needs_b) if len(needs_a) >= len(needs_b) else (needs_b, needs_a)
+            needs |= less
+        stack.append((more, needs))
+    return stack.pop()
+
+
 def _tag_expression(line: str) -> str | None:
     """The longest beginning of a line that is an expression, in lower case; after it prose may follow.
 
@@ -198,7 +229,7 @@ def scan(text: bytes | None, machine: ahocorasick.Automaton) -> Scan:
         for line in _TAG.split(raw.decode("utf-8", "replace"))[1:]:
             if expression := _tag_expression(line.split("\n", 1)[0]):
                 expressions.append(expression)
-                found.update(x for way in evaluate(expression) or [] for x in way)
+                found.update((licences(expression) or ((), ()))[0])
                 score = SCORES["tag"]
     base.sort()
     return Scan(len(ws), len(base), base[0] if base else None, base[-1] if base else None, ",".join(sorted(own)), ",".join(sorted(own | found)), score, expressions, base)
@@ -216,9 +247,10 @@ def license_scan(docs: DataFrame) -> DataFrame:
 
     Base: places (word numbers from 0) where a base phrase's words stand consecutively. The method adds
     labels from notice phrases and from the licences of every `SPDX-License-Identifier:` expression, of
-    which each way to satisfy it counts. score: 1 with an expression, 0.9 with a base phrase, 0.7 with a
-    notice, else 0. Empty and null texts have no words, null places, empty labels and score 0; repeated
-    rows each get theirs. A column of docs named scan is replaced.
+    which every licence counts that the expression names, exceptions left out. score: 1 with an expression,
+    0.9 with a base phrase, 0.7 with a notice, else 0. Empty and null texts have no words, null places,
+    empty labels and score 0; a very long text takes time and memory in proportion to its length; repeated
+    rows each get theirs; an empty table gives no rows. A column of docs named scan is replaced.
     """
 
     @F.pandas_udf(SCHEMA)

@@ -3,6 +3,7 @@
 import gzip
 import random
 import re
+import time
 import zlib
 from pathlib import Path
 
@@ -322,6 +323,30 @@ def test_licence_expressions():
     assert (got.labels, got.base_labels, got.score) == ("gpl,mit", "", 1.0)
 
 
+def test_licences_against_all_ways():
+    rng = random.Random(6)
+
+    def some(depth):
+        if not depth or rng.random() < 0.2:
+            return rng.choice("abcdefg") + "-1"
+        return f"({some(depth - 1)} {rng.choice(['or', 'and'])} {some(depth - 1)})"
+
+    for _ in range(300):
+        x = some(3)
+        named, needs = licenses.licences(x)
+        ways = licenses.evaluate(x)
+        assert named == set(re.findall("[a-g]-1", x)) and needs == set.intersection(*map(set, ways)) and named >= set().union(*ways)
+    assert licenses.licences("a-1 or a-1 and b-1") == ({"a-1", "b-1"}, {"a-1"})
+    assert licenses.licences("mit or") is None and licenses.licences("a-1 with b-1") == ({"a-1"}, {"a-1"})
+
+
+def test_licence_tag_of_many_clauses_is_quick():
+    line = " AND ".join(f"(A-{i} OR B-{i})" for i in range(3000))
+    began = time.perf_counter()
+    got = licenses.scan(f"SPDX-License-Identifier: {line}".encode(), licenses.automaton())
+    assert len(got.labels.split(",")) == 6000 and time.perf_counter() - began < 10
+
+
 @pytest.mark.parametrize(
     "line, labels",
     [
