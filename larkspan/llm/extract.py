@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import deque
-from collections.abc import Iterator
+from collections import Counter, deque
 from html import unescape
 from typing import NamedTuple
 
@@ -35,7 +34,10 @@ BAD_ARTICLES = frozenset("advert advertisement comment commentlist comments disc
 GOOD_WORDS = frozenset("article body content entry main post story text".split())
 #: Beginnings of class names that tell a page's state and not what an element holds.
 _STATE = ("has-", "with-", "no-", "is-", "js-")
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+#: A tag ends at its `>`, or where the next `<` outside quotes begins another.
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*\"|'[^']*')*+)(?:>|(?=<))|<[!?][^<>]*+(?:>|(?=<))", re.S)
+#: What an inline element's tag holds if it may be hidden.
+_MAY_HIDE = re.compile("hidden|none", re.I)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
 _UNSEEN = re.compile(r"(?<![\w-])(?:display\s*:\s*none|visibility\s*:\s*hidden)(?![\w-])", re.I)
 
@@ -90,6 +92,9 @@ def marked(name: str, tag: str, in_article: bool) -> tuple[bool, set[str]]:
     return bool(bad) or name != "article" and unseen(attributes, names), words
 
 
+_CUT_OFF = re.compile("<[a-zA-Z/!]")
+
+
 class Block(NamedTuple):
     text: str
     links: int  # characters inside links
@@ -112,6 +117,9 @@ def blocks(html: str) -> list[Block]:
     stack = [_Open("", 0, 0.0, 0.0)]
     parts: list[str] = []
     count, linked, in_link, tag_now, own = 0, 0, False, "", 0.0
+    opened: Counter[str] = Counter()  # elements of each name on the stack
+    unclosed: set[str] = set()  # elements with no end tag further on
+    veil, veiled = "", 0  # an inline element that isn't shown, and how many of its name are open
 
     def close() -> None:
         nonlocal parts, linked
@@ -128,18 +136,30 @@ def blocks(html: str) -> list[Block]:
         upto = m.start() if m else end
         if upto > at:
             piece = html[at:upto]
-            if not m and (cut := re.search(r"<[a-zA-Z/!][^>]*\Z", piece)):  # a tag that the page's end cuts off
+            if not m and (cut := _CUT_OFF.search(piece, piece.rfind(">") + 1)):  # a tag that the page's end cuts off
                 piece = piece[: cut.start()]
-            parts.append(piece)
-            if in_link:
-                linked += len(piece)
+            if not veil:
+                parts.append(piece)
+                if in_link:
+                    linked += len(piece)
         if not m:
             break
         at = m.end()
         name = (m[2] or "").lower()
         if not name:
             continue
+        if veil and name in INLINE:
+            if name == veil:
+                veiled += -1 if m[1] else 1
+                veil = veil if veiled else ""
+            continue
+        veil = ""
         if name in INLINE:
+            if not m[1] and name not in VOID and _MAY_HIDE.search(m[3]):
+                attributes = attributes_of(m[3])
+                if unseen(attributes, names_of(attributes)):
+                    veil, veiled = name, 1
+                    continue
             if name == "a":
                 in_link = not m[1]
             elif name == "br":
@@ -147,20 +167,25 @@ def blocks(html: str) -> list[Block]:
             continue
         close()
         if m[1]:
-            if name in HOLDERS and any(o.tag == name for o in stack):
-                while stack.pop().tag != name:
-                    pass
+            if name in HOLDERS and opened[name]:
+                while True:
+                    gone = stack.pop().tag
+                    opened[gone] -= 1
+                    if gone == name:
+                        break
                 in_link = False
             tag_now, own = "", 0.0
             continue
         if name in HIDDEN:
             if name not in VOID and not m[3].endswith("/"):
-                gone = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(html, at)
+                gone = None if name in unclosed else re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(html, at)
                 if gone or name != "head":
                     at = gone.end() if gone else end
+                elif not gone:
+                    unclosed.add(name)
             continue
         tag_now, own = name, 0.0
-        in_article = any(o.tag in FOR for o in stack)
+        in_article = any(opened[tag] for tag in FOR)
         named, names = marked(name, m[3], in_article)
         if name not in HOLDERS:
             own = 12.0 if named else 0.0
@@ -178,16 +203,22 @@ def blocks(html: str) -> list[Block]:
                 against = 0.0
             count += 1
             stack.append(_Open(name, count, max(against, bad), favour))
+            opened[name] += 1
             in_link = False
     close()
     return out
 
 
+def _ends_sentence(text: str) -> bool:
+    """Whether a full stop or the like stands after the last word."""
+    return any(c in ".!?…" for c in re.match(r"\W*+", text[::-1])[0])
+
+
 def costs(b: Block) -> tuple[float, float]:
     """The classifier: (cost of calling a block boilerplate, cost of calling it content)."""
     words = b.text.count(" ") + 1
     keep, drop = b.favour, b.against
-    keep += min(2.0, words / 15) + (0.5 if re.search(r"[.!?…]\W*\Z", b.text) else 0) + (0.5 if b.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote") else 0)
+    keep += min(2.0, words / 15) + (0.5 if _ends_sentence(b.text) else 0) + (0.5 if b.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote") else 0)
     share = b.links / max(1, len(b.text))
     drop += 4 * share * share * (0.25 if b.favour >= 6 and not b.against else 1) + (0.8 if words < 4 else 0) + (2 if re.search(r"©|\(c\)|copyright|all rights reserved", b.text, re.I) and words < 30 else 0)
     return keep, drop
@@ -288,8 +319,9 @@ def main_text(html: str | None) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """pages (html, others) with text: the main text of the whole page, and n_chars: its code points.
 
-    Null and empty pages give an empty text; ties go to boilerplate; repeated rows each get their text.
-    Columns of pages named text or n_chars are replaced.
+    Null and empty pages give an empty text; ties go to boilerplate; repeated rows each get their text; an
+    empty table gives no rows. Reading a very long page takes time in proportion to it, whatever is nested,
+    unclosed or cut off. Columns of pages named text or n_chars are replaced.
     """
 
     @F.pandas_udf("string")
