@@ -52,12 +52,42 @@ def test_same_rows_as_sql(spark, db, name):
 
 
 def test_odd_rows_and_empty_tables(spark, odd, none):
+    """Rows are collected, so that no measured column is pruned away."""
     model = classifier.train([], np.empty(0, np.int64))
+    every = {i: t for i, t in enumerate(ODD)}
+    texts = [*every.values(), *ODD[4:6]]
     for run in (rules.quality_rules, mixing.mix, simhash.near_duplicates, packing.pack_documents, licenses.license_scan, lambda d: classifier.scored(d, model)):
-        assert run(none).count() == 0
-        if run is not packing.pack_documents:  # which has a row a piece
-            assert run(odd).count() == len(ODD) + 2
-    assert packing.pack_documents(odd).where("start = 0").count() == len(ODD) + 2
+        assert run(none).collect() == []
+    key = lambda xs: sorted(xs, key=repr)
+    split = lambda t: re.findall("[^\\x20\\x09-\\x0D]+", t or "")
+
+    got = rules.quality_rules(odd).collect()
+    assert key((r.text, r.n_words, r.base_failed, r.kept and r.base_failed) for r in got) == key((t, len(split(t)), len(split(t)) < 10 or "ß" in t, False) for t in texts)
+    got = licenses.license_scan(odd).collect()
+    assert key((r.text, r.scan.n_words, r.scan.n_base, r.scan.first_word, r.scan.labels, r.scan.score) for r in got) == key((t, len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())), 0, None, "", 0.0) for t in texts)
+    got = classifier.scored(odd, model).collect()
+    assert key(r.text for r in got) == key(texts) and {r.score for r in got} == {0.5}
+    got = simhash.near_duplicates(odd).collect()
+    assert key(r.fingerprint for r in got) == key(f"{brute_fingerprint(t):016x}" for t in texts)
+    got = mixing.mix(odd).collect()
+    assert key(r["size"] for r in got) == key(len(split(t)) for t in texts)
+    got = packing.pack_documents(odd).collect()
+    ids = packing.WordIds(packing.tokenizer_path())
+    assert key(r.doc_tokens for r in got if r.start == 0) == key(len(ids.of(t or "")) + 1 for t in texts)
+    assert sum(r.length for r in got) == sum(len(ids.of(t or "")) + 1 for t in texts)
+
+
+def test_odd_pages_and_empty_tables(spark, tmp_path):
+    pages = spark.createDataFrame([(1, None, None, "x"), (None, "", "", "y"), (2, "http://a.Example.COM/EN/x?q", "<p>A text of a few words.</p>", "z"), (2, "http://a.Example.COM/EN/x?q", "<p>A text of a few words.</p>", "z"), (3, "x://www.example.com/en/", "<p>" + "word " * 50000, "")], "page_id long, url string, html string, text string")
+    got = extract.extract(pages).collect()
+    assert sorted((r.text, r.n_chars) for r in got) == sorted([("", 0), ("", 0), *[("A text of a few words.", 22)] * 2, (("word " * 50000).strip(), 249999)])
+    judged = spark.createDataFrame([], "url string, bad boolean")
+    got = urls.url_filter(pages.withColumn("host", F.lit("clash")), judged).collect()
+    assert sorted((r.host, r.path, r.rule or "", r.verdict) for r in got) == sorted([("", "", "", "allow")] * 2 + [("a.example.com", "/EN/x", "com/", "allow")] * 2 + [("www.example.com", "/en/", "www.example.com/en/", "allow")])
+    empty = pages.where("false")
+    assert extract.extract(empty).collect() == [] and urls.url_filter(empty, judged).collect() == []
+    warc.write_archives(empty, f"{tmp_path}/none")
+    assert warc.read_archives(spark, f"{tmp_path}/none").collect() == []
 
 
 # 1
@@ -155,6 +185,22 @@ def test_what_is_hidden_goes(says):
     assert extract.main_text(f"<div {says}><p>{OTHER}</p></div><article><p>{TEXT}</p></article>") == TEXT
 
 
+def test_inline_elements_that_are_not_shown():
+    page = '<article><p>Seen <span style="display:none">SECRET <span>more</span></span>words stand here.</p><p>Some <b hidden>no</b>yes and <i class="x" title="hidden">so</i> on.</p><p>An <em hidden>end tag is missing.</p><p>The last one is read.</p></article>'
+    assert extract.main_text(page) == "Seen words stand here. Some yes and so on. An The last one is read."
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["." * 10**6 + "a", "<div>" * 100_000 + "x", "</div>" * 100_000, "<a " * 300_000, "<!x " * 300_000, "<a <a " * 100_000 + '"', "<head>" * 50_000, "<a \"'" * 100_000, "<1 " * 300_000 + ">x<a", "<span hidden>" * 50_000],
+    ids=["dots", "nested", "ends", "cut tags", "cut marks", "open quote", "heads", "quotes", "no tags", "hidden"],
+)
+def test_long_pages_are_read_in_proportion(page):
+    began = time.perf_counter()
+    extract.main_text(page)
+    assert time.perf_counter() - began < 10
+
+
 # 3
 
 
