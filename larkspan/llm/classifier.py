@@ -119,7 +119,7 @@ def train(texts: list[bytes | None], labels: np.ndarray, alpha: float = 0.2, bet
             for k, y in enumerate(labels[done : done + len(some)].tolist()):
                 at, x = np.append(slot[cuts[k] : cuts[k + 1]], size - 1), np.append(value[cuts[k] : cuts[k + 1]], 1.0)
                 w = solved(at)
-                p = 1 / (1 + np.exp(-np.clip(w @ x, -35, 35)))
+                p = 1 / (1 + np.exp(-np.clip((w * x).sum(), -35, 35)))  # w @ x may wait forever in a threaded library on a driver
                 g = weigh[y] * (p - y) * x
                 step = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / alpha
                 z[at] += g - step * w
@@ -137,19 +137,21 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     """Learns `labels.quality` from at most train_rows labelled documents outside the held-out third.
 
     The rows are those whose ids hash lowest, so they are spread over the table and the same each time;
-    they are chosen among the ids first, so that one scan of the texts meets a small table.
+    they are chosen among the ids first, so that one scan of the texts meets a small table. Of rows that
+    share an id the smallest text serves, chosen before anything comes to the driver, which so holds at most
+    train_rows whole texts. Null texts are empty; empty tables give the model that scores 0.5 everywhere.
     """
     chosen = labels.where(~held_out() & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")  # at most train_rows rows of two numbers
-    got = rows.toPandas()
-    got = got.assign(o=[zlib.crc32(b"%d" % d) for d in got["doc_id"]], t=[t or b"" for t in got["text"]]).sort_values(["o", "doc_id", "t"])
-    got = got.drop_duplicates("doc_id")
-    return train(list(got["t"]), got["quality"].to_numpy(np.int64))
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")).join(F.broadcast(chosen), "doc_id")  # chosen: at most train_rows rows of two numbers
+    got = rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).toPandas()
+    got = got.assign(o=[zlib.crc32(b"%d" % d) for d in got["doc_id"]]).sort_values(["o", "doc_id"])
+    return train([bytes(t) for t in got["text"]], got["quality"].to_numpy(np.int64))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with score: the probability of label 1, from the whole text; empty and null texts get the bias."""
+    """docs with score: the probability of label 1, from the whole text; empty and null texts get the bias. Repeated
+    rows each get their score, and an empty table has no rows; a very long text is turned into inputs alone."""
     shared = docs.sparkSession.sparkContext.broadcast(model.weights)  # 4 MB, whatever the input
     out = docs.drop("score").withColumn("score", F.lit(0.0))
 

@@ -424,6 +424,50 @@ def test_score_does_not_depend_on_neighbours():
     assert np.allclose(together, [m.scores([t])[0] for t in texts]) and rng is not None
 
 
+def test_training_by_a_plain_loop():
+    """FTRL-Proximal coordinate by coordinate, and each score as a sum over a text's own inputs."""
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice(["Ab", "c", "d9", "é", "ab", "x,"]) for _ in range(rng.randint(0, 12))).encode() for _ in range(40)] + [None, b""]
+    labels = [rng.randint(0, 1) for _ in texts]
+    model = classifier.train(texts, np.array(labels))
+    size = len(model.weights)
+    share = sum(labels) / len(labels)
+    z, n = [0.0] * size, [0.0] * size
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= 0.02 else -(z[i] - (0.02 if z[i] > 0 else -0.02)) / ((1 + n[i] ** 0.5) / 0.2 + 0.02)
+
+    def inputs(t):  # families apart: a slot that two of them share would count for each
+        _, slots, values = classifier.vectors([t])
+        return [*zip(slots.tolist(), values.tolist(), strict=True), (size - 1, 1.0)]
+
+    for _ in range(classifier.EPOCHS):
+        for t, y in zip(texts, labels, strict=True):
+            x = inputs(t)
+            assert len({i for i, _ in x}) == len(x)
+            w = [weight(i) for i, _ in x]
+            p = 1 / (1 + np.exp(-sum(a * v for a, (_, v) in zip(w, x, strict=True))))
+            for a, (i, v) in zip(w, x, strict=True):
+                g = (p - y) * v * (0.5 / share if y else 0.5 / (1 - share))
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / 0.2 * a
+                n[i] += g * g
+    assert np.allclose(model.weights, [weight(i) for i in range(size)], atol=1e-6)
+    got = model.scores(texts)
+    assert np.allclose(got, [1 / (1 + np.exp(-sum(weight(i) * v for i, v in inputs(t)))) for t in texts], atol=1e-5)
+
+
+def test_inputs_of_a_text_by_counting():
+    rng = random.Random(8)
+    for _ in range(50):
+        ws = [rng.choice(["Ab", "c", "d9", "ab"]) for _ in range(rng.randint(1, 9))]
+        place, _, value = classifier.vectors([" ".join(ws).encode()])
+        low = [w.lower() for w in ws]
+        grams = [(n, tuple(low[i : i + n])) for n in (1, 2) for i in range(len(ws) - n + 1)]
+        want = [(grams.count(g) / (len(ws) - g[0] + 1)) ** 0.5 for g in set(grams)]
+        assert set(place.tolist()) == {0}
+        assert np.allclose(np.sort(want), np.sort(value[: len(want)]))
+
+
 # 8
 
 
