@@ -27,6 +27,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from larkspan.llm.common import discard, remove, scratch_path, table, written
 
@@ -38,6 +39,8 @@ SEGMENTS = ((0, 23), (23, 23), (46, 18))
 GENERATOR = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1, of the binary Golay code
 #: Fingerprints of one key that are compared in one block; more are dealt over pairs of blocks.
 BLOCK = 1 << 16
+#: A key with this share of a table's rows is joined apart; there are at most as many as its inverse.
+OFTEN = 1 / 1000
 #: Parts over which the links of one node are dealt in a components round.
 SALTS = 16
 
@@ -190,8 +193,9 @@ def _block_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
     """(a, b) long with b < a: links among distinct fingerprints (fp) that connect just what all links do.
 
-    Keys of one row only fall away in a count by key, which is summed before it moves. A key with over
-    `block` rows is dealt by hash over g parts, and each two parts are compared in a task of their own.
+    A key with over `block` rows, by a count that is summed before it moves, is dealt by hash over g parts,
+    and each two parts are compared in a task of their own. Rows alone in their key and parts are left out
+    before Python sees them.
     """
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -214,7 +218,9 @@ def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
         cells = cells.withColumn("_p", part).withColumn("_o", F.explode(other))
         cells = cells.select("key", "fp", (F.least("_p", "_o") * F.col("_g") + F.greatest("_p", "_o")).alias("cell"))
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = cells.repartition(n, "key", "cell").sortWithinPartitions("key", "cell")
+    # a group has about `block` rows at most, and the window needs no exchange beyond this one
+    dealt = cells.repartition(n, "key", "cell").withColumn("_n", F.count("*").over(W.partitionBy("key", "cell")))
+    dealt = dealt.where("_n > 1").drop("_n").sortWithinPartitions("key", "cell")
     out = written(dealt.mapInPandas(_block_links, "a long, b long"), "golay-links")
     discard(keyed)
     return out
@@ -275,20 +281,34 @@ def survivors(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     return rooted(distinct, block).groupBy("root").agg(F.min("best").alias("best")).select("best.row")
 
 
+def by_key(rows: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """rows joined with right (key, others, n), a written table with each key once and its n rows of `rows`.
+
+    Keys that hold a share of OFTEN or more are broadcast, so their rows, up to all of them, stay where they
+    are; they are at most 1 / OFTEN, whatever the input. The rows of the others are shuffled by key."""
+    total = right.agg(F.sum("n")).first()[0] or 0
+    often = right.where(F.col("n") >= OFTEN * total).drop("n")
+    rest = right.where(F.col("n") < OFTEN * total).drop("n")
+    others = rows.join(F.broadcast(often.select(key)), key, "left_anti").join(rest, key)
+    return rows.join(F.broadcast(often), key).unionByName(others)
+
+
 def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, fingerprint (16 hex digits), component_id.
 
     component_id is the smallest doc_id among all documents that can be reached over links of at most 4
     differing bits, the document's own included. Texts are read once; what follows works on distinct
     fingerprints. Empty and null texts have fingerprint 0 and are linked like any other; repeated rows
-    each get a row; a null doc_id never is a component's id unless all of its ids are null.
+    each get a row; a null doc_id never is a component's id unless all of its ids are null. An empty table
+    gives no rows; a very long text is hashed in runs of shingles.
     """
     prints = written(fingerprints(docs), "prints")
-    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "prints-distinct")
-    named = rooted(distinct, block)
-    smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = written(named.select("fp", "root").join(smallest, "root").select("fp", "component_id"), "prints-named")
-    return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")), "prints-distinct")
+    named = written(rooted(distinct, block), "prints-rooted")
+    smallest = written(named.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n")), "prints-groups")
+    named = by_key(named.select("fp", "root", F.col("rows").alias("_rows")), smallest, "root")
+    named = written(named.select("fp", "component_id", F.col("_rows").alias("n")), "prints-named")
+    return by_key(prints, named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -277,6 +277,14 @@ def test_near_duplicates_by_brute_force(spark):
     assert [r.component_id for r in got] == brute_components(ids, prints)
 
 
+def test_copies_of_one_text_by_the_thousand(spark):
+    docs = [(i, "the same words in each of them" if i % 3 else f"text {i} of its own with some words {i * 7}") for i in range(6000)]
+    got = simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    prints = np.array([brute_fingerprint(docs[r.doc_id][1]) for r in got], np.uint64)
+    assert len(got) == 6000 and {r.component_id for r in got if r.doc_id % 3} == {1}
+    assert [r.component_id for r in got] == brute_components([r.doc_id for r in got], prints)
+
+
 # 5
 
 
