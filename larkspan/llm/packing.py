@@ -181,8 +181,8 @@ def best_fit(left: dict[int, int], room: int) -> Counter:
 
 
 def inverted(matrix: np.ndarray) -> np.ndarray:
-    """A matrix's inverse by Gauss-Jordan steps. NumPy's own calls a threaded library, whose threads may wait
-    forever in a process that forked a child, as a Spark driver does when it starts its JVM."""
+    """A matrix's inverse by Gauss-Jordan steps. NumPy's own calls a threaded library, which was seen to
+    wait forever on a Spark driver, though not with one thread; the driver's fork of its JVM may be the cause."""
     n = len(matrix)
     both = np.hstack([matrix, np.eye(n)])
     for k in range(n):
