@@ -20,9 +20,13 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that hold other blocks: they stay on the stack, and blocks below the same one are near.
 HOLDERS = frozenset("article aside blockquote body button details dialog div dl fieldset figure footer form header html main menu nav ol section table tbody td tfoot th thead tr ul".split())
-#: Cost of calling a block content when it lies in such an element, and of calling it boilerplate.
+#: What an element's mark costs for each block below it: as content, and as boilerplate.
 AGAINST = {"nav": 12, "footer": 12, "aside": 12, "form": 12, "menu": 12, "button": 12, "dialog": 12, "header": 8, "fieldset": 8}
 FOR = {"article": 6, "main": 4}
+#: The same for what its names say, or an attribute that hides it. A word of BAD_WORDS weighs less than an article
+#: with its sentences (6 and about 2), so that an article outweighs one word around it, and more than a paragraph
+#: in an element of GOOD_WORDS (3 and at most 3).
+HARD, SOFT, GOOD = 12, 7, 3
 #: Words of a class, id or role that speak against or for content.
 BAD_WORDS = frozenset(
     "ad ads advert advertisement adverts advertising alert banner breadcrumb breadcrumbs complementary consent cookie cookies copyright disclaimer dropdown footer form gdpr header login masthead menu modal nav navbar "
@@ -78,18 +82,20 @@ def unseen(attributes: dict[str, str], names: list[str]) -> bool:
     )
 
 
-def marked(name: str, tag: str, in_article: bool) -> tuple[bool, set[str]]:
-    """(whether an element's names or style call it boilerplate, the words of its names). An article's own
-    head (post-header, or a header inside an article) is not."""
+def marked(name: str, tag: str, in_article: bool) -> tuple[int, set[str]]:
+    """(what an element's names or style cost it as content: HARD, SOFT or 0; the words of its names). An
+    article's own head (post-header, or a header inside an article) costs nothing."""
     attributes = attributes_of(tag) if tag else {}
     names = names_of(attributes)
     words = naming(names)
     if name in ("html", "body", "main"):
-        return False, words
-    bad = words & BAD_ARTICLES if name == "article" else words & (BAD_WORDS | BAD_ARTICLES)
+        return 0, words
+    if words & BAD_ARTICLES or name != "article" and unseen(attributes, names):
+        return HARD, words
+    bad = set() if name == "article" else words & BAD_WORDS
     if in_article or words & GOOD_WORDS:
         bad = bad - {"header"}
-    return bool(bad) or name != "article" and unseen(attributes, names), words
+    return SOFT if bad else 0, words
 
 
 _CUT_OFF = re.compile("<[a-zA-Z/!]")
@@ -98,23 +104,36 @@ _CUT_OFF = re.compile("<[a-zA-Z/!]")
 class Block(NamedTuple):
     text: str
     links: int  # characters inside links
-    against: float  # what the elements around it cost as content
-    favour: float  # and as boilerplate
+    own: float  # what the names of its own element cost as content
+    article: bool  # in an article and in nothing marked as boilerplate
     holder: int  # number of the innermost holding element
     tag: str
+    region: int  # place of the innermost marked element, -1 if none
+
+
+class Region(NamedTuple):
+    """A marked element, with what it costs for each block below it."""
+
+    against: float
+    favour: float
+    tie: float  # to the region around it
+    around: int  # that region, always an earlier one, or -1 where nothing ties it
 
 
 class _Open(NamedTuple):
     tag: str
     number: int
-    against: float
+    against: float  # the most that an element around it, or its own, costs as content
     favour: float
+    region: int
 
 
-def blocks(html: str) -> list[Block]:
-    """The text blocks of a page in its order. Tags may be unclosed, and the page may end anywhere."""
+def blocks(html: str) -> tuple[list[Block], list[Region]]:
+    """The text blocks of a page in its order, and its marked elements. Tags may be unclosed, and the page may
+    end anywhere."""
     out: list[Block] = []
-    stack = [_Open("", 0, 0.0, 0.0)]
+    regions: list[Region] = []
+    stack = [_Open("", 0, 0.0, 0.0, -1)]
     parts: list[str] = []
     count, linked, in_link, tag_now, own = 0, 0, False, "", 0.0
     opened: Counter[str] = Counter()  # elements of each name on the stack
@@ -127,7 +146,7 @@ def blocks(html: str) -> list[Block]:
             text = " ".join(unescape("".join(parts)).split())
             if text:
                 top = stack[-1]
-                out.append(Block(text, min(linked, len(text)), max(top.against, own), top.favour, top.number, tag_now))
+                out.append(Block(text, min(linked, len(text)), own, top.favour >= FOR["article"] and not top.against and not own, top.number, tag_now, top.region))
             parts, linked = [], 0
 
     at, end = 0, len(html)
@@ -188,25 +207,23 @@ def blocks(html: str) -> list[Block]:
         in_article = any(opened[tag] for tag in FOR)
         named, names = marked(name, m[3], in_article)
         if name not in HOLDERS:
-            own = 12.0 if named else 0.0
+            own = float(named)
         elif not m[3].endswith("/"):
             top = stack[-1]
-            against, favour = top.against, top.favour
-            bad = 0 if name == "header" and in_article else AGAINST.get(name, 0)  # an article's own head
-            if named:
-                bad = max(bad, 12)
-            elif name in FOR:
-                favour = max(favour, FOR[name])
-            elif names & GOOD_WORDS:
-                favour = max(favour, 3)
+            against, favour, region = top.against, top.favour, top.region
+            bad = max(named, 0 if name == "header" and in_article else AGAINST.get(name, 0))  # an article's own head
+            good = 0 if named else FOR.get(name, GOOD if names & GOOD_WORDS else 0)
             if name == "main":  # the page's one main part, whatever lies around it
-                against = 0.0
+                against, region = 0.0, -1
+            if bad or good or name == "main":
+                regions.append(Region(bad, 0.0 if bad else max(favour, good), against, region if against else -1))
+                region = len(regions) - 1
             count += 1
-            stack.append(_Open(name, count, max(against, bad), favour))
+            stack.append(_Open(name, count, max(against, bad), max(favour, good), region))
             opened[name] += 1
             in_link = False
     close()
-    return out
+    return out, regions
 
 
 def _ends_sentence(text: str) -> bool:
@@ -215,23 +232,23 @@ def _ends_sentence(text: str) -> bool:
 
 
 def costs(b: Block) -> tuple[float, float]:
-    """The classifier: (cost of calling a block boilerplate, cost of calling it content)."""
+    """The classifier of a block by itself: (cost of calling it boilerplate, cost of calling it content), from its
+    length, its end, its element, the share of links and its own element's names."""
     words = b.text.count(" ") + 1
-    keep, drop = b.favour, b.against
-    keep += min(2.0, words / 15) + (0.5 if _ends_sentence(b.text) else 0) + (0.5 if b.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote") else 0)
+    keep = min(2.0, words / 15) + (0.5 if _ends_sentence(b.text) else 0) + (0.5 if b.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote") else 0)
     share = b.links / max(1, len(b.text))
-    drop += 4 * share * share * (0.25 if b.favour >= 6 and not b.against else 1) + (0.8 if words < 4 else 0) + (2 if re.search(r"©|\(c\)|copyright|all rights reserved", b.text, re.I) and words < 30 else 0)
+    drop = b.own + 4 * share * share * (0.25 if b.article else 1) + (0.8 if words < 4 else 0) + (2 if re.search(r"©|\(c\)|copyright|all rights reserved", b.text, re.I) and words < 30 else 0)
     return keep, drop
 
 
 def edges(bs: list[Block]) -> list[tuple[int, int, float]]:
     """Smoothness between neighbours: 0.3 next to each other, 0.7 more below the same element, and 0.5 to
-    the block before last of the same element. Nothing joins a block inside a marked element to one outside."""
+    the block before last of the same element. A block that its own names mark has none."""
     out = []
     for j in range(1, len(bs)):
         for back, near in ((1, 1.0), (2, 0.5)):
             i = j - back
-            if i < 0 or (bs[i].against > 6) != (bs[j].against > 6):
+            if i < 0 or bs[i].own or bs[j].own:
                 continue
             if bs[i].holder == bs[j].holder:
                 out.append((i, j, near))
@@ -240,6 +257,31 @@ def edges(bs: list[Block]) -> list[tuple[int, int, float]]:
     return out
 
 
+def graph(bs: list[Block], regions: list[Region]) -> tuple[list[float], list[float], list[tuple[int, int, float]]]:
+    """(source, sink, links) of the cut: a node for each block, and after these one for each marked element.
+
+    A block has the classifier's costs. A marked element has its mark's cost once for each block below it. It is
+    joined to the blocks whose innermost marked element it is, each at the mark's cost, and inside boilerplate to
+    the marked element around it, at that one's cost for each block below; so a mark reaches a block only by
+    the page's tree, and what many blocks say can outweigh it.
+    """
+    priced = [costs(b) for b in bs]
+    links = edges(bs)
+    below = [0] * len(regions)
+    for i, b in enumerate(bs):
+        if b.region >= 0:
+            below[b.region] += 1
+            links.append((i, len(bs) + b.region, max(regions[b.region][:3])))
+    for r in range(len(regions) - 1, -1, -1):
+        around = regions[r].around
+        if around >= 0 and below[r]:
+            below[around] += below[r]
+            links.append((len(bs) + r, len(bs) + around, regions[r].tie * below[r]))
+    source = [k for k, _ in priced] + [r.favour * n for r, n in zip(regions, below, strict=True)]
+    sink = [d for _, d in priced] + [r.against * n for r, n in zip(regions, below, strict=True)]
+    return source, sink, links
+
+
 def min_cut(source: list[float], sink: list[float], links: list[tuple[int, int, float]]) -> list[bool]:
     """True for the nodes on the source's side of a minimum cut.
 
@@ -308,12 +350,11 @@ def min_cut(source: list[float], sink: list[float], links: list[tuple[int, int,
 
 def main_text(html: str | None) -> str:
     """The article's text: content blocks of the minimum cut, in page order, joined by a space."""
-    found = blocks(html or "")
+    found, regions = blocks(html or "")
     if not found:
         return ""
-    priced = [costs(b) for b in found]
-    keep = min_cut([k for k, _ in priced], [d for _, d in priced], edges(found))
-    return " ".join(b.text for b, k in zip(found, keep, strict=True) if k)
+    keep = min_cut(*graph(found, regions))
+    return " ".join(b.text for b, k in zip(found, keep, strict=False) if k)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -185,6 +185,39 @@ def test_what_is_hidden_goes(says):
     assert extract.main_text(f"<div {says}><p>{OTHER}</p></div><article><p>{TEXT}</p></article>") == TEXT
 
 
+def test_an_article_outweighs_one_word_around_it():
+    article = f"<article><h1>A heading</h1><p>{TEXT}</p><p>{TEXT}</p></article>"
+    for name in ("tags-page", "page-widget", "search"):
+        assert extract.main_text(f'<div class="{name}">{article}</div>') == f"A heading {TEXT} {TEXT}"
+        assert extract.main_text(f'<div class="{name}"><div class="content"><p>{OTHER}</p></div></div><article><p>{TEXT}</p></article>') == TEXT
+    for around in ("<aside>", "<nav>", '<div class="comments">', "<div hidden>"):
+        assert extract.main_text(f"{around}<div>{article}</div>") == ""
+
+
+def test_the_cut_decides_what_blocks_alone_do_not():
+    """Every labelling of small pages is priced; the text kept is that of the cheapest, and it isn't what
+    each block's own costs would keep."""
+    flips = 0
+    rng = random.Random(2)
+    tags = ["article", "aside", "nav", "div", 'div class="content"', 'div class="share"', 'div class="comments"', "section", "main"]
+    pieces = [f"<p>{TEXT}</p>", f"<p>{OTHER}</p>", "<p>Short</p>", '<p><a href="x">A link to elsewhere</a></p>', '<p class="advert">Buy it.</p>', "<div>Some text in a row</div>"]
+    for _ in range(150):
+        make = lambda depth: "".join((lambda t: f"<{t}>{make(depth - 1)}</{t.split()[0]}>")(rng.choice(tags)) if depth and rng.random() < 0.6 else rng.choice(pieces) for _ in range(rng.randint(1, 3)))  # noqa: B023, E731
+        page = make(2)
+        found, regions = extract.blocks(page)
+        n = len(found) + len(regions)
+        if n > 12:
+            continue
+        s, k, e = extract.graph(found, regions)
+        cost = lambda bits: sum(k[i] if bits >> i & 1 else s[i] for i in range(n)) + sum(c for i, j, c in e if (bits >> i ^ bits >> j) & 1)  # noqa: B023, E731
+        priced = {bits: cost(bits) for bits in range(1 << n)}
+        best = min(priced.values())
+        texts = {" ".join(b.text for i, b in enumerate(found) if bits >> i & 1) for bits, c in priced.items() if c < best + 1e-9}
+        assert extract.main_text(page) in texts
+        flips += " ".join(b.text for i, b in enumerate(found) if s[i] > k[i]) not in texts
+    assert flips > 20
+
+
 def test_inline_elements_that_are_not_shown():
     page = '<article><p>Seen <span style="display:none">SECRET <span>more</span></span>words stand here.</p><p>Some <b hidden>no</b>yes and <i class="x" title="hidden">so</i> on.</p><p>An <em hidden>end tag is missing.</p><p>The last one is read.</p></article>'
     assert extract.main_text(page) == "Seen words stand here. Some yes and so on. An The last one is read."
