@@ -23,17 +23,34 @@ def error_rate(pairs: DataFrame) -> DataFrame:
     return pairs.agg(F.avg((F.col("pred") != F.col("truth")).cast("double")).alias("error"))
 
 
+#: Parts of equal width into which a range of values is divided for running totals.
+BARS = 4096
+
+
+def running(rows: DataFrame, by: str, *sums: str) -> DataFrame:
+    """rows with, for each of sums, <name>_run: its total over the rows at or above this one by `by`, whose
+    values are distinct, null below all; and <name>_all: its total over all rows.
+
+    No window runs over all rows in one task: they are dealt by value into bars, and the totals of the bars
+    (at most BARS + 2 rows, whatever the input) are added to running totals within each."""
+    low, high = rows.agg(F.min(by)).scalar(), rows.agg(F.max(by)).scalar()
+    at = F.floor(F.try_divide((F.col(by) - low).cast("double"), (high - low).cast("double")) * BARS)  # each step keeps the order
+    rows = rows.withColumn("_bar", F.when(F.col(by).isNull(), F.lit(-1).cast("long")).otherwise(F.coalesce(at.cast("long"), F.lit(0).cast("long"))))
+    bars = rows.groupBy("_bar").agg(*[F.sum(c).alias(f"_{c}") for c in sums])
+    above, whole = W.orderBy(F.col("_bar").desc()).rowsBetween(W.unboundedPreceding, -1), W.partitionBy()
+    bars = bars.select("_bar", *[F.coalesce(F.sum(f"_{c}").over(above), F.lit(0)).alias(f"_{c}") for c in sums], *[F.sum(f"_{c}").over(whole).alias(f"{c}_all") for c in sums])
+    inside = W.partitionBy("_bar").orderBy(F.col(by).desc()).rowsBetween(W.unboundedPreceding, 0)
+    out = rows.join(F.broadcast(bars), "_bar")
+    return out.select(*[c for c in rows.columns if c != "_bar"], *[(F.col(f"_{c}") + F.sum(c).over(inside)).alias(f"{c}_run") for c in sums], *[f"{c}_all" for c in sums])
+
+
 def roc(scores: DataFrame) -> DataFrame:
     """score, fpr, tpr for each positive's score as a threshold: negatives and positives at or above it, by
     their totals. Rows (score, positive).
 
-    Ranks come from counts of distinct scores, summed over value ranges: equal scores are one row before
-    anything is sorted, so the window runs over distinct scores."""
+    Equal scores are one row before anything is sorted, so running totals are over distinct scores."""
     by = scores.groupBy("score").agg(F.sum(F.col("positive").cast("long")).alias("p"), F.sum((~F.col("positive")).cast("long")).alias("q"))
-    down = W.orderBy(F.col("score").desc()).rowsBetween(W.unboundedPreceding, 0)
-    whole = W.partitionBy()
-    out = by.select("score", "p", (F.sum("q").over(down) / F.sum("q").over(whole)).alias("fpr"), (F.sum("p").over(down) / F.sum("p").over(whole)).alias("tpr"))
-    return out.where("p > 0").drop("p")
+    return running(by, "score", "p", "q").where("p > 0").select("score", (F.col("q_run") / F.col("q_all")).alias("fpr"), (F.col("p_run") / F.col("p_all")).alias("tpr"))
 
 
 def fom(curve: DataFrame) -> DataFrame:
@@ -65,10 +82,20 @@ def detection_roc(peaks: DataFrame, truths: DataFrame, thresholds: DataFrame, ga
 
 
 def threshold_at(values: DataFrame, percent: float) -> DataFrame:
-    """The value of 0-based rank max(int((n - 1) percent / 100), first that isn't null) in ascending order."""
-    w = W.orderBy(F.col("best").asc_nulls_first())
-    rows = values.select("best", (F.row_number().over(w) - 1).alias("_r"), F.count("*").over(W.partitionBy()).alias("_n"), F.count_if(F.col("best").isNull()).over(W.partitionBy()).alias("_z"))
-    return rows.where(F.col("_r") == F.greatest(F.floor((F.col("_n") - 1) * percent / 100), F.col("_z"))).select(F.col("best").alias("threshold"))
+    """The value of 0-based rank max(int((n - 1) percent / 100), first that isn't null) in ascending order; no
+    row where all are null."""
+    by = values.groupBy("best").agg(F.count("*").alias("n"), F.count_if(F.col("best").isNull()).alias("z"))
+    rank = F.greatest(F.floor((F.col("n_all") - 1) * percent / 100), F.col("z_all"))
+    below = F.col("n_all") - F.col("n_run")  # smaller values, and nulls
+    rows = running(by, "best", "n", "z").where(F.col("best").isNotNull())
+    return rows.where((below <= rank) & (rank < below + F.col("n"))).select(F.col("best").alias("threshold"))
+
+
+def ordered_rank(rows: DataFrame, by: str) -> DataFrame:
+    """rows, whose values of `by` are distinct, with rank: from 0 for the smallest to 1 for the largest."""
+    counted = running(rows.withColumn("_one", F.lit(1).cast("long")), by, "_one")
+    below = F.col("_one_all") - F.col("_one_run")
+    return counted.withColumn("rank", F.when(F.col("_one_all") == 1, 0.0).otherwise(F.try_divide(below, F.col("_one_all") - 1))).select(*rows.columns, "rank")
 
 
 def score_cutoffs(rows: DataFrame, by: str, n: int) -> DataFrame:

@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries of queries.py."""
 
-FRAMES = "f AS (SELECT user_id AS utt, row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS frame, event_type AS phn, value FROM events)"
+FRAMES = "f AS (SELECT user_id AS utt, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame, event_type AS phn, value FROM events)"
 NB = "nb AS (SELECT *, lag(value) OVER (PARTITION BY utt ORDER BY frame) AS a, lead(value) OVER (PARTITION BY utt ORDER BY frame) AS b FROM f)"
 PK = "pk AS (SELECT utt, frame, value FROM nb WHERE value >= a AND value >= b AND value >= 60.0)"
 PK0 = "pk AS (SELECT utt, frame, value FROM nb WHERE value >= a AND value >= b AND value >= 0.0)"

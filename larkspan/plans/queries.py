@@ -357,8 +357,8 @@ def second_stage_llr(s, d):
 @query
 def ordered_split(s, d):
     """The first seven tenths of the utterances, and each one's fold of five."""
-    u = frames(s, d).select("utt").distinct().withColumn("_r", F.percent_rank().over(W.orderBy("utt")))
-    return u.select("utt", (F.col("_r") < 0.7).alias("train"), (F.col("utt") % 5).alias("fold"))
+    u = ev.ordered_rank(frames(s, d).select("utt").distinct(), "utt")
+    return u.select("utt", (F.col("rank") < 0.7).alias("train"), (F.col("utt") % 5).alias("fold"))
 
 
 @query

@@ -166,3 +166,20 @@ def test_streams(spark, tmp_path):
     q.stop()
     assert got(spark.table("bg"), "user_id", "n") == [(1, 3), (2, 3)]
     assert running.window_means(spark.read.parquet(f"{tmp_path}/in")).agg(F.sum("n")).first()[0] == 12
+
+
+@pytest.mark.parametrize("values", [[], [None], [2.0], [None, 1.0, None], [5.0, 5.0, -3.0, None, 1e9, 0.5], [float("-inf"), 0.0, 1.0, float("inf")], [1.0, 2.0, float("nan")]], ids=str)
+def test_running_totals_by_value(spark, values):
+    rows = spark.createDataFrame([(v,) for v in values], "best double").groupBy("best").agg(F.count("*").alias("n"))
+    key = lambda v: (v is not None, v is not None and v != v, v if v is not None and v == v else 0.0)
+    got = sorted((key(r.best), r.n_run, r.n_all) for r in evaluate.running(rows, "best", "n").collect())
+    assert got == sorted((key(v), sum(key(x) >= key(v) for x in values), len(values)) for v in {key(v): v for v in values}.values())
+
+
+@pytest.mark.parametrize("percent", [0, 30, 50, 100])
+def test_threshold_at_a_rank(spark, percent):
+    for values in ([], [None], [4.0], [None, None, 3.0, 1.0], [2.0, 2.0, 2.0, 7.0, -1.0, None], [float(x % 13) for x in range(50)]):
+        got = [r.threshold for r in evaluate.threshold_at(spark.createDataFrame([(v,) for v in values], "best double"), percent).collect()]
+        ranked = sorted(values, key=lambda v: (v is not None, v or 0.0))
+        at = max((len(values) - 1) * percent // 100, values.count(None))
+        assert got == ([ranked[at]] if at < len(ranked) else [])
