@@ -90,3 +90,15 @@ def words(text: Column) -> Column:
 def count_of(text: Column, kind: str) -> Column:
     """How many of the text's code points match a regular expression for one character."""
     return F.regexp_count(text, F.lit(kind)).cast("long")
+
+
+def by_share(rows: DataFrame, right: DataFrame, key: str, share: float) -> DataFrame:
+    """rows joined with right (key, others, n), a written table with each key once and the number n of its rows.
+
+    Keys that hold this share of all rows or more, so at most 1 / share keys, are broadcast, and their rows
+    stay where they are; the rows of the others are shuffled by key."""
+    total = right.agg(F.sum("n")).first()[0] or 0
+    often = right.where(F.col("n") >= share * total).drop("n")
+    rest = right.where(F.col("n") < share * total).drop("n")
+    others = rows.join(F.broadcast(often.select(key)), key, "left_anti").join(rest, key)
+    return rows.join(F.broadcast(often), key).unionByName(others)
