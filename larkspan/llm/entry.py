@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from larkspan.llm import align, classifier, extract, licenses, mixing, packing, repair, rules, simhash, topk, urls, warc
+from larkspan.llm import align, classifier, extract, jaccard, licenses, mixing, packing, repair, rules, simhash, topk, urls, warc
 
 QUERIES = {
     "op1_warc": warc.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_mixing": mixing.query,
     "op9_topk_search": topk.query,
     "op10_url_filters": urls.query,
+    "op11_jaccard_join": jaccard.query,
     "op12_repair": repair.query,
     "op13_alignment": align.query,
     "pipeline": corpus_pipeline.run,
