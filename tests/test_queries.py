@@ -6,8 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-import larkspan.plans.oracles as oracles
-from larkspan.plans.queries import QUERIES
+from larkspan.plans.registry import QUERIES, SQL
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -25,6 +24,6 @@ def rows(frame):
     return cols, sorted(map(repr, frame[cols].astype(object).where(frame[cols].notna(), None).itertuples(index=False, name=None)))
 
 
-@pytest.mark.parametrize("name", sorted(oracles.SQL))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_same_rows(spark, db, name):
-    assert rows(QUERIES[name](spark, SF).toPandas()) == rows(db.sql(oracles.SQL[name]).df())
+    assert rows(QUERIES[name](spark, SF).toPandas()) == rows(db.sql(SQL[name]).df())
