@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspan.llm.common import by_share, discard, table, written
-from larkspan.llm.simhash import components
+from larkspan.llm.simhash import Union, components
 
 SHINGLE = 5
 SEED = 11
@@ -136,15 +136,22 @@ def forest(rows: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return out
 
 
-def bridge(rows: np.ndarray, root: np.ndarray, sets: list[np.ndarray]) -> tuple[int, int] | None:
-    """A link between rows of different roots, if there is one."""
+def bridges(hub: int, rows: np.ndarray, root: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links (row, row) that join rows of the root hub with those of others, one for each two that have any, or
+    none where others have joined them."""
+    union, out = Union(), []
     for i, j in candidates(np.array([len(x) for x in sets]), [bitmap(x) for x in sets], root):
+        ours = (root[i] == hub) | (root[j] == hub)
+        i, j = i[ours], j[ours]
         for at in np.unique(i):
-            near = j[i == at]
-            hit = np.flatnonzero(linked(sets[at], [sets[x] for x in near]))
-            if len(hit):
-                return int(rows[at]), int(rows[near[hit[0]]])
-    return None
+            near = np.array([x for x in j[i == at] if union.root(int(root[x])) != union.root(int(root[at]))], np.int64)
+            if not len(near):
+                continue
+            for x in near[linked(sets[at], [sets[x] for x in near])]:
+                if union.root(int(root[x])) != union.root(int(root[at])):
+                    union.join(int(root[x]), int(root[at]))
+                    out.append((int(rows[at]), int(rows[x])))
+    return out
 
 
 def _runs(batches: Iterator[pd.DataFrame], by: list[str], cols: list[str]) -> Iterator[tuple[tuple, list[np.ndarray]]]:
@@ -278,7 +285,7 @@ def first_links(docs: DataFrame, reps: DataFrame, alive: DataFrame, block: int)
     one = alive.groupBy("row").agg(F.min("key").alias("key"))
     one = written(one.join(reps.select("row", "t", "size", "bits"), "row"), "jaccard-one")
     counts = one.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    counts = written(counts.withColumn("parts", F.ceil(F.col("n") / block)), "jaccard-met")
+    counts = written(counts.withColumn("parts", F.ceil(F.col("n") / block)), "jaccard-firsts")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = by_share(one, counts, "key", OFTEN).withColumn("cell", F.pmod(F.xxhash64("row"), F.col("parts")))
     sorted_ = parts.repartition(n, "key", "cell").sortWithinPartitions("key", "cell")
@@ -306,8 +313,9 @@ def other_links(docs: DataFrame, reps: DataFrame, alive: DataFrame, roots: DataF
     """(a, b): for components, given by roots (node, root), that have links between them, one of each two or more.
 
     Keys whose rows are all of one component have nothing to give, and of keys with just the same rows one is
-    enough; rows are told by two hashes of all of a key's rows. Bitmaps find pairs of components that may
-    link, with their rows; these rows' sets are then compared once for each pair of components."""
+    enough; rows are told by two hashes of all of a key's rows. Bitmaps find the pairs of components that may link,
+    and the rows that make them do. Of each pair the component with more such rows is the hub; its rows meet
+    those of all its partners, once, and their sets are compared."""
     own = alive.join(roots.select(F.col("node").alias("row"), "root"), "row", "left").withColumn("root", F.coalesce("root", "row"))
     own = written(own, "jaccard-own")
     told = [F.bit_xor(F.xxhash64("row", F.lit(i))).alias(f"_{i}") for i in range(2)]
@@ -317,28 +325,38 @@ def other_links(docs: DataFrame, reps: DataFrame, alive: DataFrame, roots: DataF
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def found() -> Iterator[tuple]:
+            """Rows (root, row, None) that may link with another component's, and pairs (root, None, other root)."""
             for _, (row, root, size, bits) in _runs(batches, ["key", "cell"], ["row", "root", "size", "bits"]):
-                seen = set()
+                rows, pairs = set(), set()
                 for i, j in candidates(size, _bits(bits), root):
                     low, high = np.minimum(root[i], root[j]), np.maximum(root[i], root[j])
-                    for side in (i, j):
-                        seen.update(zip(low.tolist(), high.tolist(), row[side].tolist(), root[side].tolist(), strict=True))
-                yield from seen
-
-        yield from _frames(found(), ["ra", "rb", "row", "root"])
-
-    pairs = dealt(members, keys, ["key"], "n", block).select("key", "cell", "row", "root", "size", "bits").mapInPandas(near, "ra long, rb long, row long, root long")
-    pairs = written(pairs.distinct(), "jaccard-pairs")
-    wanted = pairs.select("row").distinct().join(reps.select("row", "t", "size"), "row")
-    wanted = written(wanted, "jaccard-wanted")
-    counts = pairs.join(wanted.select("row", "size"), "row").groupBy("ra", "rb").agg(F.sum("size").alias("w"))
+                    pairs.update(zip(low.tolist(), high.tolist(), strict=True))
+                    rows.update(np.concatenate((i, j)).tolist())
+                yield from ((int(root[i]), int(row[i]), None) for i in rows)
+                yield from ((a, None, b) for a, b in pairs)
+
+        for out in _frames(found(), ["root", "row", "other"]):
+            yield out.astype({"row": "Int64", "other": "Int64"})
+
+    met = dealt(members, keys, ["key"], "n", block).select("key", "cell", "row", "root", "size", "bits").mapInPandas(near, "root long, row long, other long")
+    met = written(met.distinct(), "jaccard-met")
+    rows = met.where("other IS NULL").select("row", "root").join(reps.select("row", "t", "size"), "row")
+    rows = written(rows, "jaccard-wanted")
+    counts = rows.groupBy("root").agg(F.count("*").alias("k"))
+    pairs = met.where("other IS NOT NULL").select("root", "other").join(counts, "root")
+    pairs = pairs.join(counts.select(F.col("root").alias("other"), F.col("k").alias("l")), "other")
+    first = F.struct("k", "root") >= F.struct("l", "other")
+    hubs = pairs.select(F.when(first, F.col("root")).otherwise(F.col("other")).alias("hub"), F.when(first, F.col("other")).otherwise(F.col("root")).alias("root"))
+    hubs = written(hubs.unionByName(hubs.select("hub", F.col("hub").alias("root")).distinct()), "jaccard-hubs")
+    groups = hubs.join(rows.select("row", "root", "size"), "root")
+    weights = written(groups.groupBy("hub").agg(F.sum("size").alias("w")), "jaccard-weights")
 
     def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        links = (bridge(row, root, list(held)) for _, (row, root, held) in _runs(batches, ["ra", "rb", "cell"], ["row", "root", "held"]))
-        yield from _frames(filter(None, links), ["a", "b"])
+        groups = _runs(batches, ["hub", "cell"], ["row", "root", "held"])
+        yield from _frames((x for (hub, _), (row, root, held) in groups for x in bridges(hub, row, root, list(held))), ["a", "b"])
 
-    sets = sets_of(docs, wanted).join(pairs, "row")
-    out = dealt(sets, counts, ["ra", "rb"], "w", weight).select("ra", "rb", "cell", "row", "root", "held").mapInPandas(exact, "a long, b long")
+    sets = sets_of(docs, rows).join(groups.drop("size"), "row")
+    out = dealt(sets, weights, ["hub"], "w", weight).select("hub", "cell", "row", "root", "held").mapInPandas(exact, "a long, b long")
     return written(out, "jaccard-links")
 
 

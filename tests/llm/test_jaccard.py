@@ -79,7 +79,8 @@ def test_pieces_of_the_method():
         if link:
             assert pairs
             assert set(a[: jaccard.prefix(len(a))]) & set(b[: jaccard.prefix(len(b))])
-            assert jaccard.forest(np.array([5, 6]), [a, b]) and jaccard.bridge(np.array([5, 6]), np.array([5, 6]), [a, b])
+            assert jaccard.forest(np.array([5, 6]), [a, b])
+            assert [sorted(x) for x in jaccard.bridges(5, np.array([7, 8]), np.array([5, 6]), [a, b])] == [[7, 8]]
     n = np.arange(1, 20000)
     assert (np.abs(jaccard.band(n * 5) - jaccard.band(n * 4)) <= 1).all()
 
