@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -129,3 +131,22 @@ def hardest(rows: DataFrame, by: str, n: int, *ties: str) -> DataFrame:
     """The n highest-scoring rows of each group."""
     w = W.partitionBy(by).orderBy(F.col("score").desc(), *ties)
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+
+
+def cascade_roc(rows: DataFrame, coarse: Sequence[float], fine: Sequence[float], seconds: float, missed: int = 0) -> DataFrame:
+    """coarse, threshold, tpr, fps: for each pair of thresholds the share of positives, `missed` further ones among
+    them, that pass both, and the negatives that do, a second. Rows (coarse, score, positive).
+
+    Rows are counted by how many thresholds of each kind they reach, so what moves is at most one row a cell and
+    task, and sums from above along both sides give all pairs: scores never meet thresholds."""
+    reached = lambda c, bars: F.size(F.filter(F.array(*[F.lit(float(b)) for b in sorted(bars)]), lambda b: F.col(c) >= b))
+    cells = rows.groupBy(reached("coarse", coarse).alias("_i"), reached("score", fine).alias("_j")).agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("q"))
+    grid = rows.sparkSession.range((len(coarse) + 1) * (len(fine) + 1)).select((F.col("id") % (len(coarse) + 1)).cast("int").alias("_i"), F.floor(F.col("id") / (len(coarse) + 1)).cast("int").alias("_j"))
+    cells = grid.join(cells, ["_i", "_j"], "left").na.fill(0, ["p", "q"])  # a row a pair of thresholds from here on
+    for one, other in (("_i", "_j"), ("_j", "_i")):
+        above = W.partitionBy(one).orderBy(F.col(other).desc()).rowsBetween(W.unboundedPreceding, 0)
+        cells = cells.withColumns({c: F.sum(c).over(above) for c in ("p", "q")})
+    total = F.max("p").over(W.partitionBy()) + F.lit(missed)
+    cells = cells.withColumn("_all", total).where("_i > 0 AND _j > 0")
+    bar = lambda at, bars: F.element_at(F.array(*[F.lit(float(b)) for b in sorted(bars)]), F.col(at))
+    return cells.select(bar("_i", coarse).alias("coarse"), bar("_j", fine).alias("threshold"), F.try_divide(F.col("p"), F.col("_all")).alias("tpr"), (F.col("q") / F.lit(float(seconds))).alias("fps"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,13 +38,14 @@ def suppress(detections: DataFrame, reach: int) -> DataFrame:
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["value", "frame"], ascending=[False, True])
-        taken: list[int] = []
+        taken: list[int] = []  # in order, so that only the nearest on either side count
         keep = []
         for f in pdf["frame"].tolist():
-            ok = all(abs(f - t) >= reach for t in taken)
+            at = bisect(taken, f)
+            ok = (at == 0 or f - taken[at - 1] >= reach) and (at == len(taken) or taken[at] - f >= reach)
             keep.append(ok)
             if ok:
-                taken.append(f)
+                taken.insert(at, f)
         return pdf[np.array(keep, bool)]
 
     return detections.select("utt", "frame", "value").groupBy("utt").applyInPandas(run, "utt long, frame long, value double")
@@ -92,10 +94,11 @@ def bernoulli_mixture(examples: DataFrame, k: int, rounds: int = 20, tol: float
     return weights, templates, seen
 
 
-def gaussian_mixture(examples: DataFrame, k: int, rounds: int = 20, least: float = 1e-4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(weights, means, variances) of a mixture of diagonal normals over examples (ex, x), as above."""
+def gaussian_mixture(examples: DataFrame, k: int, rounds: int = 20, least: float = 1e-4, start: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(weights, means, variances) of a mixture of diagonal normals over examples (ex, x), as above, or from
+    start, (k centres, a variance for each feature), with equal weights."""
     dims = len(examples.select("x").head()[0])
-    params = None
+    params = None if start is None else (np.full(k, 1 / k), start[0], np.tile(np.maximum(start[1], least), (k, 1)))
     for _ in range(rounds):
         state = examples.sparkSession.sparkContext.broadcast(params)
 
