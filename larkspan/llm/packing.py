@@ -180,6 +180,50 @@ def best_fit(left: dict[int, int], room: int) -> Counter:
     return sum(bins.values(), Counter())
 
 
+def fullest(left: np.ndarray, room: int) -> np.ndarray:
+    """Counts by size, none above left[size], that fill room as far as can be, by the fewest pieces: a knapsack
+    over the sizes from large to small, in which s pieces of a size are taken as 1, 2, 4 .. and the rest."""
+    few = np.full(room + 1, 1 << 30)
+    few[0], steps = 0, []
+    for s in np.flatnonzero(left[1 : room + 1])[::-1] + 1:
+        n, k = min(int(left[s]), room // int(s)), 1
+        while n:
+            k = min(k, n)
+            w = k * int(s)
+            better = few[:-w] + k < few[w:]
+            if better.any():
+                steps.append((int(s), k, better))
+                few[w:] = np.where(better, few[:-w] + k, few[w:])
+            n, k = n - k, 2 * k
+    at, counts = int(np.flatnonzero(few < 1 << 30)[-1]), np.zeros(len(left), np.int64)
+    for s, k, better in reversed(steps):
+        w = k * s
+        if at >= w and better[at - w]:
+            counts[s] += k
+            at -= w
+    return counts
+
+
+def filled(left: dict[int, int], room: int) -> Counter:
+    """As best_fit(): patterns found one after the other, each the largest size left and what fills the rest of its
+    sequence best, used as often as there are pieces for it."""
+    have = np.zeros(room + 1, np.int64)
+    for s, n in left.items():
+        have[s] = n
+    out: Counter = Counter()
+    for s in sorted(left, reverse=True):
+        while have[s]:
+            have[s] -= 1
+            counts = fullest(have, room - s) if room > s else np.zeros(room + 1, np.int64)
+            have[s] += 1
+            counts[s] += 1
+            used = np.flatnonzero(counts)
+            times = int((have[used] // counts[used]).min())
+            have -= times * counts
+            out[tuple((int(u), int(counts[u])) for u in used)] += times
+    return out
+
+
 def inverted(matrix: np.ndarray) -> np.ndarray:
     """A matrix's inverse by Gauss-Jordan steps. NumPy's own calls a threaded library, which was seen to
     wait forever on a Spark driver, though not with one thread; the driver's fork of its JVM may be the cause."""
@@ -201,32 +245,52 @@ def _times(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
 
 
 def plan(histogram: dict[int, int], room: int, gap: float = 0.001, rounds: int = 4000) -> list[tuple[dict[int, int], int]]:
-    """Patterns ({units: pieces}, times used) that hold exactly the pieces of histogram {units: pieces}.
-
-    Column generation for the cutting-stock problem: a basis of one pattern a size is improved by the revised
-    simplex method, a knapsack over the present prices giving the entering pattern. It ends when none pays,
-    or when Farley's bound (the prices' worth over the best pattern's) proves that at most the share `gap` of
-    the sequences could be saved, or less than one. The inverse is made anew when it has drifted. `rounds`
-    bounds the driver's work should a degenerate basis circle; the plan is whole wherever it stops. The basis solution is rounded down, never beyond what
-    there is, and what remains, less than one pattern a size, is placed best-fit by decreasing size. Work
-    depends on the sizes, not on how many documents there are.
+    """Patterns ({units: pieces}, times used) that hold exactly the pieces of histogram {units: pieces}, in at most as
+    many sequences as best_fit() or filled() take.
+
+    Column generation for the cutting-stock problem. Columns are found first by knapsacks over what is left, one
+    after the other. Farley's bound (the prices' worth of all pieces over the best pattern's, by a knapsack over
+    the prices) tells how few sequences any plan can have; with prices in proportion to sizes it often proves at
+    once that at most the share `gap` of the sequences could be saved, or less than one. If it doesn't, a basis
+    of one pattern a size is improved by the revised simplex method, where the first columns enter as long as
+    one of them pays and then the knapsack's over the present prices, until the bound proves it or none pays.
+    The inverse is made anew when it has drifted. The basis solution is rounded down, never beyond what
+    there is, and what remains, less than one pattern a size, is placed likewise. Should a degenerate basis
+    circle, `rounds` ends it; the better of the plans is taken then as ever. Work depends on the sizes, not on
+    how many documents there are.
     """
     sizes = np.array(sorted(s for s, n in histogram.items() if n > 0), np.int64)
     need = np.array([histogram[int(s)] for s in sizes], float)
     if not len(sizes):
         return []
+    whole = {int(s): int(n) for s, n in zip(sizes, need, strict=True)}
+    best = min(filled(whole, room), best_fit(whole, room), key=Counter.total)
+
+    def proved(duals: np.ndarray, value: float, held: float) -> bool:
+        bound = (duals * need).sum() / value
+        return bound >= (1 - gap) * held or np.ceil(bound - 1e-6) >= np.ceil(held - 1e-6)
+
+    duals = sizes / room
+    if proved(duals, price(duals, sizes, room)[0], best.total()):
+        return [(dict(c), n) for c, n in best.items()]
+    pool = np.zeros((len(best), len(sizes)))
+    for k, pattern in enumerate(best):
+        for s, c in pattern:
+            pool[k, np.searchsorted(sizes, s)] = c
     basis = np.diag((room // sizes).astype(float))
     inverse = np.diag(1 / (room // sizes))
     x = _times(inverse, need)
     pivots = 0
     while pivots < rounds:
         duals = inverse.sum(axis=0)
-        value, column = price(duals, sizes, room)
-        bound, held = (duals * need).sum() / value, x.sum()
-        if value <= 1 + 1e-7 or bound >= (1 - gap) * held or np.ceil(bound - 1e-6) >= np.ceil(held - 1e-6):
-            break
-        if (duals * column).sum() <= 1 + 1e-7:  # it pays by rounding errors only
-            break
+        worth = _times(pool, duals)
+        column = pool[int(worth.argmax())]
+        if worth.max() <= 1 + 1e-6:
+            value, column = price(duals, sizes, room)
+            if value <= 1 + 1e-7 or proved(duals, value, min(x.sum(), best.total())):
+                break
+            if (duals * column).sum() <= 1 + 1e-7:  # it pays by rounding errors only
+                break
         direction = _times(inverse, column)
         ratio = np.where(direction > 1e-9, x / np.where(direction > 1e-9, direction, 1), np.inf)
         leave = int(ratio.argmin())
@@ -251,8 +315,9 @@ def plan(histogram: dict[int, int], room: int, gap: float = 0.001, rounds: int =
         if n > 0:
             left -= n * counts
             used_[tuple((int(s), int(c)) for s, c in zip(sizes[used], counts[used], strict=True))] += n
-    used_ += best_fit({int(s): int(n) for s, n in zip(sizes, left, strict=True) if n}, room)
-    return [(dict(c), n) for c, n in used_.items()]
+    rest = {int(s): int(n) for s, n in zip(sizes, left, strict=True) if n}
+    used_ += min(filled(rest, room), best_fit(rest, room), key=Counter.total)
+    return [(dict(c), n) for c, n in min(best, used_, key=Counter.total).items()]
 
 
 def slots(patterns: list[tuple[dict[int, int], int]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:

@@ -372,6 +372,59 @@ def test_plan_holds_each_piece_once_and_is_close_to_best_fit(seed):
     assert packing.best_fit(need, 64).total() == len(bins)
 
 
+def large_histograms():
+    rng = np.random.default_rng(0)
+    every = range(1, 512)
+    return {
+        "even": {s: int(rng.integers(900, 1101)) for s in every},
+        "uneven": {s: int(rng.integers(1, 10**6)) for s in every},
+        "few": {s: int(rng.integers(1, 4)) for s in every},
+        "falling": {s: int(1e5 * 0.99**s) + 1 for s in every},
+        "falling x 100": {s: int(1e7 * 0.99**s) + 1 for s in every},
+        "thirds": {s: int(rng.integers(1, 2000)) for s in range(150, 260)},
+        "over half": {s: int(rng.integers(1, 2000)) for s in range(257, 512)},
+        "one size": {300: 7},
+    }
+
+
+@pytest.mark.parametrize("name", large_histograms())
+def test_plan_of_all_sizes_ends_by_proof_and_is_no_worse_than_best_fit(name):
+    """Without a bound on its steps, in seconds; each size's pieces are all placed, in sequences that hold them."""
+    need, room = large_histograms()[name], 512
+    began = time.perf_counter()
+    plan = packing.plan(need, room, rounds=1 << 60)
+    assert time.perf_counter() - began < 15  # 0.1 to 2 s alone on this machine
+    held = {}
+    for counts, times in plan:
+        assert sum(s * c for s, c in counts.items()) <= room and times > 0
+        for s, c in counts.items():
+            held[s] = held.get(s, 0) + c * times
+    assert held == need
+    total = sum(t for _, t in plan)
+    assert total <= packing.best_fit(need, room).total()
+    large = sum(n for s, n in need.items() if s > room // 2)
+    assert total >= max(large, sum(s * n for s, n in need.items()) / room)
+    if name.startswith("falling"):
+        assert total <= 1.002 * sum(s * n for s, n in need.items()) / room + 2
+
+
+def test_fullest_by_trying_all():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        room = int(rng.integers(1, 25))
+        left = np.zeros(room + 3, np.int64)
+        left[1:] = rng.integers(0, 3, room + 2) * (rng.random(room + 2) < 0.4)
+        got = packing.fullest(left, room)
+        reach = {0: 0}
+        for s in range(1, room + 1):
+            for _ in range(left[s]):
+                for total, n in list(reach.items()):
+                    if total + s <= room:
+                        reach[total + s] = min(reach.get(total + s, 99), n + 1)
+        sums = int((got * np.arange(len(left))).sum())
+        assert (got <= left).all() and sums == max(reach) and got.sum() == reach[sums]
+
+
 def test_inverted():
     rng = np.random.default_rng(2)
     for n in (1, 2, 7, 60):
