@@ -154,6 +154,10 @@ def licences(expression: str) -> tuple[set[str], set[str]] | None:
     return stack.pop()
 
 
+#: A bracket, operator or identifier, with the white space before it.
+_OPERAND = re.compile(r"\s*+(?:[()]|[A-Za-z0-9][A-Za-z0-9.+-]*+)")
+
+
 def _tag_expression(line: str) -> str | None:
     """The longest beginning of a line that is an expression, in lower case; after it prose may follow.
 
@@ -163,9 +167,7 @@ def _tag_expression(line: str) -> str | None:
     end, at = 0, 0
     parts: list[str] = []
     open_, operand, sure = 0, True, False
-    for m in re.finditer(r"\s*(?:[()]|[A-Za-z0-9][A-Za-z0-9.+-]*)", line):
-        if m.start() != at:
-            break
+    while m := _OPERAND.match(line, at):
         word = m[0].strip().rstrip(".")
         t = word.lower()
         if t in _POWER:
