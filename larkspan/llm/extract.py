@@ -21,12 +21,17 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements that hold other blocks: they stay on the stack, and blocks below the same one are near.
 HOLDERS = frozenset("article aside blockquote body button details dialog div dl fieldset figure footer form header html main menu nav ol section table tbody td tfoot th thead tr ul".split())
 #: What an element's mark costs for each block below it: as content, and as boilerplate.
-AGAINST = {"nav": 12, "footer": 12, "aside": 12, "form": 12, "menu": 12, "button": 12, "dialog": 12, "header": 8, "fieldset": 8}
+AGAINST = {"nav": 12, "footer": 12, "aside": 12, "menu": 12, "button": 12, "dialog": 12, "header": 8}
 FOR = {"article": 6, "main": 4}
 #: The same for what its names say, or an attribute that hides it. A word of BAD_WORDS weighs less than an article
 #: with its sentences (6 and about 2), so that an article outweighs one word around it, and more than a paragraph
 #: in an element of GOOD_WORDS (3 and at most 3).
 HARD, SOFT, GOOD = 12, 7, 3
+#: What a weak mark costs once, however many blocks are below it: one paragraph (at most 3) doesn't outweigh it, two do.
+WEAK = 3.2
+#: Elements and words that hold an article about as often as not: a page's one form, a builder's widget.
+WEAK_ELEMENTS = frozenset("form fieldset".split())
+WEAK_WORDS = frozenset("alert form search tags widget widgets".split())
 #: Words of a class, id or role that speak against or for content.
 BAD_WORDS = frozenset(
     "ad ads advert advertisement adverts advertising alert banner breadcrumb breadcrumbs complementary consent cookie cookies copyright disclaimer dropdown footer form gdpr header login masthead menu modal nav navbar "
@@ -36,6 +41,8 @@ BAD_WORDS = frozenset(
 #: The like for what holds articles of its own: comments, teasers and adverts.
 BAD_ARTICLES = frozenset("advert advertisement comment commentlist comments discussion disqus promo promoted promotion related replies reply sponsor sponsored teaser teasers".split())
 GOOD_WORDS = frozenset("article body content entry main post story text".split())
+#: Of these, what an article's own element may say beside a word for content.
+WEAK_ARTICLES = frozenset("promo promoted promotion related sponsor sponsored teaser teasers".split())
 #: Beginnings of class names that tell a page's state and not what an element holds.
 _STATE = ("has-", "with-", "no-", "is-", "js-")
 #: A tag ends at its `>`, or where the next `<` outside quotes begins another.
@@ -66,6 +73,9 @@ def naming(names: list[str]) -> set[str]:
     for name in names:
         if not name.lower().startswith(_STATE):
             parts = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w]
+            parts = parts[: next((k for k, w in enumerate(parts) if w in ("with", "without")), len(parts))]
+            if "free" in parts:  # alert-free
+                parts = parts[parts.index("free") + 1 :]
             out.update(parts)
             out.update(a + b for a, b in zip(parts, parts[1:], strict=False))
     return out
@@ -82,20 +92,22 @@ def unseen(attributes: dict[str, str], names: list[str]) -> bool:
     )
 
 
-def marked(name: str, tag: str, in_article: bool) -> tuple[int, set[str]]:
-    """(what an element's names or style cost it as content: HARD, SOFT or 0; the words of its names). An
+def marked(name: str, tag: str, in_article: bool) -> tuple[float, set[str]]:
+    """(what an element's names or style cost it as content: HARD, SOFT, WEAK or 0; the words of its names). An
     article's own head (post-header, or a header inside an article) costs nothing."""
     attributes = attributes_of(tag) if tag else {}
     names = names_of(attributes)
     words = naming(names)
     if name in ("html", "body", "main"):
         return 0, words
-    if words & BAD_ARTICLES or name != "article" and unseen(attributes, names):
+    if name != "article" and unseen(attributes, names):
         return HARD, words
+    if worst := words & BAD_ARTICLES:
+        return WEAK if name == "article" and words & GOOD_WORDS and worst <= WEAK_ARTICLES else HARD, words
     bad = set() if name == "article" else words & BAD_WORDS
     if in_article or words & GOOD_WORDS:
         bad = bad - {"header"}
-    return SOFT if bad else 0, words
+    return (WEAK if bad <= WEAK_WORDS else SOFT) if bad else 0, words
 
 
 _CUT_OFF = re.compile("<[a-zA-Z/!]")
@@ -112,7 +124,7 @@ class Block(NamedTuple):
 
 
 class Region(NamedTuple):
-    """A marked element, with what it costs for each block below it."""
+    """A marked element, with what it costs for each block below it, or once where the mark is weak."""
 
     against: float
     favour: float
@@ -197,10 +209,11 @@ def blocks(html: str) -> tuple[list[Block], list[Region]]:
             continue
         if name in HIDDEN:
             if name not in VOID and not m[3].endswith("/"):
-                gone = None if name in unclosed else re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(html, at)
-                if gone or name != "head":
-                    at = gone.end() if gone else end
-                elif not gone:
+                gone = None if name in unclosed else re.compile(rf"</{re.escape(name)}\b", re.I).search(html, at)
+                past = html.find(">", gone.end()) + 1 if gone else 0
+                if past or name != "head":
+                    at = past or end
+                else:
                     unclosed.add(name)
             continue
         tag_now, own = name, 0.0
@@ -211,8 +224,9 @@ def blocks(html: str) -> tuple[list[Block], list[Region]]:
         elif not m[3].endswith("/"):
             top = stack[-1]
             against, favour, region = top.against, top.favour, top.region
-            bad = max(named, 0 if name == "header" and in_article else AGAINST.get(name, 0))  # an article's own head
-            good = 0 if named else FOR.get(name, GOOD if names & GOOD_WORDS else 0)
+            held = WEAK if name in WEAK_ELEMENTS else AGAINST.get(name, 0)
+            bad = max(named, 0 if name == "header" and in_article else held)  # an article's own head
+            good = 0 if named else FOR.get(name, GOOD if names & GOOD_WORDS and not against else 0)  # a widget's content is no article's
             if name == "main":  # the page's one main part, whatever lies around it
                 against, region = 0.0, -1
             if bad or good or name == "main":
@@ -237,7 +251,7 @@ def costs(b: Block) -> tuple[float, float]:
     words = b.text.count(" ") + 1
     keep = min(2.0, words / 15) + (0.5 if _ends_sentence(b.text) else 0) + (0.5 if b.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote") else 0)
     share = b.links / max(1, len(b.text))
-    drop = b.own + 4 * share * share * (0.25 if b.article else 1) + (0.8 if words < 4 else 0) + (2 if re.search(r"©|\(c\)|copyright|all rights reserved", b.text, re.I) and words < 30 else 0)
+    drop = b.own + 4 * share * share * (0.25 if b.article else 1) + (0.8 if words < 4 and b.tag != "p" else 0.5 if words < 4 else 0) + (2 if re.search(r"©|\(c\)|copyright|all rights reserved", b.text, re.I) and words < 30 else 0)
     return keep, drop
 
 
@@ -260,7 +274,8 @@ def edges(bs: list[Block]) -> list[tuple[int, int, float]]:
 def graph(bs: list[Block], regions: list[Region]) -> tuple[list[float], list[float], list[tuple[int, int, float]]]:
     """(source, sink, links) of the cut: a node for each block, and after these one for each marked element.
 
-    A block has the classifier's costs. A marked element has its mark's cost once for each block below it. It is
+    A block has the classifier's costs. A marked element has its mark's cost once for each block below it, a weak
+    one once in all, so that the prose below it is weighed as a whole against what its name says. It is
     joined to the blocks whose innermost marked element it is, each at the mark's cost, and inside boilerplate to
     the marked element around it, at that one's cost for each block below; so a mark reaches a block only by
     the page's tree, and what many blocks say can outweigh it.
@@ -278,7 +293,7 @@ def graph(bs: list[Block], regions: list[Region]) -> tuple[list[float], list[flo
             below[around] += below[r]
             links.append((len(bs) + r, len(bs) + around, regions[r].tie * below[r]))
     source = [k for k, _ in priced] + [r.favour * n for r, n in zip(regions, below, strict=True)]
-    sink = [d for _, d in priced] + [r.against * n for r, n in zip(regions, below, strict=True)]
+    sink = [d for _, d in priced] + [r.against * (min(n, 1) if r.against == WEAK else n) for r, n in zip(regions, below, strict=True)]
     return source, sink, links
 
 
