@@ -1,6 +1,7 @@
 """The subpackage's operators against brute force, SQL, round trips and held-out labels."""
 
 import gzip
+import math
 import random
 import re
 import time
@@ -697,6 +698,71 @@ def test_rules_at_small_sizes_and_of_four_tokens(spark):
     assert got.count() == 0
 
 
+def brute_rules(rows, min_confidence):
+    """All minimal combinations that pass by their counts, over tokens as mined() keeps them."""
+    import itertools
+
+    n, bad = len(rows), sum(b for _, b in rows)
+    rate = min(bad / n, 0.5)
+    least = math.ceil(urls.SURE / -math.log(rate))
+    count = lambda x: (sum(x <= t for t, _ in rows), sum(x <= t and b for t, b in rows))
+
+    def passes(x):
+        m, b = count(x)
+        if b < least or b / m < min_confidence or b / m <= rate:
+            return False
+        p = b / m
+        return m * (p * math.log(p / rate) + ((1 - p) * math.log((1 - p) / (1 - rate)) if p < 1 else 0)) >= urls.SURE - 1e-9
+
+    found = []
+    tokens = sorted(set().union(*(t for t, _ in rows)))
+    for size in range(1, len(tokens) + 1):
+        frequent = [set(c) for c in itertools.combinations(tokens, size) if count(set(c))[1] >= least]
+        found += [x for x in frequent if not any(f <= x for f in found) and passes(x)]
+        if not frequent:
+            break
+    return sorted(sorted(x) for x in found)
+
+
+def test_mined_rules_are_those_of_brute_force_counts(spark):
+    rng = random.Random(12)
+    for _ in range(4):
+        chance = {t: rng.uniform(0.3, 0.7) for t in "abcdefg"}
+        rows = []
+        for _ in range(400):
+            held = {t for t, p in chance.items() if rng.random() < p}
+            wrong = {"a", "b"} <= held or {"c", "d", "e"} <= held or "g" in held and rng.random() < 0.5
+            rows.append((held, wrong if rng.random() < 0.95 else not wrong))
+        frame = spark.createDataFrame([(sorted(t), b) for t, b in rows], "_tokens array<string>, bad boolean")
+        assert sorted(sorted(r.tokens) for r in urls.mined(frame, 0.0, 0.6).collect()) == brute_rules(rows, 0.6)
+
+
+@pytest.mark.parametrize("kind", ["bad rows lack one", "all rows lack one", "half of all", "random among good"])
+def test_many_tokens_that_nearly_go_together_are_mined_in_seconds(spark, kind):
+    """Twenty tokens, whose combinations would be a million."""
+    k, n = 20, 240
+    rng = random.Random(1)
+    every = [f"t{i:02}" for i in range(k)]
+    rows = []
+    for i in range(n):
+        bad = i % 2 == 0
+        held = set(every)
+        if kind == "bad rows lack one" and bad or kind == "all rows lack one":
+            held.discard(every[i // 2 % k])
+        if kind == "half of all" and i % 4 > 1:
+            held = set()
+        elif kind == "half of all":
+            held.discard(every[i // 4 % k])
+        if kind == "random among good" and not bad:
+            held = {t for t in held if rng.random() < 0.5}
+        rows.append((sorted(held | ({"spam"} if bad and i % 3 else set())), bad))
+    began = time.perf_counter()
+    got = sorted(r.tokens for r in urls.mined(spark.createDataFrame(rows, "_tokens array<string>, bad boolean"), 0.0, 0.6).collect())
+    assert time.perf_counter() - began < 60
+    assert ["spam"] in got and all(t == ["spam"] or "spam" not in t for t in got)
+    assert (len(got) > 1) == (kind == "random among good")
+
+
 # the pipeline
 
 
