@@ -25,8 +25,8 @@ def error_rate(pairs: DataFrame) -> DataFrame:
     return pairs.agg(F.avg((F.col("pred") != F.col("truth")).cast("double")).alias("error"))
 
 
-#: Parts of equal width into which a range of values is divided for running totals.
-BARS = 4096
+#: A range of values is parted at this many quantiles, and between two of them into as many bars of equal width.
+PARTS = 64
 
 
 def running(rows: DataFrame, by: str, *sums: str) -> DataFrame:
@@ -34,10 +34,16 @@ def running(rows: DataFrame, by: str, *sums: str) -> DataFrame:
     values are distinct, null below all; and <name>_all: its total over all rows.
 
     No window runs over all rows in one task: they are dealt by value into bars, and the totals of the bars
-    (at most BARS + 2 rows, whatever the input) are added to running totals within each."""
-    low, high = rows.agg(F.min(by)).scalar(), rows.agg(F.max(by)).scalar()
-    at = F.floor(F.try_divide((F.col(by) - low).cast("double"), (high - low).cast("double")) * BARS)  # each step keeps the order
-    rows = rows.withColumn("_bar", F.when(F.col(by).isNull(), F.lit(-1).cast("long")).otherwise(F.coalesce(at.cast("long"), F.lit(0).cast("long"))))
+    (some PARTS squared, whatever the input) are added to running totals within each. Bars follow the values'
+    quantiles, so that a value far off, or infinite, leaves the others as they are."""
+    cuts = rows.agg(F.percentile_approx(F.col(by).cast("double"), [k / PARTS for k in range(PARTS + 1)])).first()[0]
+    v, bounds = F.col(by).cast("double"), F.array(*[F.lit(x) for x in dict.fromkeys(cuts or [0.0])])
+    part = F.size(F.filter(bounds, lambda x: v >= x))  # 0 below all of them
+    low, high = F.get(bounds, part - 1), F.get(bounds, part)
+    inside = F.try_divide(v - low, high - low) * PARTS  # null at the ends and not a number beyond what is finite, which keeps the order
+    inside = F.when(F.isnan(inside), 0.0).otherwise(F.coalesce(F.least(inside, F.lit(PARTS - 1.0)), F.lit(0.0)))
+    bar = F.when(F.col(by).isNull(), F.lit(-1).cast("long")).otherwise(part.cast("long") * PARTS + F.floor(F.greatest(inside, F.lit(0.0))))
+    rows = rows.withColumn("_bar", bar)
     bars = rows.groupBy("_bar").agg(*[F.sum(c).alias(f"_{c}") for c in sums])
     above, whole = W.orderBy(F.col("_bar").desc()).rowsBetween(W.unboundedPreceding, -1), W.partitionBy()
     bars = bars.select("_bar", *[F.coalesce(F.sum(f"_{c}").over(above), F.lit(0)).alias(f"_{c}") for c in sums], *[F.sum(f"_{c}").over(whole).alias(f"{c}_all") for c in sums])
@@ -150,3 +156,30 @@ def cascade_roc(rows: DataFrame, coarse: Sequence[float], fine: Sequence[float],
     cells = cells.withColumn("_all", total).where("_i > 0 AND _j > 0")
     bar = lambda at, bars: F.element_at(F.array(*[F.lit(float(b)) for b in sorted(bars)]), F.col(at))
     return cells.select(bar("_i", coarse).alias("coarse"), bar("_j", fine).alias("threshold"), F.try_divide(F.col("p"), F.col("_all")).alias("tpr"), (F.col("q") / F.lit(float(seconds))).alias("fps"))
+
+
+def component_confusion(scores: DataFrame, truths: DataFrame, key: str) -> DataFrame:
+    """pred, pred_comp, truth, truth_comp, n from scores (key, label, comp, score) and truths (key, truth): the best
+    component of all, and the best of the true class, the lowest on ties. A key whose class has no score is left out."""
+    rank = F.struct("score", -F.col("label"), -F.col("comp"))
+    rows = scores.join(truths.select(key, "truth"), key)
+    own = F.when(F.col("label") == F.col("truth"), rank)
+    best = rows.groupBy(key, "truth").agg(F.max(rank).alias("a"), F.max(own).alias("b")).where("b IS NOT NULL")
+    names = lambda s, name: [(-F.col(f"{s}.col2")).alias(name), (-F.col(f"{s}.col3")).alias(f"{name}_comp")]
+    pairs = best.select(*names("a", "pred"), "truth", (-F.col("b.col3")).alias("truth_comp"))
+    return pairs.groupBy("pred", "pred_comp", "truth", "truth_comp").agg(F.count("*").alias("n"))
+
+
+def component_errors(confusion_: DataFrame) -> DataFrame:
+    """side, label, comp, n: how many mistakes each component makes as the predicted one, and loses as the true one."""
+    wrong = confusion_.where("pred <> truth")
+    made = wrong.select(F.lit("made").alias("side"), F.col("pred").alias("label"), F.col("pred_comp").alias("comp"), "n")
+    lost = wrong.select(F.lit("lost").alias("side"), F.col("truth").alias("label"), F.col("truth_comp").alias("comp"), "n")
+    return made.unionByName(lost).groupBy("side", "label", "comp").agg(F.sum("n").alias("n"))
+
+
+def windows_of(lengths: DataFrame, by: str) -> DataFrame:
+    """by, w0, w1, c0, c1 from templates (by, len): a third of the longest to either side as the window of a hit, its
+    length as the gap that parts clusters, and one and a half times it as the most they span."""
+    longest = F.max("len")
+    return lengths.groupBy(by).agg((-F.ceil(longest / 3)).alias("w0"), F.ceil(longest / 3).alias("w1"), longest.cast("long").alias("c0"), F.ceil(longest * 1.5).alias("c1"))

@@ -312,3 +312,51 @@ def part_features(bits: DataFrame, sizes: DataFrame, parts: DataFrame, count: in
     if graph is not None:
         out = out.unionByName(out.join(graph, "part").select("utt", "frame", "freq", F.col("neighbour").alias("part")))
     return out.distinct()
+
+
+def mel(frames: DataFrame, rate: float, bands: int) -> DataFrame:
+    """The logarithm of power S on mel bands, and energy, the sum of S. Bins are those of a transform twice as long."""
+    from larkspan.operators.models import mel_matrix
+
+    @F.pandas_udf("array<double>")
+    def run(power: pd.Series) -> pd.Series:
+        if not len(power):
+            return power
+        p = np.stack(power.to_numpy())
+        weights = mel_matrix(bands, p.shape[1] + 1, rate)[:, :-1]  # the highest bin isn't in S
+        on = p @ weights.T
+        return pd.Series(list(np.log(np.where(on > 0, on, 1e-300))))
+
+    return frames.withColumn("energy", F.aggregate("S", F.lit(0.0), lambda a, x: a + x)).withColumn("S", run("S"))
+
+
+def cepstra(frames: DataFrame, bands: int, count: int, lift: float = 0.6) -> DataFrame:
+    """The first `count` coefficients of the orthonormal cosine transform of S, which has `bands` values, the kth above
+    the first times k to the power of lift; with a column energy that takes the first one's place."""
+    rows = []
+    for k in range(count):
+        scale = math.sqrt((1 if k == 0 else 2) / bands) * (1.0 if k == 0 else float(k) ** lift)
+        rows.append(F.array(*[F.lit(scale * math.cos(math.pi * k * (2 * j + 1) / (2 * bands))) for j in range(bands)]))
+    out = [F.aggregate(F.zip_with("S", r, lambda x, w: x * w), F.lit(0.0), lambda a, x: a + x) for r in rows]
+    if "energy" in frames.columns:
+        out[0] = F.col("energy")
+    return frames.withColumn("S", F.array(*out))
+
+
+def deltas(frames: DataFrame, window: int = 9, size: int = CHUNK) -> DataFrame:
+    """The slope of each of S's values over a window of frames around, the first and last frame standing in beyond
+    the ends."""
+    half = window // 2
+    rows = chunked(frames, half, half, size)
+    w, whole = _in_chunk(), _in_chunk().rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    denominator = float(sum(k * k for k in range(-half, half + 1)))
+    near = {k: F.coalesce(F.lead("S", k).over(w), F.last("S").over(whole)) if k > 0 else F.coalesce(F.lag("S", -k).over(w), F.first("S").over(whole)) for k in range(-half, half + 1) if k}
+    rows = rows.select("*", *[c.alias(f"_s{k + half}") for k, c in near.items()]).where("_own")
+
+    def slope(x: Column, i: Column) -> Column:
+        total = F.lit(0.0)
+        for k in near:
+            total = total + F.lit(k / denominator) * _at(F.col(f"_s{k + half}"), i)
+        return total
+
+    return rows.withColumn("_out", F.transform("S", slope)).drop("S", "_chunk", "_own", *[f"_s{k + half}" for k in near]).withColumnRenamed("_out", "S")

@@ -59,21 +59,29 @@ GROUP BY utt, frame - bk.dt, bt.f - bk.df, part HAVING count(*) >= {LEAST}{havin
 cd AS (SELECT utt, t, f, part FROM (SELECT *, row_number() OVER (PARTITION BY utt, t, f ORDER BY lk DESC, part) AS rn FROM lk WHERE t >= 0 AND f >= 0) WHERE rn = 1)"""
 
 
-def _spectra(tap: str) -> str:
-    """Log power of windows of 16 in steps of 4, transform of 32, lowest six channels; tap (k, i, w) weighs the samples."""
-    return f"""WITH {FRAMES}, y AS (SELECT utt, frame, value - 0.95::DOUBLE * coalesce(lag(value) OVER (PARTITION BY utt ORDER BY frame), 0) AS y, floor((count(*) OVER (PARTITION BY utt) - 16) / 4.0::DOUBLE + 0.5)::BIGINT AS w FROM f),
+HAMMING = "SELECT 0 AS k, i, 0.54::DOUBLE - 0.46::DOUBLE * cos(2 * pi() * i / 15) AS w FROM range(16) r(i)"
+
+
+def power(tap: str) -> str:
+    """pw: the power of windows of 16 events in steps of 4 in the lower half of a transform of 32; tap (k, i, w) weighs the samples."""
+    return f"""{FRAMES}, y AS (SELECT utt, frame, value - 0.95::DOUBLE * coalesce(lag(value) OVER (PARTITION BY utt ORDER BY frame), 0) AS y, floor((count(*) OVER (PARTITION BY utt) - 16) / 4.0::DOUBLE + 0.5)::BIGINT AS w FROM f),
 tp AS ({tap}), wn AS (SELECT utt, v.i AS frame, y.frame - v.i * 4 AS i, y FROM y JOIN range(0, 100000) v(i) ON v.i < w AND y.frame >= v.i * 4 AND y.frame < v.i * 4 + 16),
 ft AS (SELECT utt, frame, b.i AS channel, tp.k, sum(y * tp.w * cos(2 * pi() * b.i * wn.i / 32)) AS re, sum(y * tp.w * sin(2 * pi() * b.i * wn.i / 32)) AS im FROM wn JOIN tp ON tp.i = wn.i CROSS JOIN range(16) b(i) GROUP BY ALL),
-pw AS (SELECT utt, frame, channel, avg(re * re + im * im) AS p FROM ft GROUP BY utt, frame, channel)
-SELECT utt, frame, channel::INTEGER AS channel, round(ln(CASE WHEN p > 0 THEN p ELSE (SELECT min(q.p) FROM pw q WHERE q.utt = pw.utt AND q.p > 0 AND q.channel < 6) END), 6) AS x FROM pw WHERE channel < 6"""
+pw AS (SELECT utt, frame, channel, avg(re * re + im * im) AS p FROM ft GROUP BY utt, frame, channel)"""
+
+
+def _spectra(tap: str) -> str:
+    """The logarithms of the lowest six channels."""
+    return f"""WITH {power(tap)}
+SELECT utt, frame, channel::INTEGER AS channel, round(ln(CASE WHEN p > 0 THEN p ELSE (SELECT min(q.p) FROM pw q WHERE q.utt = pw.utt AND q.p > 0 AND q.channel < 6) END), 6) + 0.0::DOUBLE AS x FROM pw WHERE channel < 6"""
 
 
 TAPERS = "SELECT * FROM (VALUES " + ", ".join(f"({k}, {i}, {w!r}::DOUBLE)" for k, row in enumerate(tapers(16, 3.0, 5).tolist()) for i, w in enumerate(row)) + ") t(k, i, w)"
 
 SQL = {
     "smoothed_channels": f"""WITH {C}, {NORMAL}, a AS (SELECT utt, frame, f - i AS f, sum(w * x) AS x FROM c CROSS JOIN g JOIN nn USING (utt) WHERE f - i >= 0 AND f - i <= h - 7 GROUP BY utt, frame, f - i)
-SELECT utt, frame + i - 3 AS frame, (f // 2)::INTEGER AS channel, round(sum(w * x), 6) AS x FROM a CROSS JOIN g JOIN nn USING (utt) WHERE f % 2 = 0 AND frame + i - 3 >= 0 AND frame + i - 3 < n GROUP BY utt, frame + i - 3, f // 2""",
-    "kernel_smooth": f"""WITH {C}, {SQUARE} SELECT utt, frame + di AS frame, (f + dj)::INTEGER AS channel, round(sum(w * x), 6) AS x FROM c CROSS JOIN k JOIN nn USING (utt)
+SELECT utt, frame + i - 3 AS frame, (f // 2)::INTEGER AS channel, round(sum(w * x), 6) + 0.0::DOUBLE AS x FROM a CROSS JOIN g JOIN nn USING (utt) WHERE f % 2 = 0 AND frame + i - 3 >= 0 AND frame + i - 3 < n GROUP BY utt, frame + i - 3, f // 2""",
+    "kernel_smooth": f"""WITH {C}, {SQUARE} SELECT utt, frame + di AS frame, (f + dj)::INTEGER AS channel, round(sum(w * x), 6) + 0.0::DOUBLE AS x FROM c CROSS JOIN k JOIN nn USING (utt)
 WHERE frame + di >= 0 AND frame + di < n AND f + dj >= 0 AND f + dj < h GROUP BY utt, frame + di, f + dj""",
     "edge_map": f"""WITH {EDGES}, fr AS (SELECT DISTINCT utt, frame FROM c), s AS (SELECT utt, frame, o, sum(v) AS v, count(*) AS n FROM em GROUP BY utt, frame, o)
 SELECT fr.utt, fr.frame, k.i::INTEGER AS orient, round(coalesce(s.v, 0), 6) AS total, coalesce(s.n, 0)::INTEGER AS n FROM fr CROSS JOIN range(8) k(i) LEFT JOIN s ON s.utt = fr.utt AND s.frame = fr.frame AND s.o = k.i""",
@@ -87,6 +95,6 @@ WHERE t < n - {SHAPE[0] - 1} AND f < h - {SHAPE[1] - 1} AND t + x.i BETWEEN 0 AN
 SELECT DISTINCT utt, t // {GRID[0]} AS frame, f // {GRID[1]} AS freq, k.i::INTEGER AS part FROM nr JOIN range(1, {PARTS + 1}) k(i) ON k.i = part OR k.i = part + 1 WHERE t % {GRID[0]} = 0 AND f % {GRID[1]} = 0""",
     "masked_part_code": f"""WITH {EDGES}, {_bits(name='bu')}, {_magnitudes(True, 'mg')}, bt AS (SELECT bu.*, mg.utt IS NOT NULL AS masked FROM bu LEFT JOIN mg USING (utt, frame, f)), {BANK}, {_coded(having=' AND count(*) FILTER (WHERE masked) > 3')}
 SELECT utt, t AS frame, f AS freq, part::INTEGER AS part FROM cd""",
-    "log_spectra": _spectra("SELECT 0 AS k, i, 0.54::DOUBLE - 0.46::DOUBLE * cos(2 * pi() * i / 15) AS w FROM range(16) r(i)"),
+    "log_spectra": _spectra(HAMMING),
     "log_spectra_tapered": _spectra(TAPERS),
 }

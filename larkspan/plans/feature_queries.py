@@ -30,7 +30,7 @@ def spectrogram_frames(s: SparkSession, d: str) -> DataFrame:
 
 
 def cells(rows: DataFrame) -> DataFrame:
-    return rows.select("utt", "frame", F.posexplode("S").alias("channel", "x")).withColumn("x", r6("x"))
+    return rows.select("utt", "frame", F.posexplode("S").alias("channel", "x")).withColumn("x", r6("x") + 0.0)  # no zero below zero
 
 
 def probability(part, dt, df, orient):

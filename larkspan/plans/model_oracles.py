@@ -1,7 +1,9 @@
 """DuckDB SQL for the queries of model_queries.py, and for earlier ones that need a recursion."""
 
+from larkspan.operators.models import mel_matrix
+from larkspan.plans.feature_oracles import HAMMING, C, power
 from larkspan.plans.model_queries import COARSE, FINE, LONGEST, SEED
-from larkspan.plans.oracles import ALL, BEST, FRAMES, NB, PAIRS, PEAKS, PK, RUNS, SC
+from larkspan.plans.oracles import ALL, BEST, BGM, BITS, CLUSTERS, FRAMES, NB, OV, PAIRS, PEAKS, PK, RUNS, SC, TR
 
 FIRST = ", ".join([FRAMES, NB, PK])
 
@@ -34,7 +36,40 @@ def _bars(bars: tuple[float, ...]) -> str:
     return "(VALUES " + ", ".join(f"({b}::DOUBLE)" for b in bars) + ")"
 
 
+COMPONENTS = f"""{BITS}, hb AS (SELECT vec_id, label * 2 + vec_id % 2 AS part, feat, x FROM b), ct AS (SELECT part, feat, greatest(0.01, least(0.99, avg(x))) AS p FROM hb GROUP BY part, feat), {BGM},
+fl AS (SELECT part, feat, ln((ct.p / bg.p) / ((1 - ct.p) / (1 - bg.p))) AS w, ln((1 - ct.p) / (1 - bg.p)) AS c0 FROM ct JOIN bg USING (feat)),
+sc AS (SELECT b.vec_id, b.label AS truth, part // 2 AS label, part % 2 AS comp, round(sum(c0 + w * x), 6) AS score FROM b JOIN fl USING (feat) GROUP BY b.vec_id, b.label, part),
+rk AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, label, comp) AS a, row_number() OVER (PARTITION BY vec_id ORDER BY (label = truth) DESC, score DESC, comp) AS o FROM sc),
+cc AS (SELECT p.label::BIGINT AS pred, p.comp::BIGINT AS pred_comp, t.label::BIGINT AS truth, t.comp::BIGINT AS truth_comp, count(*) AS n FROM rk p JOIN rk t USING (vec_id) WHERE p.a = 1 AND t.o = 1 AND t.label = t.truth GROUP BY ALL)"""
+MEL = "me AS (SELECT * FROM (VALUES " + ", ".join(f"({b}, {i}, {w!r}::DOUBLE)" for b, row in enumerate(mel_matrix(8, 17, 32.0)[:, :-1].tolist()) for i, w in enumerate(row)) + ") t(b, i, w))"
+
+
+def _slopes(rows: str, half: int, name: str) -> str:
+    """The slopes of rows (utt, frame, channel, x), the ends repeated."""
+    return f"""{name}e AS (SELECT utt, max(frame) AS last FROM {rows} GROUP BY utt),
+{name} AS (SELECT a.utt, a.frame, a.channel, sum(k.i * b.x) / {sum(k * k for k in range(-half, half + 1))}.0::DOUBLE AS x FROM {rows} a JOIN {name}e USING (utt) CROSS JOIN range(-{half}, {half + 1}) k(i)
+JOIN {rows} b ON b.utt = a.utt AND b.channel = a.channel AND b.frame = greatest(0, least(last, a.frame + k.i)) GROUP BY a.utt, a.frame, a.channel)"""
+
+
 SQL = {
+    "detection_rates": f"""WITH {CLUSTERS}, {TR} SELECT round((SELECT count(*) FROM d WHERE NOT EXISTS (SELECT 1 FROM t WHERE {OV}))::DOUBLE / 1000.0::DOUBLE / 0.005::DOUBLE, 6) AS fpr,
+round((SELECT count(*) FROM t WHERE EXISTS (SELECT 1 FROM d WHERE {OV}))::DOUBLE / (SELECT count(*) FROM t), 6) AS tpr""",
+    "utterance_rates": f"""WITH {CLUSTERS}, {TR}, a AS (SELECT utt, 1 AS c, EXISTS (SELECT 1 FROM t WHERE {OV})::INTEGER AS h, 0 AS t, 0 AS g FROM d UNION ALL SELECT utt, 0, 0, 1, EXISTS (SELECT 1 FROM d WHERE {OV})::INTEGER FROM t)
+SELECT utt, sum(c)::BIGINT AS clusters, sum(c - h)::BIGINT AS "false", sum(t)::BIGINT AS truths, sum(g)::BIGINT AS found FROM a GROUP BY utt""",
+    "cluster_neighbourhoods": f"""WITH {CLUSTERS}, s AS (SELECT utt, frame AS t_start FROM f WHERE phn = 'purchase'),
+p AS (SELECT d.utt, d.cid, c_start, c_end, t_start AS truth FROM d LEFT JOIN s ON s.utt = d.utt AND t_start - 2 <= c_end AND t_start + 1 >= c_start),
+q AS (SELECT utt, cid, truth, k.i AS dt, floor((c_start + c_end) / 2.0::DOUBLE - 3.5 + 0.5)::BIGINT + k.i AS frame FROM p CROSS JOIN range(7) k(i))
+SELECT q.utt, cid, coalesce(truth, -1) AS truth, dt, coalesce(value, 0) AS value FROM q LEFT JOIN f ON f.utt = q.utt AND f.frame = q.frame""",
+    "component_confusion": f"WITH {COMPONENTS} SELECT * FROM cc",
+    "component_errors": f"""WITH {COMPONENTS} SELECT 'made' AS side, pred AS label, pred_comp AS comp, sum(n)::BIGINT AS n FROM cc WHERE pred <> truth GROUP BY pred, pred_comp
+UNION ALL SELECT 'lost', truth, truth_comp, sum(n)::BIGINT FROM cc WHERE pred <> truth GROUP BY truth, truth_comp""",
+    "template_windows": f"""WITH {FRAMES}, {RUNS}, m AS (SELECT phn, max(end_frame - start_frame) AS n FROM sg GROUP BY phn)
+SELECT phn, -ceil(n / 3.0)::BIGINT AS w0, ceil(n / 3.0)::BIGINT AS w1, n::BIGINT AS c0, ceil(n * 1.5)::BIGINT AS c1 FROM m""",
+    "frame_deltas": f"WITH {C}, r AS (SELECT utt, frame, f::INTEGER AS channel, x FROM c), {_slopes('r', 4, 's')} SELECT utt, frame, channel, round(x, 6) + 0.0::DOUBLE AS x FROM s",
+    "mfcc_deltas": f"""WITH {power(HAMMING)}, {MEL}, en AS (SELECT utt, frame, sum(p) AS e FROM pw GROUP BY utt, frame),
+ml AS (SELECT utt, frame, b, ln(sum(p * me.w)) AS x FROM pw JOIN me ON me.i = pw.channel GROUP BY utt, frame, b),
+r AS (SELECT utt, frame, k.i::INTEGER AS channel, sum(x * sqrt(2.0 / 8) * cos(pi() * k.i * (2 * b + 1) / 16)) * pow(k.i, 0.6) AS x FROM ml CROSS JOIN range(1, 5) k(i) GROUP BY utt, frame, k.i UNION ALL SELECT utt, frame, 0, e FROM en),
+{_slopes('r', 2, 's')}, {_slopes('s', 2, 'z')} SELECT utt, frame, channel, round(x, 6) + 0.0::DOUBLE AS x, 0 AS kind FROM r UNION ALL SELECT utt, frame, channel, round(x, 6) + 0.0::DOUBLE, 1 FROM s UNION ALL SELECT utt, frame, channel, round(x, 6) + 0.0::DOUBLE, 2 FROM z""",
     "clusters_c1": f"WITH RECURSIVE {FIRST}, {C1} SELECT utt, row_number() OVER (PARTITION BY utt ORDER BY c_start) - 1 AS cid, c_start, c_end FROM cl",
     "clusters_split": f"WITH RECURSIVE {FIRST}, {C1} SELECT * FROM cl",
     "clusters_template_lengths": f"WITH RECURSIVE {FIRST}, {_split('det AS (SELECT utt, frame, (floor(value) % 4 + 3)::INTEGER AS gap, (floor(value) % 4 + 3) * 1.5 AS most FROM pk)')} SELECT * FROM cl",

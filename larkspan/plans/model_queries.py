@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from larkspan.functions import tables as tf
 from larkspan.operators import evaluate as ev
+from larkspan.operators import features as ft
+from larkspan.operators import intervals as iv
 from larkspan.operators import inversion as inv
 from larkspan.operators import models as md
 from larkspan.operators import padding as pad
@@ -13,7 +15,8 @@ from larkspan.operators import sequence as sq
 from larkspan.operators import splitting as sp
 from larkspan.operators import starts
 from larkspan.operators import templates as tp
-from larkspan.plans.queries import GAP, PEAK, bits, event_bits, examples, filters, frames, pairs, r6
+from larkspan.plans.feature_queries import cells, spectrogram_frames
+from larkspan.plans.queries import GAP, PEAK, bits, clusters, event_bits, examples, filters, frames, pairs, r6, truths
 from larkspan.sources.tables import table
 
 COARSE, FINE = (-6.0, -3.0, 0.0, 3.0, 6.0), (-20.0, -10.0, -5.0, 0.0, 5.0, 10.0, 20.0)
@@ -127,3 +130,65 @@ def svm_templates(s, d):
     family = inv.svm_family(rows.select("x", (F.col("label") == 0).cast("int").alias("y")), (0.1, 1.0, 10.0))
     out = inv.inverted(family.withColumnRenamed("c", "cost").join(mean, "feat"), "cost")
     return out.select("cost", "feat", r6("q").alias("q"), r6("w").alias("w"), r6("scale").alias("scale"))
+
+
+@query
+def detection_rates(s, d):
+    """False alarms a second and the share of truths found, a thousand frames of 5 ms."""
+    return iv.rates(clusters(s, d), truths(s, d), 1000).select(r6("fpr").alias("fpr"), r6("tpr").alias("tpr"))
+
+
+@query
+def utterance_rates(s, d):
+    return iv.rates_by_utterance(clusters(s, d), truths(s, d))
+
+
+@query
+def cluster_neighbourhoods(s, d):
+    """Seven values around each cluster, for each purchase from two frames before to one after it; truth -1 is none."""
+    starts_ = truths(s, d).withColumn("t_start", F.col("t_start") + 1)
+    return iv.neighbourhoods(clusters(s, d), starts_, frames(s, d), -2, 1, 7).na.fill(-1, ["truth"])
+
+
+def component_pairs(s, d):
+    """confusion of classes with two components each, from even and odd vectors."""
+    halves = bits(s, d).withColumn("label", F.col("label") * 2 + F.col("vec_id") % 2)
+    f = tp.llr_filter(tp.class_templates(halves), tp.mean_background(halves))
+    both = tp.linear_scores(halves, f, "vec_id").select("vec_id", F.floor(F.col("label") / 2).alias("label"), (F.col("label") % 2).alias("comp"), r6("score").alias("score"))
+    return ev.component_confusion(both, table(s, d, "embeddings").select("vec_id", F.col("label").cast("long").alias("truth")), "vec_id")
+
+
+@query
+def component_confusion(s, d):
+    return component_pairs(s, d)
+
+
+@query
+def component_errors(s, d):
+    return ev.component_errors(component_pairs(s, d))
+
+
+@query
+def template_windows(s, d):
+    """Windows of a hit, and the limits of clusters, from the longest run of each label."""
+    runs = sq.label_runs(frames(s, d)).select("phn", (F.col("end_frame") - F.col("start_frame")).alias("len"))
+    return ev.windows_of(runs, "phn")
+
+
+@query
+def frame_deltas(s, d):
+    """Slopes of the channels over nine frames, the ends repeated."""
+    return cells(ft.deltas(spectrogram_frames(s, d)))
+
+
+@query
+def mfcc_deltas(s, d):
+    """Five liftered cepstra of eight mel bands with the energy in the first one's place, their slopes, and those of these."""
+    power = ft.spectra(ft.preemphasized(frames(s, d).select("utt", "frame", "value")), 16, 4, 32, multitaper=False)
+    base = ft.cepstra(ft.mel(power, 32.0, 8), 8, 5).select("utt", "frame", "S")
+    first = ft.deltas(base, 5)
+    out = None
+    for kind, rows in enumerate((base, first, ft.deltas(first, 5))):
+        one = cells(rows).withColumn("kind", F.lit(kind))
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -183,3 +183,48 @@ def test_threshold_at_a_rank(spark, percent):
         ranked = sorted(values, key=lambda v: (v is not None, v or 0.0))
         at = max((len(values) - 1) * percent // 100, values.count(None))
         assert got == ([ranked[at]] if at < len(ranked) else [])
+
+
+def test_intervals_of_any_length_meet_once(spark):
+    """Against all pairs: points, intervals over many spans of time, empty ones, touching ends, two utterances."""
+    rng = np.random.default_rng(7)
+    span = intervals.SPAN
+    at = lambda: int(rng.integers(0, 6 * span))
+    d = [(int(rng.integers(2)), i, a, a + int(rng.choice([1, 5, span, 3 * span]))) for i, a in enumerate(at() for _ in range(60))]
+    t = [(int(rng.integers(2)), a, a + int(rng.choice([0, 1, 4, span + 1, 2 * span]))) for a in sorted({at() for _ in range(60)})]
+    t += [(u, e, e + 3) for u, _, _, e in d[:6]] + [(u, s - 3, s) for u, _, s, _ in d[6:12]]
+    t = sorted(set(t))
+    clusters = spark.createDataFrame(d, "utt long, cid long, c_start long, c_end long")
+    truths = spark.createDataFrame(t, "utt long, t_start long, t_end long")
+    for closed in (False, True):
+        meets = lambda x, y: x[0] == y[0] and (y[2] >= x[2] and y[1] <= x[3] if closed else y[2] > x[2] and y[1] < x[3])  # noqa: E731, B023
+        pairs = intervals.met(clusters, truths, F.col("t_start"), F.col("t_end"), closed).select("d.cid", "t.utt", "t.t_start", "t.t_end")
+        assert got(pairs, "cid", "utt", "t_start", "t_end") == sorted((x[1], *y) for x in d for y in t if meets(x, y))
+    over = lambda x, y: x[0] == y[0] and y[2] > x[2] and y[1] < x[3]
+    assert got(intervals.truth_hits(clusters, truths), "cid", "hits") == sorted((x[1], sum(over(x, y) for y in t)) for x in d)
+    assert got(intervals.false_alarms(clusters, truths), "cid") == sorted((x[1],) for x in d if not any(over(x, y) for y in t))
+    assert got(intervals.missed(clusters, truths), "utt", "t_start", "t_end") == sorted(y for y in t if not any(over(x, y) for x in d))
+    rates = intervals.rates(clusters, truths, 500, 0.01).first()
+    assert abs(rates.fpr - sum(not any(over(x, y) for y in t) for x in d) / 5) < 1e-9
+    assert abs(rates.tpr - sum(any(over(x, y) for x in d) for y in t) / len(t)) < 1e-9
+    assert intervals.rates(clusters.limit(0), truths.limit(0), 1).first().tpr is None
+
+
+def test_running_totals_with_values_far_off(spark):
+    values = [float("-inf"), -1e300, *[x / 100 for x in range(500)], 1e9, 1e300, float("inf"), float("nan")]
+    rows = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "v double, n long")
+    out = {repr(r.v): (r.n_run, r.n_all) for r in evaluate.running(rows, "v", "n").collect()}
+    total = sum(range(len(values)))
+    assert out == {repr(v): (sum(range(i, len(values))), total) for i, v in enumerate(values)}
+
+
+def test_slopes_over_a_window_by_regression(spark):
+    from larkspan.operators import features
+
+    rng = np.random.default_rng(3)
+    arrays = {1: rng.normal(size=(30, 3)), 2: rng.normal(size=(2, 3))}
+    rows = spark.createDataFrame([(u, t, x.tolist()) for u, a in arrays.items() for t, x in enumerate(a)], "utt long, frame long, S array<double>")
+    for r in features.deltas(rows, 9, size=8).collect():
+        a = arrays[r.utt]
+        y = a[np.clip(np.arange(r.frame - 4, r.frame + 5), 0, len(a) - 1)]
+        assert np.allclose(r.S, np.polyfit(np.arange(9), y, 1)[0])
