@@ -22,6 +22,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from larkspan.llm.common import by_share, discard, table, written
 from larkspan.llm.simhash import Union, components
@@ -235,21 +236,32 @@ def exploded(keys: DataFrame) -> DataFrame:
     return keys.select("row", F.explode("keys").alias("key"))
 
 
-def meetings(keyed: DataFrame) -> DataFrame:
-    """(key, n) of keys that two rows or more share."""
-    return keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+def estimated(keyed: DataFrame, block: int) -> DataFrame:
+    """(key, n): about how many rows (row, key) have each key, from every kth row by hash, so that `block` rows are some
+    64 of these. It serves for the order of shingles, which may be any, and for how work is dealt."""
+    k = max(1, block // 64)
+    some = keyed.where(F.pmod(F.xxhash64("row", F.lit(1)), F.lit(k)) == 0)
+    return some.groupBy("key").agg((F.count("*") * k).alias("n"))
+
+
+def shared(keyed: DataFrame, often: DataFrame) -> DataFrame:
+    """The rows (row, key) whose key others have too. Keys in often, a broadcast's worth, have others; the rest are
+    counted where they come together."""
+    many = keyed.join(F.broadcast(often), "key")
+    rest = keyed.join(F.broadcast(often), "key", "left_anti").withColumn("_n", F.count("*").over(W.partitionBy("key")))
+    return many.select("row", "key").unionByName(rest.where("_n > 1").select("row", "key"))
 
 
 def demoted(docs: DataFrame, reps: DataFrame, hot: DataFrame, block: int) -> DataFrame:
     """(row, keys) for the rows whose prefix changes if shingles in which more than `block` rows meet go to the
     end of the order, rare ones first.
 
-    The shingles of rows with a hot key are counted; those in over `block` of them are demoted, for all rows.
+    The shingles of rows with a hot key are counted, about; those in over `block` of them are demoted, for all rows.
     A row without any of them in its prefix keeps it, since what is behind a prefix doesn't matter to it."""
     keyed = exploded(reps)
     rows = written(by_share(keyed, hot, "key", OFTEN).select("row").distinct().join(reps.select("row", "t"), "row"), "jaccard-hot")
     sets = written(sets_of(docs, rows), "jaccard-sets")
-    late = written(sets.select(F.explode("held").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block), "jaccard-late")
+    late = written(estimated(sets.select("row", F.explode("held").alias("key")), block).where(F.col("n") > block), "jaccard-late")
     more = by_share(keyed, late, "key", OFTEN).select("row").distinct().join(rows.select("row"), "row", "left_anti").join(reps.select("row", "t"), "row")
     sets = sets.unionByName(written(sets_of(docs, written(more, "jaccard-hot")), "jaccard-sets"))
     every = sets.select("row", F.explode("held").alias("key"))
@@ -269,7 +281,7 @@ def demoted(docs: DataFrame, reps: DataFrame, hot: DataFrame, block: int) -> Dat
 def dealt(rows: DataFrame, counts: DataFrame, by: list[str], weight: str, most: int) -> DataFrame:
     """rows (by, row, others) with cell, sorted by `by` and cell: groups of counts (by, and their weight) beyond
     `most` are dealt by hash over parts, and each two parts meet in a cell."""
-    large = counts.where(F.col(weight) > most).select(*by, F.ceil(F.col(weight) / (most / 2)).alias("_g"))
+    large = written(counts.where(F.col(weight) > most).select(*by, F.ceil(F.col(weight) / (most / 2)).alias("_g")), "jaccard-large")
     rows = rows.join(large, by, "left").withColumn("_g", F.coalesce("_g", F.lit(1).cast("long")))
     part, other = F.pmod(F.xxhash64("row"), F.col("_g")), F.sequence(F.lit(0).cast("long"), F.col("_g") - 1)
     rows = rows.withColumn("_p", part).withColumn("_o", F.explode(other))
@@ -374,14 +386,16 @@ def jaccard_join(docs: DataFrame, block: int = BLOCK, weight: int = WEIGHT) -> D
     full = found.where("size > 0")
     once = full.groupBy("t").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), *[F.any_value(c).alias(c) for c in ("size", "bits", "keys")])
     reps = written(once.withColumn("row", F.monotonically_increasing_id()), "jaccard-reps")
+    slim = written(found.select("doc_id", "t", "size"), "jaccard-slim")
+    discard(found)
     keyed = exploded(reps)
-    counts = written(meetings(keyed), "jaccard-keys")
-    hot = written(counts.where(F.col("n") > block), "jaccard-hot")
+    hot = written(estimated(keyed, block).where(F.col("n") > block), "jaccard-hot")
     if not hot.isEmpty():
         new = written(demoted(docs, reps, hot, block), "jaccard-new")
         keyed = exploded(reps.join(new.select("row"), "row", "left_anti")).unionByName(exploded(new))
-        counts = written(meetings(keyed), "jaccard-keys")
-    alive = written(by_share(keyed, counts, "key", OFTEN), "jaccard-alive")
+    total = reps.agg(F.sum(F.size("keys"))).first()[0] or 0
+    often = written(estimated(keyed, block).where((F.col("n") > block) & (F.col("n") >= OFTEN * total)).select("key"), "jaccard-often")
+    alive = written(shared(keyed, often), "jaccard-alive")
     links = first_links(docs, reps, alive, block)
     roots = written(components(links), "jaccard-roots")
     more = other_links(docs, reps, alive, roots, block, weight)
@@ -391,8 +405,8 @@ def jaccard_join(docs: DataFrame, block: int = BLOCK, weight: int = WEIGHT) -> D
     named = by_share(nodes.select("row", "root"), smallest, "root", OFTEN).select("row", "component_id", F.lit(True).alias("_in"))
     named = reps.join(named, "row", "left").select("t", F.when(F.col("_in"), F.col("component_id")).otherwise(F.col("first")).alias("component_id"), F.col("copies").alias("n"))
     named = written(named, "jaccard-named")
-    out = by_share(full.select("doc_id", "t", "size"), named, "t", OFTEN).select("doc_id", F.col("size").alias("n_shingles"), "component_id")
-    return out.unionByName(found.where("size = 0").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    out = by_share(slim.where("size > 0"), named, "t", OFTEN).select("doc_id", F.col("size").alias("n_shingles"), "component_id")
+    return out.unionByName(slim.where("size = 0").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
