@@ -51,10 +51,11 @@ def suppress(detections: DataFrame, reach: int) -> DataFrame:
     return detections.select("utt", "frame", "value").groupBy("utt").applyInPandas(run, "utt long, frame long, value double")
 
 
-def bernoulli_mixture(examples: DataFrame, k: int, rounds: int = 20, tol: float = 1e-4, clip: float = 0.01) -> tuple[np.ndarray, np.ndarray, list[float]]:
+def bernoulli_mixture(examples: DataFrame, k: int, rounds: int = 20, tol: float = 1e-4, clip: float = 0.01, hard: bool = False) -> tuple[np.ndarray, np.ndarray, list[float]]:
     """(weights, templates, log likelihoods) of a Bernoulli mixture over examples (ex, x array of 0/1).
 
-    Starts from ex mod k. Each round is one job: workers add up the statistics of their rows under the
+    Starts from ex mod k. hard: each example belongs to its best component alone, the first on ties, and its
+    likelihood is that component's. A component that nothing belongs to keeps a weight of nearly 0. Each round is one job: workers add up the statistics of their rows under the
     present parameters, and k rows a partition come back."""
     dims = len(examples.select("x").head()[0])
     seen: list[float] = []
@@ -74,7 +75,7 @@ def bernoulli_mixture(examples: DataFrame, k: int, rounds: int = 20, tol: float
                 else:
                     z = x @ np.log(templates / (1 - templates)).T + np.log(1 - templates).sum(axis=1) + np.log(weights)
                     top = z.max(axis=1, keepdims=True)
-                    a = np.exp(z - top)
+                    a = np.eye(k)[z.argmax(axis=1)] if hard else np.exp(z - top)
                     norm = a.sum(axis=1, keepdims=True)
                     a /= norm
                     ll += float((top + np.log(norm)).sum())
@@ -89,7 +90,7 @@ def bernoulli_mixture(examples: DataFrame, k: int, rounds: int = 20, tol: float
             seen.append(float(got["ll"].sum()))
             if len(seen) > 1 and abs(seen[-1] - seen[-2]) <= tol * abs(seen[-2]):
                 break
-        weights, templates = n / n.sum(), np.clip(s / np.maximum(n, 1e-12)[:, None], clip, 1 - clip)
+        weights, templates = np.maximum(n / n.sum(), 1e-12), np.clip(s / np.maximum(n, 1e-12)[:, None], clip, 1 - clip)
         state.unpersist()
     return weights, templates, seen
 

@@ -215,3 +215,114 @@ def test_stored_models_detect_as_before(spark, tmp_path):
         w = x[t : t + 3]
         want = np.where(w, np.log(p[k] / background), np.log((1 - p[k]) / (1 - background))).sum()
         assert abs(score - want) < 1e-9
+
+
+def rows_of(spark, x):
+    return spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "ex long, x array<double>").repartition(3)
+
+
+@pytest.mark.parametrize("hard", [False, True])
+def test_bernoulli_mixture_by_a_plain_loop(spark, hard):
+    rng = np.random.default_rng(3)
+    true = rng.uniform(0.1, 0.9, (2, 9))
+    x = (rng.random((150, 9)) < true[rng.integers(0, 2, 150)]).astype(float)
+    w, t, seen = models.bernoulli_mixture(rows_of(spark, x), 2, rounds=6, tol=0, hard=hard)
+    a = np.eye(2)[np.arange(150) % 2]
+    want = []
+    for turn in range(6):
+        if turn:
+            like = np.array([[np.log(weights[k]) + sum(np.log(p if v else 1 - p) for v, p in zip(row, templates[k], strict=True)) for k in range(2)] for row in x])
+            norm = like.max(axis=1) if hard else np.log(np.exp(like).sum(axis=1))
+            want.append(norm.sum())
+            a = np.eye(2)[like.argmax(axis=1)] if hard else np.exp(like - norm[:, None])
+        n = a.sum(axis=0)
+        weights, templates = n / n.sum(), np.clip((a.T @ x) / n[:, None], 0.01, 0.99)
+    np.testing.assert_allclose(w, weights)
+    np.testing.assert_allclose(t, templates)
+    np.testing.assert_allclose(seen, want)
+    assert all(b >= a - 1e-6 for a, b in zip(seen, seen[1:], strict=False))
+
+
+def test_mixture_of_the_worked_example(spark):
+    """Three rows, two components: two thirds and a third."""
+    w, t, _ = models.bernoulli_mixture(rows_of(spark, [[1, 1, 0], [0, 0, 1], [1, 1, 1]]), 2, rounds=20)
+    assert sorted(np.round(w, 2)) == [0.33, 0.67]
+    np.testing.assert_allclose(t[np.argmax(w)], [0.99, 0.99, 0.5], atol=0.05)
+
+
+def test_normal_mixture_by_a_plain_loop(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(-2, 1, (60, 3)), rng.normal(2, 0.5, (40, 3))])
+    w, m, v = models.gaussian_mixture(rows_of(spark, x), 2, rounds=5)
+    a = np.eye(2)[np.arange(100) % 2]
+    for turn in range(5):
+        if turn:
+            like = np.log(weights) + np.array([[-0.5 * (np.log(var[k]) + (row - mean[k]) ** 2 / var[k]).sum() for k in range(2)] for row in x])
+            a = np.exp(like - like.max(axis=1, keepdims=True))
+            a /= a.sum(axis=1, keepdims=True)
+        n = a.sum(axis=0)
+        weights, mean = n / n.sum(), (a.T @ x) / n[:, None]
+        var = np.array([(a[:, k, None] * (x - mean[k]) ** 2).sum(axis=0) / n[k] for k in range(2)])
+    np.testing.assert_allclose(w, weights, atol=1e-7)
+    np.testing.assert_allclose(m, mean, atol=1e-7)
+    np.testing.assert_allclose(v, var, atol=1e-6)
+
+
+def test_shifted_mixture_by_a_plain_loop(spark):
+    rng = np.random.default_rng(5)
+    shape = np.array([[0, 3, 0, -3.0], [2, 2, -2, -2.0]])
+    x = rng.normal(0, 0.3, (50, 6))
+    for i in range(50):
+        at = rng.integers(3)
+        x[i, at : at + 4] += shape[i % 2]
+    w, m, v, seen = models.shift_mixture(rows_of(spark, x), 2, 4, rounds=4)
+    places = [(k, s) for k in range(2) for s in range(3)]
+    a = np.array([[1.0 if (k, s) == (i % 2, 0) else 0.0 for k, s in places] for i in range(50)])
+    want = []
+    for turn in range(4):
+        if turn:
+            like = np.array([[np.log(weights[k] / 3) - 0.5 * (np.log(2 * np.pi * var[k]) + (row[s : s + 4] - mean[k]) ** 2 / var[k]).sum() for k, s in places] for row in x])
+            norm = np.log(np.exp(like - like.max(axis=1, keepdims=True)).sum(axis=1)) + like.max(axis=1)
+            want.append(norm.sum())
+            a = np.exp(like - norm[:, None])
+        n = np.array([sum(a[:, j].sum() for j, (c, _) in enumerate(places) if c == k) for k in range(2)])
+        weights = n / n.sum()
+        mean = np.array([sum((a[:, j, None] * x[:, s : s + 4]).sum(axis=0) for j, (c, s) in enumerate(places) if c == k) / n[k] for k in range(2)])
+        var = np.array([sum((a[:, j, None] * x[:, s : s + 4] ** 2).sum(axis=0) for j, (c, s) in enumerate(places) if c == k) / n[k] for k in range(2)]) - mean**2
+        var = np.maximum(var, 1e-3)
+    np.testing.assert_allclose(w, weights, atol=1e-6)
+    np.testing.assert_allclose(m, mean, atol=1e-6)
+    np.testing.assert_allclose(v, var, atol=1e-6)
+    np.testing.assert_allclose(seen, want, rtol=1e-8)
+
+
+def test_length_clusters_by_all_partitions(spark):
+    """Centres of sorted lengths are means of runs; of two well apart heaps no other cut is better."""
+    lengths = [3] * 5 + [4] * 9 + [5] + [20] * 4 + [22] * 2
+    got = models.length_clusters(spark.createDataFrame([(x,) for x in lengths], "len long"), 2)
+    best = min(range(1, len(lengths)), key=lambda k: np.var(lengths[:k]) * k + np.var(lengths[k:]) * (len(lengths) - k))
+    np.testing.assert_allclose(got, [np.mean(lengths[:best]), np.mean(lengths[best:])])
+
+
+def test_linear_svm_margins_by_subgradients(spark):
+    """The margins' signs, and a hinge loss with its penalty no worse than a long plain descent's."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(120, 3))
+    y = (x @ [1.0, -2.0, 0.5] + rng.normal(0, 0.3, 120) > 0).astype(int)
+    rows = spark.createDataFrame([(v.tolist(), int(k)) for v, k in zip(x, y, strict=True)], "x array<double>, y int")
+    got = models.linear_svm(rows).toPandas()
+    points = np.stack(got["x"].to_numpy())
+    sign = 2 * got["y"].to_numpy() - 1
+    design = np.column_stack([points, np.ones(len(points))])
+    fitted = np.linalg.lstsq(design, got["margin"].to_numpy(), rcond=None)[0]
+    np.testing.assert_allclose(design @ fitted, got["margin"], atol=1e-8)  # margins are linear in x
+    scale = points.std(axis=0, ddof=1)
+    loss = lambda w: np.maximum(0, 1 - sign * (design @ w)).mean() + 0.005 * ((w[:-1] * scale) ** 2).sum()
+    w = np.zeros(4)
+    for step in range(1, 4001):
+        bad = sign * (design @ w) < 1
+        grad = -(design * sign[:, None])[bad].sum(axis=0) / len(points)
+        grad[:-1] += 0.01 * w[:-1] * scale**2
+        w -= grad / np.sqrt(step)
+    assert loss(fitted) <= loss(w) + 0.02
+    assert ((got["margin"] > 0) == (got["y"] == 1)).mean() > 0.9
