@@ -75,6 +75,7 @@ def spectra(samples: DataFrame, width: int, hop: int, length: int, multitaper: b
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            out = []
             for utt, chunk, windows, s in zip(b["utt"], b["chunk"], b["windows"], b["held"], strict=True):
                 count = min(size, windows - chunk * size)
                 if count <= 0:
@@ -82,7 +83,9 @@ def spectra(samples: DataFrame, width: int, hop: int, length: int, multitaper: b
                 s = np.pad(np.asarray(s, float), (0, max(0, (count - 1) * hop + width - len(s))))
                 win = np.lib.stride_tricks.sliding_window_view(s, width)[::hop][:count]
                 p = (np.abs(np.fft.rfft(win[:, None, :] * tap, length, axis=2)[:, :, : length // 2]) ** 2).mean(axis=1)
-                yield pd.DataFrame({"utt": utt, "frame": chunk * size + np.arange(count), "S": list(p)})
+                out.append(pd.DataFrame({"utt": utt, "frame": chunk * size + np.arange(count), "S": list(p)}))
+            if out:
+                yield pd.concat(out)
 
     return held.mapInPandas(run, "utt long, frame long, S array<double>")
 
@@ -170,6 +173,33 @@ def edge_map(frames: DataFrame, size: int = CHUNK) -> DataFrame:
     return rows.withColumn("E", F.array(*[one(o // 2, o % 2) for o in range(8)])).drop("_p", "_b", "_c", "_chunk", "_own")
 
 
+def edge_steps(frames: DataFrame, size: int = CHUNK) -> DataFrame:
+    """frames (utt, frame, S) with E, eight arrays of channels: rises in time, frequency and the two diagonals, then the
+    falls, zero where a step isn't larger than the one before it on its line, or is smaller than the one behind; a
+    step that has no neighbour on a side needn't be."""
+    rows = chunked(frames, 1, 2, size)
+    w = _in_chunk()
+    rows = rows.select("*", F.lag("S").over(w).alias("_p"), F.lead("S").over(w).alias("_b"), F.lead("S", 2).over(w).alias("_c")).where("_own")
+    p, a, b, c = (F.col(x) for x in ("_p", "S", "_b", "_c"))
+
+    def kept(i: Column, line: int) -> Column:
+        at = {0: ((p, 0), (a, 0), (b, 0), (c, 0)), 1: ((a, -1), (a, 0), (a, 1), (a, 2)), 2: ((p, -1), (a, 0), (b, 1), (c, 2)), 3: ((p, 1), (a, 0), (b, -1), (c, -2))}[line]
+        v = [_at(x, i + k) for x, k in at]
+        return F.struct((v[2] - v[1]).alias("d"), (v[1] - v[0]).alias("a"), (v[3] - v[2]).alias("b"))
+
+    def side(steps: Column, sign: int) -> Column:
+        def one(x: Column) -> Column:
+            d, before, behind = sign * x["d"], sign * x["a"], sign * x["b"]
+            return F.when((d > 0) & (before.isNull() | (d > before)) & (behind.isNull() | (d >= behind)), d).otherwise(0.0)
+
+        return F.transform(steps, one)
+
+    steps = lambda line: F.transform(F.sequence(F.lit(0), F.size("S") - 1), lambda i: kept(i, line))
+    rows = rows.withColumns({f"_l{k}": steps(k) for k in range(4)})
+    out = F.array(*[side(F.col(f"_l{k}"), sign) for sign in (1, -1) for k in range(4)])
+    return rows.withColumn("E", out).drop("_p", "_b", "_c", "_chunk", "_own", *[f"_l{k}" for k in range(4)])
+
+
 def gated(edges: DataFrame, bits: DataFrame) -> DataFrame:
     """edges (utt, frame, E) with zeros wherever bits (utt, frame, freq) has no row."""
     on = bits.groupBy("utt", "frame").agg(F.collect_set("freq").alias("_on"))

@@ -273,9 +273,13 @@ def spectrogram(signals: DataFrame, width: int, hop: int, multitaper: bool = Tru
     window; on `bands` mel bands if given, and the first `cepstra` coefficients of their cosine transform.
     Zeros take the smallest positive power of the utterance; utterances shorter than a window have no row."""
     tap = tapers(width, 3.0, 5) if multitaper else np.hamming(width)[None]
+    mel = mel_matrix(bands, width // 2 + 1, rate).T if bands else None
+    i = np.arange(bands or width // 2 + 1)
+    cosines = (np.cos(np.pi * np.arange(cepstra)[:, None] * (i + 0.5) / len(i)) * np.sqrt(2 / len(i))).T
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            out = []
             for utt, s in zip(b["utt"], b["s"], strict=True):
                 s = np.asarray(s, float)
                 if len(s) < width:
@@ -283,11 +287,12 @@ def spectrogram(signals: DataFrame, width: int, hop: int, multitaper: bool = Tru
                 win = np.lib.stride_tricks.sliding_window_view(s, width)[::hop]
                 p = (np.abs(np.fft.rfft(win[:, None, :] * tap, axis=2)) ** 2).mean(axis=1)
                 if bands:
-                    p = p @ mel_matrix(bands, p.shape[1], rate).T
+                    p = p @ mel
                 p = np.log(np.where(p > 0, p, p[p > 0].min() if (p > 0).any() else 1.0))
                 if cepstra:
-                    i = np.arange(p.shape[1])
-                    p = p @ (np.cos(np.pi * np.arange(cepstra)[:, None] * (i + 0.5) / len(i)) * np.sqrt(2 / len(i))).T
-                yield pd.DataFrame({"utt": utt, "frame": np.arange(len(p)), "S": list(p)})
+                    p = p @ cosines
+                out.append(pd.DataFrame({"utt": utt, "frame": np.arange(len(p)), "S": list(p)}))
+            if out:
+                yield pd.concat(out)
 
     return signals.select("utt", "s").mapInPandas(run, "utt long, frame long, S array<double>")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -221,3 +223,23 @@ def coarse_to_fine(bits: DataFrame, filters: DataFrame, key: str, factor: int, l
     first = linear_scores(pooled, rough, key).withColumn("coarse", F.round("score", 6)).where(F.col("coarse") >= least).select(key, "label", "coarse")
     rows = bits.drop("label").join(first, key).join(filters.select("label", "feat", "w", "c0"), ["label", "feat"])
     return rows.groupBy(key, "label", "coarse").agg(F.sum(F.col("c0") + F.col("w") * F.col("x")).alias("score"))
+
+
+def array_scores(examples: DataFrame, templates: np.ndarray, background: np.ndarray, by_table: bool = False) -> DataFrame:
+    """ex, scores: the log ratio of each template (a row of probabilities) to the background for examples (ex, x array
+    of 0/1), one score a template; by_table takes logarithms from a table of hundredths. A matrix product a batch."""
+
+    def log(p: np.ndarray) -> np.ndarray:
+        at = np.floor(100 * p + 0.5)
+        return np.where(at <= 0, -13.8155, np.log(np.maximum(at, 1) / 100)) if by_table else np.log(p)
+
+    on, off = log(templates) - log(background), log(1 - templates) - log(1 - background)
+    shared = examples.sparkSession.sparkContext.broadcast(((on - off).T, off.sum(axis=1)))  # a model
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        weights, constant = shared.value
+        for b in batches:
+            if len(b):
+                yield pd.DataFrame({"ex": b["ex"], "scores": list(np.stack(b["x"].to_numpy()) @ weights + constant)})
+
+    return examples.select("ex", "x").mapInPandas(run, "ex long, scores array<double>")

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from larkspan.functions import scalars as fn
 from larkspan.operators import evaluate as ev
+from larkspan.operators import features as ft
 from larkspan.operators import intervals as iv
 from larkspan.operators import models as md
 from larkspan.operators import sequence as sq
@@ -104,10 +105,11 @@ def block_quantile_edges(s, d):
 
 @query
 def edge_nms(s, d):
-    cells = vectors(s, d).select(F.lit(0).alias("utt"), F.col("vec_id").alias("frame"), F.col("feat").alias("freq"), "x", "label").withColumn("utt", F.col("label"))
-    dense = cells.withColumn("frame", F.dense_rank().over(W.partitionBy("utt").orderBy("frame")) - 1).drop("label")
-    out = sq.edge_differences(dense)
-    return out.groupBy("utt", "orient").agg(F.count("*").alias("n"), r6(F.sum("d")).alias("total"))
+    e = table(s, d, "embeddings").select(F.col("label").alias("utt"), "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("S"))
+    dense = e.withColumn("frame", (F.dense_rank().over(W.partitionBy("utt").orderBy("vec_id")) - 1).cast("long"))
+    steps = ft.edge_steps(dense).select("utt", F.posexplode("E").alias("orient", "x"))
+    rows = steps.select("utt", "orient", F.size(F.filter("x", lambda v: v > 0)).alias("k"), F.aggregate("x", F.lit(0.0), lambda a, v: a + v).alias("d"))
+    return rows.groupBy("utt", "orient").agg(F.sum("k").alias("n"), r6(F.sum("d")).alias("total")).where("n > 0")
 
 
 @query

@@ -228,3 +228,14 @@ def test_slopes_over_a_window_by_regression(spark):
         a = arrays[r.utt]
         y = a[np.clip(np.arange(r.frame - 4, r.frame + 5), 0, len(a) - 1)]
         assert np.allclose(r.S, np.polyfit(np.arange(9), y, 1)[0])
+
+
+@pytest.mark.parametrize("by_table", [False, True])
+def test_scores_of_arrays_by_a_loop(spark, by_table):
+    rng = np.random.default_rng(1)
+    p, b, x = rng.uniform(0.05, 0.95, (2, 12)), rng.uniform(0.1, 0.4, 12), (rng.random((5, 12)) < 0.4).astype(float)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "ex long, x array<double>")
+    log = (lambda q: np.log(int(100 * q + 0.5) / 100)) if by_table else np.log
+    for r in templates.array_scores(rows, p, b, by_table).collect():
+        want = [sum(log(q) - log(c) if v else log(1 - q) - log(1 - c) for v, q, c in zip(x[r.ex], one, b, strict=True)) for one in p]
+        assert np.allclose(r.scores, want)
