@@ -263,7 +263,8 @@ def demoted(docs: DataFrame, reps: DataFrame, hot: DataFrame, block: int) -> Dat
     sets = written(sets_of(docs, rows), "jaccard-sets")
     late = written(estimated(sets.select("row", F.explode("held").alias("key")), block).where(F.col("n") > block), "jaccard-late")
     more = by_share(keyed, late, "key", OFTEN).select("row").distinct().join(rows.select("row"), "row", "left_anti").join(reps.select("row", "t"), "row")
-    sets = sets.unionByName(written(sets_of(docs, written(more, "jaccard-hot")), "jaccard-sets"))
+    others = written(sets_of(docs, written(more, "jaccard-hot")), "jaccard-sets")
+    read, sets = (sets, others), sets.unionByName(others)
     every = sets.select("row", F.explode("held").alias("key"))
     own = by_share(every, late.withColumn("often", F.col("n")), "key", OFTEN).groupBy("row").agg(F.collect_list("key").alias("late"), F.collect_list("often").alias("often"))
 
@@ -275,7 +276,10 @@ def demoted(docs: DataFrame, reps: DataFrame, hot: DataFrame, block: int) -> Dat
                 out.append(np.concatenate((held[~np.isin(held, late)], late[by]))[: prefix(len(held))])
             yield pd.DataFrame({"row": b["row"].to_numpy(), "keys": out})
 
-    return sets.join(own, "row").mapInPandas(run, "row long, keys array<long>")
+    out = written(sets.join(own, "row").mapInPandas(run, "row long, keys array<long>"), "jaccard-new")
+    for done in read:
+        discard(done)
+    return out
 
 
 def dealt(rows: DataFrame, counts: DataFrame, by: list[str], weight: str, most: int) -> DataFrame:
@@ -318,7 +322,9 @@ def first_links(docs: DataFrame, reps: DataFrame, alive: DataFrame, block: int)
         yield from _frames(links, ["a", "b"])
 
     sets = sets_of(docs, near).join(near.select("row", "key", "cell"), "row")
-    return written(sets.repartition(n, "key", "cell").sortWithinPartitions("key", "cell").mapInPandas(exact, "a long, b long"), "jaccard-links")
+    out = written(sets.repartition(n, "key", "cell").sortWithinPartitions("key", "cell").mapInPandas(exact, "a long, b long"), "jaccard-links")
+    discard(near)
+    return out
 
 
 def other_links(docs: DataFrame, reps: DataFrame, alive: DataFrame, roots: DataFrame, block: int, weight: int) -> DataFrame:
@@ -330,6 +336,7 @@ def other_links(docs: DataFrame, reps: DataFrame, alive: DataFrame, roots: DataF
     those of all its partners, once, and their sets are compared."""
     own = alive.join(roots.select(F.col("node").alias("row"), "root"), "row", "left").withColumn("root", F.coalesce("root", "row"))
     own = written(own, "jaccard-own")
+    discard(alive)
     told = [F.bit_xor(F.xxhash64("row", F.lit(i))).alias(f"_{i}") for i in range(2)]
     keys = own.groupBy("key").agg(F.count("*").alias("n"), *told, F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b")
     keys = written(keys.groupBy("n", "_0", "_1").agg(F.min("key").alias("key")).select("key", "n"), "jaccard-mixed")
@@ -352,6 +359,7 @@ def other_links(docs: DataFrame, reps: DataFrame, alive: DataFrame, roots: DataF
 
     met = dealt(members, keys, ["key"], "n", block).select("key", "cell", "row", "root", "size", "bits").mapInPandas(near, "root long, row long, other long")
     met = written(met.distinct(), "jaccard-met")
+    discard(own)
     rows = met.where("other IS NULL").select("row", "root").join(reps.select("row", "t", "size"), "row")
     rows = written(rows, "jaccard-wanted")
     counts = rows.groupBy("root").agg(F.count("*").alias("k"))
@@ -391,11 +399,13 @@ def jaccard_join(docs: DataFrame, block: int = BLOCK, weight: int = WEIGHT) -> D
     keyed = exploded(reps)
     hot = written(estimated(keyed, block).where(F.col("n") > block), "jaccard-hot")
     if not hot.isEmpty():
-        new = written(demoted(docs, reps, hot, block), "jaccard-new")
+        new = demoted(docs, reps, hot, block)
         keyed = exploded(reps.join(new.select("row"), "row", "left_anti")).unionByName(exploded(new))
     total = reps.agg(F.sum(F.size("keys"))).first()[0] or 0
     often = written(estimated(keyed, block).where((F.col("n") > block) & (F.col("n") >= OFTEN * total)).select("key"), "jaccard-often")
     alive = written(shared(keyed, often), "jaccard-alive")
+    whole, reps = reps, written(reps.drop("keys"), "jaccard-rows")
+    discard(whole)
     links = first_links(docs, reps, alive, block)
     roots = written(components(links), "jaccard-roots")
     more = other_links(docs, reps, alive, roots, block, weight)
