@@ -87,7 +87,8 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3) -> D
     copies is the target's whole multiple of the source's size, and one more for the documents whose hash
     lies under the source's threshold; so it is at most `most`. It depends on doc_id and the sizes alone:
     a rerun gives the same mix. Null source is a source of its own, last; null text has size 0; rows that
-    share a doc_id in a source are taken together. An empty table gives no rows.
+    share a doc_id in a source are taken together. An empty table gives no rows; a very long text is counted where
+    it is and weighs its words; columns named size, source_size, target or copies are replaced.
     """
     rows = sizes(docs).withColumn("_key", _key())
     narrow = written(rows.select("_key", "source", "size", "_hash"), "mix-sizes")

@@ -110,8 +110,9 @@ def quality_rules(docs: DataFrame, rules: Sequence[Rule] | None = None, sample_r
 
     base_failed: under 10 words, or over a fifth of the words in repeated five-word windows. Else kept is
     the cascade's verdict: a chain of CASE branches, of which a row evaluates those up to its first hit.
-    Null or empty texts fail the base; repeated rows each get a row; null ids are kept as they are.
-    Columns of docs that clash with an output name are replaced.
+    Null or empty texts fail the base; repeated rows each get a row; null ids are kept as they are; an empty
+    table gives no rows. Columns of docs that clash with an output name are replaced. A very long text is
+    measured whole, its windows sorted in one row.
     """
     rows = measured(docs)
     rules = ordered(rows, list(rules or default_rules()), sample_rows)

@@ -99,7 +99,8 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, codes: int = CODES,
     meet, so a code that a third of the rows share moves few rows. Distinct codes are dealt over blocks,
     queries over cells; a task indexes one block, answers one cell of queries, and returns the ids up to
     the kth distance, ties cut by id. Null codes and ids neither ask nor answer; a repeated id counts once,
-    at its smallest distance; fewer than k rows give fewer ranks.
+    at its smallest distance; fewer than k rows give fewer ranks; without rows or without queries there are none.
+    Other columns are left out, whatever their names.
     """
     spark = rows.sparkSession
     by_id = W.partitionBy("code").orderBy("id")

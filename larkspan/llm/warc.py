@@ -152,7 +152,8 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     against the total length; then the transfer framing is decoded and the digest compared. A record with
     a missing, doubled or odd segment, wrong length, framing or digest has intact = false. One record's
     segments are gathered in a task, never those of several. Without payloads a response in one piece is
-    decoded where it is read, and only its length and digest move.
+    decoded where it is read, and only its length and digest move. A very long payload takes memory in proportion
+    to it where its record is; archives without records, and empty ones, give no rows.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
