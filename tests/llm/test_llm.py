@@ -656,6 +656,13 @@ def test_top_k_by_brute_force(spark, codes):
     assert got == want
 
 
+def test_top_k_of_empty_tables(spark):
+    rows = spark.createDataFrame([(1, 5, "x"), (2, 4, "y"), (None, 4, "z")], "id long, code long, rank string")
+    none = rows.limit(0)
+    assert topk.top_k(none, rows).collect() == topk.top_k(rows, none).collect() == topk.top_k(none, none).collect() == []
+    assert [tuple(r) for r in topk.top_k(rows, rows.where("id = 1")).collect()] == [(1, 1, 2, 1)]
+
+
 def test_ids_with_several_near_codes_count_once(spark):
     many = [(1, 1 << i) for i in range(30)] + [(0, 0), (0, 3)]
     df = spark.createDataFrame(many + [(i, (1 << 40) - (1 << (40 - i))) for i in range(5, 12)], "id long, code long")
@@ -787,9 +794,31 @@ def test_pipeline_stages(spark):
 
 
 def test_pipeline_stages_on_odd_rows(spark, odd, none):
-    for docs in (odd, none):
-        for _, stage in corpus_pipeline.STAGES:
-            assert stage(spark, docs, SF).count() >= 0
+    """Each stage's rows by value: those that its rule keeps, in all their columns."""
+    key = lambda rows: sorted((tuple(r) for r in rows), key=repr)
+    stages = dict(corpus_pipeline.STAGES)
+    given = key(odd.collect())
+    model = classifier.fit(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
+    good = [model.scores([(r[1] or "").encode()])[0] >= 0.5 for r in given]
+    assert key(stages["quality classifier"](spark, odd, SF).collect()) == [r for r, ok in zip(given, good, strict=True) if ok]
+    assert stages["quality rules"](spark, odd, SF).collect() == []  # few, repeated or one-letter words
+    prose = odd.withColumn("text", F.when(F.col("text") == ODD[4], F.lit(TEXT + OTHER)).otherwise(F.col("text")))
+    assert key(stages["quality rules"](spark, prose, SF).collect()) == [(*r[:1], TEXT + OTHER, *r[2:]) for r in given if r[1] == ODD[4]]
+    kept = key(stages["near-duplicates"](spark, odd, SF).collect())
+    prints = sorted({brute_fingerprint(t) for t in ODD})
+    group = {p: p for p in prints}  # by links of 4 bits at most, again and again
+    for _ in prints:
+        group = {p: min(group[q] for q in prints if (p ^ q).bit_count() <= 4) for p in prints}
+    assert all(r in given for r in kept)
+    assert sorted(group[brute_fingerprint(r[1])] for r in kept) == sorted(set(group.values()))
+    own = [r[:5] for r in given]  # the mix replaces an extra column named size
+    mixed = [tuple(r)[:5] for r in stages["mixing"](spark, odd, SF).collect()]
+    assert set(mixed) <= set(own) and all(mixed.count(r) <= 3 * own.count(r) for r in set(mixed))
+    ids = packing.WordIds(packing.tokenizer_path())
+    pieces = stages["packing"](spark, odd, SF).collect()
+    assert sum(r.length for r in pieces) == sum(len(ids.of(r[1] or "")) + 1 for r in given)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, SF).collect() == []
 
 
 def test_one_row_of_each_group_whatever_its_ids(spark):
