@@ -124,8 +124,8 @@ def uniform_negatives(s, d):
 
 @query
 def svm_templates(s, d):
-    """A family of SVMs, class 0 against the rest, as pairs of templates."""
-    rows = examples(s, d, True)
+    """A family of SVMs, class 0 against class 1, as pairs of templates."""
+    rows = examples(s, d, True).where("label < 2")
     mean = bits(s, d).where("label = 0").groupBy("feat").agg(F.greatest(F.lit(0.01), F.least(F.lit(0.99), F.avg("x"))).alias("p"))
     family = inv.svm_family(rows.select("x", (F.col("label") == 0).cast("int").alias("y")), (0.1, 1.0, 10.0))
     out = inv.inverted(family.withColumnRenamed("c", "cost").join(mean, "feat"), "cost")
