@@ -206,13 +206,14 @@ def background_spread(values: DataFrame) -> DataFrame:
 
 def patches(bits: DataFrame, width: int, least: int, below: int) -> DataFrame:
     """utt, start, n, cells: the bits (utt, frame, f, n: the utterance's frames) of every patch of `width`
-    frames that holds at least `least` and fewer than `below`; cells is `dt:f,...` in order. A bit goes to
+    frames that holds at least `least` and fewer than `below`; cells is `dt:f,...` in order, without null f, which count. A bit goes to
     width patches, and a patch gathers no more than its cells."""
     spread = bits.withColumn("dt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long")))).withColumn("start", F.col("frame") - F.col("dt"))
     spread = spread.where((F.col("start") >= 0) & (F.col("start") + width <= F.col("n")))
     counted = spread.groupBy("utt", "start").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("dt", "f"))).alias("_c"))
     kept = counted.where((F.col("n") >= least) & (F.col("n") < below))
-    return kept.select("utt", "start", "n", F.array_join(F.transform("_c", lambda c: F.concat_ws(":", c["dt"].cast("string"), c["f"].cast("string"))), ",").alias("cells"))
+    cells = F.array_join(F.transform("_c", lambda c: F.concat(c["dt"].cast("string"), F.lit(":"), c["f"].cast("string"))), ",")
+    return kept.select("utt", "start", "n", F.nullif(cells, F.lit("")).alias("cells"))
 
 
 def coarse_to_fine(bits: DataFrame, filters: DataFrame, key: str, factor: int, least: float) -> DataFrame:

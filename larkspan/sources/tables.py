@@ -20,8 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """utt, frame, phn, value: a user's events in time order, equal times by event_id, as an utterance of one-frame labels."""
-    order = W.partitionBy("user_id").orderBy("ts", "event_id")
+    """utt, frame, phn, value: a user's events in time order, equal times by event_id, nulls last, as an utterance of one-frame labels."""
+    order = W.partitionBy("user_id").orderBy(F.asc_nulls_last("ts"), F.asc_nulls_last("event_id"))
     return table(spark, sf_dir, "events").select(
         F.col("user_id").alias("utt"), (F.row_number().over(order) - 1).cast("long").alias("frame"), F.col("event_type").alias("phn"), "value"
     )
