@@ -5,7 +5,8 @@ tile, hashed bitmaps of the sets are held against each other; the bits that diff
 above, and only pairs that pass have their sorted arrays intersected.
 
 * Prefixes. Sets that link share one of the first floor(a / 5) + 1 shingles of each, in any order of all
-  shingles. The order is that of hashes, but a shingle that too many rows would meet in goes to the end.
+  shingles. The order is that of hashes, but shingles that too many rows hold go to the end, rarer ones first;
+  a table of fixed size tells them, from a sample of the texts, so every text's prefix is made as it is first read.
 * Bitmaps. A set of n shingles has the parities of its hashes in at least n bits. Two sets differ in at least
   as many shingles as their bitmaps, brought to one width, differ in bits; they link if they differ in a
   ninth of their sizes' sum or less.
@@ -37,6 +38,8 @@ BLOCK = 2048
 WEIGHT = 1 << 22
 #: A key with this share of all rows or more is joined by broadcast; there are at most as many as its inverse.
 OFTEN = 1 / 1000
+#: Bits of the address of a shingle in the table of levels, which every task holds: a byte each, 1 MB.
+ADDRESS = 20
 #: Bits of the address of a word in the bitmap of wanted texts, which is broadcast: 2^17 words of 64 bits at most.
 WANTED = 17
 
@@ -196,16 +199,47 @@ def identity(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
-def prints(docs: DataFrame) -> DataFrame:
+def levels(docs: DataFrame, block: int) -> np.ndarray:
+    """For each address of a shingle the eighths of an octave by which, about, over `block` texts hold the most
+    frequent shingle there, or zero.
+
+    It is counted on the texts whose hash falls in one of `block` / 64 parts, so that `block` texts are some 64 of these.
+    It serves for the order of shingles alone, which may be any, so neither this nor shared addresses lose a link."""
+    k = max(1, block // 64)
+    texts = docs.select(identity(F.col("text")).alias("t"), F.col("text").cast("binary").alias("text"))
+    once = texts.where(F.pmod(F.xxhash64("t", F.lit(1)), F.lit(k)) == 0).groupBy("t").agg(F.any_value("text").alias("text"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for x in b["text"]:
+                yield pd.DataFrame({"key": shingles(x)})
+
+    counts = once.select("text").mapInPandas(run, "key long").groupBy("key").agg((F.count("*") * k).alias("n")).where(F.col("n") > block)
+    level = F.least(F.floor(8 * F.log2(F.col("n") / block)) + 1, F.lit(255)).cast("int")
+    found = counts.groupBy(F.shiftrightunsigned("key", 64 - ADDRESS).alias("at")).agg(F.max(level).alias("level")).toArrow()
+    out = np.zeros(1 << ADDRESS, np.uint8)
+    out[found["at"].to_numpy()] = found["level"].to_numpy()
+    return out
+
+
+def first(held: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """The prefix of a sorted set: shingles at low levels come before those at higher ones, equal ones by hash."""
+    if not len(held):
+        return held
+    return held[np.argsort(level[held.view(np.uint64) >> np.uint64(64 - ADDRESS)], kind="stable")[: prefix(len(held))]]
+
+
+def prints(docs: DataFrame, block: int) -> DataFrame:
     """(doc_id, t, size, bits, keys) of docs (doc_id, text): what tells a text, its number of shingles, their
-    bitmap, and the first of their hashes."""
+    bitmap, and the first of their hashes, frequent ones last."""
+    order = docs.sparkSession.sparkContext.broadcast(levels(docs, block))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for at in range(0, len(b), 256):
                 some = b.iloc[at : at + 256]
                 sets = [shingles(x) for x in some["text"]]
-                yield some[["doc_id", "t"]].astype({"doc_id": "Int64"}).assign(size=[len(x) for x in sets], bits=[bitmap(x).tobytes() if len(x) else b"" for x in sets], keys=[x[: prefix(len(x))] if len(x) else x for x in sets])
+                yield some[["doc_id", "t"]].astype({"doc_id": "Int64"}).assign(size=[len(x) for x in sets], bits=[bitmap(x).tobytes() if len(x) else b"" for x in sets], keys=[first(x, order.value) for x in sets])
 
     rows = docs.select(F.col("doc_id").cast("long"), identity(F.col("text")).alias("t"), F.col("text").cast("binary").alias("text"))
     return rows.mapInPandas(run, "doc_id long, t binary, size long, bits binary, keys array<long>")
@@ -238,7 +272,7 @@ def exploded(keys: DataFrame) -> DataFrame:
 
 def estimated(keyed: DataFrame, block: int) -> DataFrame:
     """(key, n): about how many rows (row, key) have each key, from every kth row by hash, so that `block` rows are some
-    64 of these. It serves for the order of shingles, which may be any, and for how work is dealt."""
+    64 of these. It serves for how work is dealt."""
     k = max(1, block // 64)
     some = keyed.where(F.pmod(F.xxhash64("row", F.lit(1)), F.lit(k)) == 0)
     return some.groupBy("key").agg((F.count("*") * k).alias("n"))
@@ -252,36 +286,6 @@ def shared(keyed: DataFrame, often: DataFrame) -> DataFrame:
     return many.select("row", "key").unionByName(rest.where("_n > 1").select("row", "key"))
 
 
-def demoted(docs: DataFrame, reps: DataFrame, hot: DataFrame, block: int) -> DataFrame:
-    """(row, keys) for the rows whose prefix changes if shingles in which more than `block` rows meet go to the
-    end of the order, rare ones first.
-
-    The shingles of rows with a hot key are counted, about; those in over `block` of them are demoted, for all rows.
-    A row without any of them in its prefix keeps it, since what is behind a prefix doesn't matter to it."""
-    keyed = exploded(reps)
-    rows = written(by_share(keyed, hot, "key", OFTEN).select("row").distinct().join(reps.select("row", "t"), "row"), "jaccard-hot")
-    sets = written(sets_of(docs, rows), "jaccard-sets")
-    late = written(estimated(sets.select("row", F.explode("held").alias("key")), block).where(F.col("n") > block), "jaccard-late")
-    more = by_share(keyed, late, "key", OFTEN).select("row").distinct().join(rows.select("row"), "row", "left_anti").join(reps.select("row", "t"), "row")
-    others = written(sets_of(docs, written(more, "jaccard-hot")), "jaccard-sets")
-    read, sets = (sets, others), sets.unionByName(others)
-    every = sets.select("row", F.explode("held").alias("key"))
-    own = by_share(every, late.withColumn("often", F.col("n")), "key", OFTEN).groupBy("row").agg(F.collect_list("key").alias("late"), F.collect_list("often").alias("often"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for held, late, often in zip(b["held"], b["late"], b["often"], strict=True):
-                by = np.lexsort((late, often))
-                out.append(np.concatenate((held[~np.isin(held, late)], late[by]))[: prefix(len(held))])
-            yield pd.DataFrame({"row": b["row"].to_numpy(), "keys": out})
-
-    out = written(sets.join(own, "row").mapInPandas(run, "row long, keys array<long>"), "jaccard-new")
-    for done in read:
-        discard(done)
-    return out
-
-
 def dealt(rows: DataFrame, counts: DataFrame, by: list[str], weight: str, most: int) -> DataFrame:
     """rows (by, row, others) with cell, sorted by `by` and cell: groups of counts (by, and their weight) beyond
     `most` are dealt by hash over parts, and each two parts meet in a cell."""
@@ -390,17 +394,13 @@ def jaccard_join(docs: DataFrame, block: int = BLOCK, weight: int = WEIGHT) -> D
     takes memory in proportion to it.
     """
     docs = docs.select("doc_id", "text")
-    found = written(prints(docs), "jaccard-prints")
+    found = written(prints(docs, block), "jaccard-prints")
     full = found.where("size > 0")
     once = full.groupBy("t").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), *[F.any_value(c).alias(c) for c in ("size", "bits", "keys")])
     reps = written(once.withColumn("row", F.monotonically_increasing_id()), "jaccard-reps")
     slim = written(found.select("doc_id", "t", "size"), "jaccard-slim")
     discard(found)
     keyed = exploded(reps)
-    hot = written(estimated(keyed, block).where(F.col("n") > block), "jaccard-hot")
-    if not hot.isEmpty():
-        new = demoted(docs, reps, hot, block)
-        keyed = exploded(reps.join(new.select("row"), "row", "left_anti")).unionByName(exploded(new))
     total = reps.agg(F.sum(F.size("keys"))).first()[0] or 0
     often = written(estimated(keyed, block).where((F.col("n") > block) & (F.col("n") >= OFTEN * total)).select("key"), "jaccard-often")
     alive = written(shared(keyed, often), "jaccard-alive")

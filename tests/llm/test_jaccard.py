@@ -93,6 +93,26 @@ def test_join_by_all_pairs(spark, seed, block, weight):
     assert got(jaccard.jaccard_join(frame, block, weight)) == sorted(plain(rows), key=repr)
 
 
+def test_frequent_shingles_go_last_and_are_never_dealt_out(spark, monkeypatch):
+    """A passage in over `block` rows, and another in less: prefixes hold the rarest, and what shingles are handed on to
+    find this grows with the sample and the prefixes, not with the rows that hold frequent ones."""
+    own = lambda i, n: " ".join(f"w{i}x{j}" for j in range(n))
+    passage, other = own("p", 60), own("q", 60)
+    rows = [(i, f"{own(i, 30)} {passage}" + (f" {other}" if i % 8 == 0 else "")) for i in range(160)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    level = jaccard.levels(frame, 128)
+    at = lambda text: level[jaccard.shingles(text.encode()).view(np.uint64) >> np.uint64(64 - jaccard.ADDRESS)]
+    assert (at(passage) > 0).all() and not at(own(3, 30)).any() and not at(other).any()
+    made = {r.doc_id: set(r["keys"]) for r in jaccard.prints(frame, 128).collect()}
+    late = set(jaccard.shingles(passage.encode()).tolist())
+    assert all(keys and not keys & late for keys in made.values())
+    explain = []
+    real = jaccard.written
+    monkeypatch.setattr(jaccard, "written", lambda df, name: (explain.append(df._jdf.queryExecution().optimizedPlan().toString()), real(df, name))[1])
+    assert got(jaccard.jaccard_join(frame, 128)) == sorted(plain(rows), key=repr)
+    assert not any("explode(held" in x for x in explain)  # no row's whole set is dealt out by shingle
+
+
 def test_given_documents(spark):
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     assert got(jaccard.query(spark, "/root/testdata/sf0.001")) == sorted(plain(rows), key=repr)
