@@ -20,6 +20,8 @@ from larkspan.operators.models import tapers
 
 #: Frames of a chunk, without its overlap.
 CHUNK = 4096
+#: Frames of a chunk whose patches are coded together, and cells of the chunks that one task codes.
+PATCH_CHUNK, PATCH_CELLS = 1024, 1 << 18
 #: (frames, channels) of a step along the eight orientations: rises and falls in time, frequency and both diagonals.
 ORIENTATIONS = ((1, 0), (-1, 0), (0, 1), (0, -1), (1, 1), (-1, -1), (1, -1), (-1, 1))
 #: The orientation number of magnitude bits, beside the edges'.
@@ -305,21 +307,30 @@ def edge_features(frames: DataFrame, mode: str, block: int, q: float, spread: in
     return bits.unionByName(mags(False).withColumn("orient", F.lit(MAGNITUDE))) if mode == "both" else bits
 
 
-def code_patches(bits: DataFrame, parts: DataFrame, count: int, least: int, masked_least: int | None = None) -> DataFrame:
+def code_patches(bits: DataFrame, parts: DataFrame, count: int, least: int, masked_least: int | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """(utt, frame, freq, part) for cells whose patch of shape (frames, channels) from them on holds `least` bits:
     the part, from 1 to count, with the largest log likelihood, the lowest number on ties; other cells have
     no row. With masked_least, over so many bits must also lie where the column `masked` is true.
 
     parts (part, dt, df, orient, p) are a bank of `count` parts with a p for each place, small by its nature. Each bit meets the places of
-    a patch once, with the log odds of all parts side by side, so one shuffle sums all parts of a cell."""
+    a patch once, with the log odds of all parts side by side. Bits are dealt by chunks of frames, into as many tasks as
+    sizes (utt, frames, channels), if given, call for, with what the next chunk shares, so all bits of a patch are in one task, whose sums
+    stay as many as its cells, however long the table."""
     odds = F.ln(F.col("p") / (1 - F.col("p")))
-    own = lambda c, k: F.max(F.when(F.col("part") == k, c))
+    of = lambda c, k: F.max(F.when(F.col("part") == k, c))
     bank = parts.withColumn("_c", F.sum(F.ln(1 - F.col("p"))).over(W.partitionBy("part"))).groupBy("dt", "df", "orient")
-    bank = bank.agg(*[own(odds, k).alias(f"_w{k}") for k in range(1, count + 1)], *[own(F.col("_c"), k).alias(f"_c{k}") for k in range(1, count + 1)])
-    met = bits.join(F.broadcast(bank), "orient").withColumns({"frame": F.col("frame") - F.col("dt"), "freq": F.col("freq") - F.col("df")})  # a row a place of a patch
+    bank = bank.agg(*[of(odds, k).alias(f"_w{k}") for k in range(1, count + 1)], *[of(F.col("_c"), k).alias(f"_c{k}") for k in range(1, count + 1)])
+    cells = (sizes.agg(F.sum(F.col("frames") * F.col("channels"))).first()[0] or 0) if sizes is not None else 0
+    tasks = max(int(bits.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(cells / PATCH_CELLS))
+    reach = parts.agg(F.max("dt")).first()[0] or 0
+    own = F.floor(F.col("frame") / PATCH_CHUNK)
+    chunks = F.sequence(F.greatest(F.floor((F.col("frame") - reach) / PATCH_CHUNK), F.lit(0).cast("long")), own)
+    dealt = bits.withColumn("_chunk", F.explode(chunks)).repartition(tasks, "utt", "_chunk")
+    met = dealt.join(F.broadcast(bank), "orient").withColumns({"frame": F.col("frame") - F.col("dt"), "freq": F.col("freq") - F.col("df")})  # a row a place of a patch
+    met = met.where(F.floor(F.col("frame") / PATCH_CHUNK) == F.col("_chunk"))
     over = [F.sum(F.col("masked").cast("int")).alias("_m")] if masked_least is not None else []
     likes = [F.round(F.sum(f"_w{k}") + F.max(f"_c{k}"), 9) for k in range(1, count + 1)]
-    sums = met.groupBy("utt", "frame", "freq").agg(F.count("*").alias("_n"), *over, F.array(*likes).alias("_like"))
+    sums = met.groupBy("utt", "_chunk", "frame", "freq").agg(F.count("*").alias("_n"), *over, F.array(*likes).alias("_like"))
     sums = sums.where((F.col("_n") >= least) & (F.col("frame") >= 0) & (F.col("freq") >= 0))
     sums = sums.where(F.col("_m") > masked_least) if masked_least is not None else sums
     return sums.select("utt", "frame", "freq", F.array_position("_like", F.array_max("_like")).cast("int").alias("part"))
@@ -331,7 +342,7 @@ def part_features(bits: DataFrame, sizes: DataFrame, parts: DataFrame, count: in
 
     sizes (utt, frames, channels) tell how far patches and spreading may go."""
     dt, df = shape
-    coded = code_patches(bits, parts, count, least).join(sizes, "utt")
+    coded = code_patches(bits, parts, count, least, sizes=sizes).join(sizes, "utt")
     rows, cols = F.col("frames") - (dt - 1), F.col("channels") - (df - 1)
     coded = coded.where((F.col("frame") < rows) & (F.col("freq") < cols))
     near = coded.withColumn("_x", F.explode(F.sequence(F.lit(-reach[0]), F.lit(reach[0])))).withColumn("_y", F.explode(F.sequence(F.lit(-reach[1]), F.lit(reach[1]))))

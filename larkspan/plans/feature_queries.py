@@ -90,11 +90,14 @@ def edge_features_gated(s, d):
     return bits(s, d, "gated")
 
 
+def sizes(s: SparkSession, d: str) -> DataFrame:
+    return spectrogram_frames(s, d).groupBy("utt").agg(F.count("*").alias("frames"), F.max(F.size("S")).alias("channels"))
+
+
 @query
 def part_features(s, d):
-    sizes = spectrogram_frames(s, d).groupBy("utt").agg(F.count("*").alias("frames"), F.max(F.size("S")).alias("channels"))
     graph = s.range(1, PARTS).select(F.col("id").cast("int").alias("part"), (F.col("id") + 1).cast("int").alias("neighbour"))
-    return ft.part_features(bits(s, d, "edges"), sizes, bank(s), PARTS, SHAPE, LEAST, REACH, graph, GRID)
+    return ft.part_features(bits(s, d, "edges"), sizes(s, d), bank(s), PARTS, SHAPE, LEAST, REACH, graph, GRID)
 
 
 @query
@@ -102,7 +105,7 @@ def masked_part_code(s, d):
     """Parts of patches that hold enough bits where magnitudes are large too."""
     large = bits(s, d, "magnitude").select("utt", "frame", "freq", F.lit(True).alias("masked"))
     flagged = bits(s, d, "edges").join(large, ["utt", "frame", "freq"], "left").withColumn("masked", F.coalesce("masked", F.lit(False)))
-    return ft.code_patches(flagged, bank(s), PARTS, LEAST, masked_least=3)
+    return ft.code_patches(flagged, bank(s), PARTS, LEAST, masked_least=3, sizes=sizes(s, d))
 
 
 @query

@@ -267,3 +267,18 @@ def test_pipeline_is_saved_and_loaded(spark, tmp_path):
             for f in range(coded.shape[1]):
                 want |= {(u, t // 2, f, k) for k in set(coded[max(0, t - 1) : t + 2, max(0, f - 1) : f + 2].ravel().tolist()) - {0}}
     assert got == want and want
+
+
+def test_patches_are_coded_in_as_many_tasks_as_their_cells_call_for(spark, monkeypatch):
+    """Chunks of 8 frames whose patches reach into the next one: the same rows, in tasks of few cells."""
+    rows = [(u, t, f, (t * 5 + f * 3 + u) % 8) for u in range(3) for t in range(40) for f in range(6) if (t * 7 + f * 11 + u) % 3]
+    bits = spark.createDataFrame(rows, "utt long, frame long, freq long, orient int")
+    bank = [(k, i, j, o, ((k * 7 + i * 5 + j * 3 + o * 11) % 13 + 1) / 16) for k in (1, 2) for i in range(3) for j in range(2) for o in range(8)]
+    parts = spark.createDataFrame(bank, "part int, dt int, df int, orient int, p double")
+    sizes = spark.createDataFrame([(u, 40, 6) for u in range(3)], "utt long, frames long, channels int")
+    want = sorted(map(tuple, ft.code_patches(bits, parts, 2, 2).collect()))
+    monkeypatch.setattr(ft, "PATCH_CHUNK", 8)
+    monkeypatch.setattr(ft, "PATCH_CELLS", 40)
+    out = ft.code_patches(bits, parts, 2, 2, sizes=sizes)
+    assert sorted(map(tuple, out.collect())) == want and len(want) > 300
+    assert out.rdd.getNumPartitions() == 18
