@@ -351,7 +351,8 @@ def part_features(bits: DataFrame, sizes: DataFrame, parts: DataFrame, count: in
     near = near.where((F.col("frame") % grid[0] == 0) & (F.col("freq") % grid[1] == 0))
     out = near.select("utt", F.floor(F.col("frame") / grid[0]).alias("frame"), F.floor(F.col("freq") / grid[1]).alias("freq"), "part")
     if graph is not None:
-        out = out.unionByName(out.join(graph, "part").select("utt", "frame", "freq", F.col("neighbour").alias("part")))
+        own = graph.sparkSession.range(1, count + 1).select(F.col("id").cast("int").alias("part"), F.col("id").cast("int").alias("neighbour"))
+        out = out.join(graph.select("part", "neighbour").unionByName(own), "part").select("utt", "frame", "freq", F.col("neighbour").alias("part"))
     return out.distinct()
 
 
