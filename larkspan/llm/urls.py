@@ -1,11 +1,12 @@
-"""Operator 10: URL filters by association rules, DataFrame operations and Spark's FP-growth only."""
+"""Operator 10: URL filters by association rules, DataFrame operations only."""
 
 from __future__ import annotations
 
+import functools
+import itertools
 import math
 from collections.abc import Sequence
 
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,11 +15,12 @@ from larkspan.llm.common import by_share, table, written
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host and path) of the fixed rules.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-BAD = "=block"
 #: -log of the chance below which a rule's counts are no accident: 1e-9.
 SURE = 9 * math.log(10)
-#: A token in more than this share of the good rows, or of those of another token, tells nothing apart from them.
-NEAR = 0.9
+#: Intervals of a rule's share of bad rows; more make a closer bound.
+BARS = 12
+#: Digits of a token's number of rows in its key.
+RANK = 12
 #: A key with this share of all rows or more is joined by broadcast; there are at most as many as its inverse.
 OFTEN = 1 / 1000
 
@@ -61,37 +63,28 @@ def passes(b: Column, n: Column, rate: float, min_confidence: float) -> Column:
     return (share >= min_confidence) & (share > rate) & (n * gain >= SURE - 1e-9)
 
 
-def _counts(rows: DataFrame, *by: str) -> DataFrame:
-    """(by, n, b): rows and bad rows."""
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.count_if("bad").alias("b"))
+def _reach(rate: float, min_confidence: float, full: Column | None = None) -> Column:
+    """The most that n * gain of passes() can be for a combination whose rows are some of a group's rows (b, g: bad
+    and good ones of a token set), all of those marked full among them.
 
+    With share p, n * gain is b * log(p / rate) - g * log((1 - rate) / (1 - p)), a sum over the sets taken. For p in an
+    interval the first factor is at most its upper end's, the second at least its lower end's, so no sum exceeds
+    that of the sets that add to it. The intervals go from the least share to 1; the largest sum counts."""
+    low = min(max(min_confidence, rate), 1.0)
+    ends = [low + (1 - low) * i / BARS for i in range(BARS + 1)]
+    sums = []
+    for p, q in itertools.pairwise(ends):
+        worth = F.col("b") * math.log(q / rate) - F.col("g") * math.log((1 - rate) / max(1 - p, 1e-12))
+        taken = F.greatest(worth, F.lit(0.0))
+        sums.append(F.sum(taken if full is None else F.when(full, worth).otherwise(taken)))
+    return F.greatest(*sums)
 
-def _pairs(tokens_: Column) -> Column:
-    """Every two of a sorted array's tokens, the smaller first."""
-    with_rest = lambda t, i: F.transform(F.slice(tokens_, i + 2, F.size(tokens_)), lambda u: F.struct(t.alias("t"), u.alias("u")))
-    return F.flatten(F.transform(tokens_, with_rest))
 
-
-def told_apart(pairs: DataFrame, singles: DataFrame) -> DataFrame:
-    """(token) of singles (token, n, b) without those that nearly stand for another: of two tokens that share a
-    share NEAR of the good rows of either, the one with more bad rows, or the smaller, is kept. pairs (t, u, n, b).
-
-    Rounds: who has no better one like it among the undecided stays, and those like it go, until all are decided."""
-    g = singles.select("token", (F.col("n") - F.col("b")).alias("g"), F.struct(-F.col("b"), "token").alias("at"))
-    one, two = g.select(*[F.col(c).alias(f"{c}1") for c in g.columns]), g.select(*[F.col(c).alias(f"{c}2") for c in g.columns])
-    like = pairs.join(one, F.col("t") == F.col("token1")).join(two, F.col("u") == F.col("token2")).where((F.col("n") - F.col("b")) >= NEAR * F.greatest("g1", "g2"))
-    first = F.col("at1") < F.col("at2")
-    like = written(like.select(F.when(first, F.col("t")).otherwise(F.col("u")).alias("better"), F.when(first, F.col("u")).otherwise(F.col("t")).alias("worse")), "url-like")
-    open_, kept = like, singles.select("token").join(like.select(F.col("worse").alias("token")), "token", "left_anti")
-    while not open_.isEmpty():
-        best = open_.select(F.col("better").alias("token")).distinct().join(open_.select(F.col("worse").alias("token")), "token", "left_anti")
-        gone = written(open_.join(best, F.col("better") == F.col("token"), "left_semi").select(F.col("worse").alias("token")).distinct(), "url-gone")
-        freed = open_.join(gone, F.col("better") == F.col("token"), "left_anti").join(gone, F.col("worse") == F.col("token"), "left_anti")
-        left = freed.join(best, F.col("better") == F.col("token"), "left_anti")
-        alone = open_.select(F.col("worse").alias("token")).distinct().join(gone, "token", "left_anti").join(left.select(F.col("worse").alias("token")), "token", "left_anti")
-        kept = written(kept.unionByName(alone).distinct(), "url-kept")
-        open_ = written(left, "url-open")
-    return kept
+def _children(base: DataFrame) -> DataFrame:
+    """(x, tail, b, g) of each row's combinations longer by one token, with the tokens after it, if there are any."""
+    longer = lambda t, i: F.struct(F.concat("x", F.array(t)).alias("x"), F.slice("tail", i + 2, F.size("tail")).alias("tail"))
+    rows = base.select(F.explode(F.transform("tail", longer)).alias("_to"), "b", "g").select("_to.*", "b", "g")
+    return rows.where(F.size("tail") > 0).groupBy("x", "tail").agg(F.sum("b").alias("b"), F.sum("g").alias("g"))
 
 
 def mined(labelled: DataFrame, min_support: float, min_confidence: float) -> DataFrame:
@@ -100,59 +93,76 @@ def mined(labelled: DataFrame, min_support: float, min_confidence: float) -> Dat
     One criterion for tables of any size: of the rows with the rule's tokens at least min_confidence are bad,
     and by Chernoff's bound on the rule's own counts so many would be bad by chance, at the rate of all rows
     (or a half, if that is less), with at most 1e-9. So a rule has a number of bad rows at least (and
-    min_support of the rows, if given). A rule that contains another is left out: the shorter one matches
-    wherever it does.
-
-    Rules are found by length, so that what contains one is never counted. A token that is a rule takes no part
-    in others; neither does one that all but a tenth of the good rows hold, which tells nothing apart, nor one
-    that nearly stands for another. Pairs of the others are counted next. Longer combinations are FP-growth's,
-    over the tokens that follow a combination's first one and aren't a rule with it.
+    min_support of the rows, if given). All combinations of any length that meet it are found. A rule that contains
+    another is left out: the shorter one matches wherever it does.
+
+    Rows are kept as distinct token sets with their counts. Combinations grow by a token a round, as in FP-growth over
+    the sets that hold a combination (its base), of which only the tokens after its last one matter, rarest first. What
+    is given up on can be in no rule that is asked for:
+    - a combination with too few bad rows, or one that holds a rule;
+    - one in which a token takes no good row away: without it, it and whatever holds it have the same good rows and no
+      fewer bad ones, so that is a rule already (a token that all good rows hold is the simplest case);
+    - one whose sets, whichever are taken of them, don't reach the bound (_reach); those that hold all its further
+      tokens are always taken.
+    Time and disk grow with the combinations that remain, which can be as many as subsets of the tokens.
     """
+    spark = labelled.sparkSession
     rows, bad = labelled.agg(F.count("*"), F.count_if("bad")).first()
-    none = labelled.sparkSession.createDataFrame([], "tokens array<string>, n int")
+    none = spark.createDataFrame([], "tokens array<string>, n int")
     if not bad:
         return none
     rate = min(bad / rows, 0.5)
     least = max(math.ceil(SURE / -math.log(rate)), math.ceil(min_support * rows))
     if bad < least:
         return none
-    sure = passes(F.col("b"), F.col("n"), rate, min_confidence)
-    singles = written(_counts(labelled.select(F.explode("_tokens").alias("token"), "bad"), "token").where(F.col("b") >= least), "url-tokens")
+    sure = passes(F.col("b"), F.col("b") + F.col("g"), rate, min_confidence)
+    within = F.col("reach") >= SURE - 1e-3
+    sums = [F.sum("b").alias("b"), F.sum("g").alias("g")]
+
+    sets = labelled.groupBy("_tokens").agg(F.count_if("bad").alias("b"), (F.count("*") - F.count_if("bad")).alias("g"))
+    sets = written(sets.withColumn("_id", F.monotonically_increasing_id()), "url-labelled")
+    singles = written(sets.select(F.explode("_tokens").alias("token"), "b", "g").groupBy("token").agg(*sums).where(F.col("b") >= least), "url-tokens")
     alone = singles.where(sure).select(F.array("token").alias("tokens"), F.lit(1).alias("n"))
-    singles = written(singles.where(~sure & (F.col("n") - F.col("b") <= NEAR * (rows - bad))), "url-tokens")
-    with_id = written(labelled.withColumn("_id", F.monotonically_increasing_id()), "url-labelled")
-
-    def baskets(kept: DataFrame) -> DataFrame:
-        held = with_id.select("_id", "bad", F.explode("_tokens").alias("token")).join(kept.select("token"), "token")  # a url's tokens
-        return written(held.groupBy("_id", "bad").agg(F.array_sort(F.collect_list("token")).alias("_tokens")), "url-baskets")
-
-    count = lambda held: _counts(held.select(F.explode(_pairs(F.col("_tokens"))).alias("p"), "bad").select("p.t", "p.u", "bad"), "t", "u")
-    kept = told_apart(written(count(baskets(singles)), "url-pairs"), singles)
-    held = baskets(kept)
-    pairs = written(count(held).where((F.col("b") >= least) & sure).select("t", "u"), "url-pairs")
-    two = pairs.select(F.array("t", "u").alias("tokens"), F.lit(2).alias("n"))
-
-    # a combination is counted among the baskets of its first token, which leave out that token's rules
-    partners = pairs.groupBy("t").agg(F.collect_set("u").alias("_not"))
-    heads = held.select("bad", "_tokens", F.explode("_tokens").alias("t")).join(partners, "t", "left")
-    rest = F.filter("_tokens", lambda x: (x > F.col("t")) & ~F.array_contains(F.coalesce("_not", F.array().cast("array<string>")), x))
-    heads = heads.select("bad", "t", rest.alias("_rest")).where(F.size("_rest") > 1)
-    items = F.transform("_rest", lambda x: F.concat(F.col("t"), F.lit(" "), x))
-    items = heads.select(F.when(F.col("bad"), F.concat(items, F.array(F.lit(BAD)))).otherwise(items).alias("items"))
-    items = written(items, "url-items")
-    n = items.count()
-    if not n:
-        return alone.unionByName(two)
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / n), minConfidence=min_confidence).fit(items)
-    found = model.associationRules.where((F.col("consequent")[0] == BAD) & (F.size("antecedent") > 1))
-    found = found.withColumn("b", F.round(F.col("support") * n)).withColumn("n", F.round(F.col("b") / F.col("confidence"))).where(sure)
-    tail = F.transform("antecedent", lambda x: F.substring_index(x, " ", -1))
-    long = found.select(F.array_sort(F.concat(F.array(F.substring_index(F.col("antecedent")[0], " ", 1)), tail)).alias("tokens"))
-    long = written(long.withColumn("n", F.size("tokens")), "url-rules")
-    # those that hold a shorter rule, of two tokens or more, go; a rule is looked up by its first token
-    shorter = written(two.unionByName(long), "url-rules").select(F.col("tokens").alias("_short"), F.col("n").alias("_n"), F.col("tokens")[0].alias("t"))
-    inside = long.withColumn("t", F.explode("tokens")).join(shorter, "t").where((F.col("_n") < F.col("n")) & (F.size(F.array_except("_short", "tokens")) == 0))
-    return alone.unionByName(two).unionByName(long.join(inside.select("tokens").distinct(), "tokens", "left_anti"))
+    # a token is known by its number of rows and its name, so that arrays of them sort by rarity
+    key = F.concat(F.lpad(F.hex(F.col("b") + F.col("g")), RANK, "0"), "token")
+    open_ = written(singles.where(~sure & (F.col("g") < rows - bad)).select(key.alias("t"), "token", F.col("g").alias("gx")), "url-open")
+
+    def projected(kept: DataFrame) -> DataFrame:
+        """The sets' kept tokens: (tail, b, g)."""
+        held = sets.select("_id", "b", "g", F.explode("_tokens").alias("token")).join(kept.select("token", "t"), "token")
+        return held.groupBy("_id", "b", "g").agg(F.array_sort(F.collect_list("t")).alias("tail")).groupBy("tail").agg(*sums)
+
+    reach = projected(open_).select(F.explode("tail").alias("t"), "b", "g").groupBy("t").agg(_reach(rate, min_confidence).alias("reach"))
+    open_ = written(open_.join(reach.where(within).select("t"), "t", "left_semi"), "url-open")
+    base = written(projected(open_), "url-base")
+    if not base.agg(_reach(rate, min_confidence, F.size("tail") == open_.count()).alias("reach")).where(within).count():
+        return alone
+    base = written(_children(base.withColumn("x", F.array().cast("array<string>"))), "url-base")
+    nodes = open_.select(F.array("t").alias("x"), "gx")
+    shut, found = spark.createDataFrame([], "c array<string>"), []
+    while not base.isEmpty():
+        seen = base.select("x", F.explode("tail").alias("t"), "b", "g").groupBy("x", "t").agg(*sums, _reach(rate, min_confidence).alias("reach")).where(F.col("b") >= least)
+        seen = written(seen.join(nodes, "x").withColumn("c", F.concat("x", F.array("t"))), "url-seen")
+        without = F.transform("x", lambda e: F.concat(F.filter("x", lambda y: y != e), F.array("t")))
+        holds = seen.select(F.col("c").alias("_c"), F.explode(without).alias("c")).join(shut, "c", "left_semi").select(F.col("_c").alias("c")).distinct()
+        seen = written(seen.join(holds.withColumn("_holds", F.lit(True)), "c", "left").withColumn("_holds", F.col("_holds").isNotNull()).withColumn("_rule", sure), "url-seen")
+        found.append(seen.where("_rule AND NOT _holds").select("c"))
+        shut = seen.where("_rule OR _holds OR g = gx").select("c")
+        open_ = seen.where("NOT _rule AND NOT _holds AND g < gx").where(within)
+        nodes = open_.select(F.col("c").alias("x"), F.col("g").alias("gx"))
+        tails = open_.groupBy("x").agg(F.collect_list("t").alias("_open"))
+        base = base.join(tails, "x").select("x", F.filter("tail", lambda t: F.array_contains("_open", t)).alias("tail"), F.size("_open").alias("width"), "b", "g")
+        base = written(base.where(F.size("tail") > 0).groupBy("x", "width", "tail").agg(*sums), "url-base")
+        alive = base.where("width > 1").groupBy("x").agg(_reach(rate, min_confidence, F.size("tail") == F.col("width")).alias("reach")).where(within)
+        base = written(_children(base.join(alive.select("x"), "x", "left_semi")), "url-base")
+    if not found:
+        return alone
+    # those that hold a shorter rule go, which is looked up by its rarest token
+    keys = written(functools.reduce(DataFrame.unionByName, found), "url-rules")
+    shorter = keys.select(F.col("c").alias("_short"), F.col("c")[0].alias("t"))
+    inside = keys.withColumn("t", F.explode("c")).join(shorter, "t").where((F.size("_short") < F.size("c")) & (F.size(F.array_except("_short", "c")) == 0))
+    longer = keys.join(inside.select("c").distinct(), "c", "left_anti").select(F.array_sort(F.transform("c", lambda t: F.substring(t, RANK + 1, F.length(t)))).alias("tokens"))
+    return alone.unionByName(longer.withColumn("n", F.size("tokens")))
 
 
 def matched(sets: DataFrame, rules: DataFrame) -> DataFrame:
@@ -175,7 +185,8 @@ def url_filter(pages: DataFrame, labelled: DataFrame, min_support: float = 0.0,
     have empty parts and follow the mined rules like any other. Each row gives a row, repeats too; an empty table
     gives none. Matching works on distinct token sets, so a host with a third of the pages is matched once, and
     sets that many pages share stay where they are. A very long url takes time by the square of its frequent
-    tokens in mining, where it is labelled, and in proportion to its length elsewhere.
+    tokens in mining, where it is labelled, and more where their combinations stay open (mined()), and in proportion
+    to its length elsewhere.
     """
     rules = written(mined(labelled.select(tokens(F.col("url")).alias("_tokens"), F.coalesce("bad", F.lit(False)).alias("bad")), min_support, min_confidence), "url-kept-rules")
     rows = pages.drop("host", "path", "rule", "verdict").withColumns(parts(F.col("url")))

@@ -744,6 +744,33 @@ def test_mined_rules_are_those_of_brute_force_counts(spark):
         assert sorted(sorted(r.tokens) for r in urls.mined(frame, 0.0, 0.6).collect()) == brute_rules(rows, 0.6)
 
 
+@pytest.mark.parametrize("kind", ["most good rows hold it", "one nearly stands for another", "all good rows hold it", "both alike", "mostly bad"])
+def test_rules_of_tokens_that_nearly_all_good_rows_or_another_token_hold(spark, kind):
+    rng = random.Random(3)
+    rows, confidence = [], 0.9 if kind == "mostly bad" else 0.6
+    for _ in range(1000):
+        held = {t for t in "abcd" if rng.random() < (0.15 if t == "a" else 0.5)}
+        wrong = rng.random() < (0.6 if kind == "mostly bad" else 0.1)
+        if kind in ("most good rows hold it", "mostly bad"):  # a with w is bad, a without is good, and all others hold w
+            held |= {"w"} if "a" not in held or rng.random() < 0.5 else set()
+            wrong = "w" in held if "a" in held else wrong
+        elif kind == "one nearly stands for another":  # u and v go together, and only v with b is bad
+            held |= {"u", "v"} if rng.random() < 0.6 else set()
+            held -= {"u"} if {"b", "v"} <= held and rng.random() < 0.2 else set()
+            wrong = wrong or {"b", "v"} <= held and "u" not in held or {"c", "u"} <= held and rng.random() < 0.7
+        elif kind == "all good rows hold it":
+            wrong = wrong or {"a", "b"} <= held
+            held |= {"w"} if not wrong or rng.random() < 0.8 else set()
+        else:  # u and v are in just the same rows
+            held |= {"u", "v"} if rng.random() < 0.5 else set()
+            wrong = wrong or {"a", "u", "v"} <= held
+        rows.append((held, wrong))
+    frame = spark.createDataFrame([(sorted(t), b) for t, b in rows], "_tokens array<string>, bad boolean")
+    want = brute_rules(rows, confidence)
+    assert any(len(x) > 1 for x in want) and (kind != "most good rows hold it" or sum("w" in t for t, b in rows if not b) > 0.9 * sum(not b for _, b in rows))
+    assert sorted(sorted(r.tokens) for r in urls.mined(frame, 0.0, confidence).collect()) == want
+
+
 @pytest.mark.parametrize("kind", ["bad rows lack one", "all rows lack one", "half of all", "random among good"])
 def test_many_tokens_that_nearly_go_together_are_mined_in_seconds(spark, kind):
     """Twenty tokens, whose combinations would be a million."""
