@@ -2,16 +2,19 @@
 
 Frames are rows (utt, frame, S) with one array of channels each; frames of an utterance count from 0 without
 gaps. Bits are sparse rows (utt, frame, freq, orient). Where a frame needs its neighbours, utterances are
-dealt in chunks of frames with as much overlap as is needed, so a task never holds a whole utterance.
+dealt in chunks of frames with as much overlap as is needed, so a task never holds a whole utterance. What a
+step needs of a whole utterance (its frames, its least power) is a window's aggregate, which spills; so each step reads the one before once.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -21,7 +24,9 @@ from larkspan.operators.models import tapers
 #: Frames of a chunk, without its overlap.
 CHUNK = 4096
 #: Frames of a chunk whose patches are coded together, and cells of the chunks that one task codes.
-PATCH_CHUNK, PATCH_CELLS = 1024, 1 << 18
+PATCH_CHUNK, PATCH_CELLS = 256, 1 << 18
+#: Windows of a batch of spectra, and cells that a task's arrays hold at once.
+SPECTRA, CELLS = 1 << 14, 1 << 20
 #: (frames, channels) of a step along the eight orientations: rises and falls in time, frequency and both diagonals.
 ORIENTATIONS = ((1, 0), (-1, 0), (0, 1), (0, -1), (1, 1), (-1, -1), (1, -1), (-1, 1))
 #: The orientation number of magnitude bits, beside the edges'.
@@ -66,38 +71,48 @@ def spectra(samples: DataFrame, width: int, hop: int, length: int, multitaper: b
 
     A chunk has `size` windows; its samples, and those that its last windows share with the next, are one array."""
     tap = tapers(width, 3.0, 5) if multitaper else np.hamming(width)[None]
-    n = samples.groupBy("utt").agg(F.floor((F.count("*") - width) / hop + 0.5).alias("_windows"))
-    rows = samples.join(n, "utt").where("_windows > 0")
-    last = F.floor(F.col("frame") / (size * hop))
-    first = F.greatest(F.lit(0).cast("long"), F.ceil((F.col("frame") - width + 1 - (size - 1) * hop) / (size * hop)))
-    rows = rows.withColumn("_chunk", F.explode(F.sequence(first, F.greatest(first, last))))
-    rows = rows.where((F.col("frame") >= F.col("_chunk") * size * hop) & (F.col("frame") < F.col("_chunk") * size * hop + (size - 1) * hop + width))
-    held = rows.groupBy("utt", "_chunk").agg(F.max("_windows").alias("windows"), F.array_sort(F.collect_list(F.struct("frame", "value"))).alias("held"))
-    held = held.select("utt", F.col("_chunk").alias("chunk"), "windows", F.transform("held", lambda x: x["value"]).alias("held"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    step = size * hop  # samples from chunk to chunk; with the step after them they tell how many windows a chunk has
+    last = F.floor(F.col("frame") / step)
+    first = F.greatest(F.lit(0).cast("long"), F.ceil((F.col("frame") - step - width + 1) / step))
+    rows = samples.where("utt IS NOT NULL").withColumn("_chunk", F.explode(F.sequence(first, last)))
+    held = rows.groupBy("utt", "_chunk").agg(F.array_sort(F.collect_list(F.struct("frame", "value"))).alias("held"))
+    held = held.select("utt", F.col("_chunk").alias("chunk"), F.transform("held", lambda x: x["value"]).alias("held"))
+
+    def batch(utt: list, frame: list, power: list) -> pa.RecordBatch:
+        S = np.concatenate(power)
+        S = pa.ListArray.from_arrays(np.arange(len(S) + 1, dtype=np.int32) * S.shape[1], pa.array(S.ravel(), from_pandas=True))  # not-a-number is null
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (utt, frame)] + [S], ["utt", "frame", "S"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for utt, chunk, windows, s in zip(b["utt"], b["chunk"], b["windows"], b["held"], strict=True):
-                count = min(size, windows - chunk * size)
+            ends = np.cumsum(pc.list_value_length(b["held"]).to_numpy())
+            values = b["held"].flatten().to_numpy(zero_copy_only=False)
+            out, ready = ([], [], []), 0
+            for utt, chunk, s in zip(b["utt"].to_pylist(), b["chunk"].to_pylist(), np.split(values, ends[:-1]), strict=True):
+                count = min(size, math.floor((len(s) - width) / hop + 0.5))
                 if count <= 0:
                     continue
-                s = np.pad(np.asarray(s, float), (0, max(0, (count - 1) * hop + width - len(s))))
+                s = np.pad(s, (0, max(0, (count - 1) * hop + width - len(s))))
                 win = np.lib.stride_tricks.sliding_window_view(s, width)[::hop][:count]
-                p = (np.abs(np.fft.rfft(win[:, None, :] * tap, length, axis=2)[:, :, : length // 2]) ** 2).mean(axis=1)
-                out.append(pd.DataFrame({"utt": utt, "frame": chunk * size + np.arange(count), "S": list(p)}))
-            if out:
-                yield pd.concat(out)
+                power = (np.abs(np.fft.rfft(win[:, None, :] * tap, length, axis=2)[:, :, : length // 2]) ** 2).mean(axis=1)
+                for x, y in zip(out, (np.full(count, utt), chunk * size + np.arange(count), power), strict=True):
+                    x.append(y)
+                ready += count
+                if ready >= SPECTRA:
+                    yield batch(*out)
+                    out, ready = ([], [], []), 0
+            if ready:
+                yield batch(*out)
 
-    return held.mapInPandas(run, "utt long, frame long, S array<double>")
+    return held.mapInArrow(run, "utt long, frame long, S array<double>")
 
 
 def logged(frames: DataFrame, channels: int) -> DataFrame:
-    """The logarithms of the first channels of S; zeros take the utterance's smallest positive value, which is
-    aggregated before it moves. An utterance without any has zeros' logarithm as null."""
-    cut = frames.withColumn("S", F.slice("S", 1, channels))
-    least = cut.groupBy("utt").agg(F.min(F.array_min(F.filter("S", lambda x: x > 0))).alias("_least"))
-    out = cut.join(least, "utt")
+    """The logarithms of the first channels of S; zeros take the utterance's smallest positive value. An utterance
+    without any has zeros' logarithm as null."""
+    cut = frames.where("utt IS NOT NULL").withColumn("S", F.slice("S", 1, channels))
+    cut = cut.withColumn("_least", F.array_min(F.filter("S", lambda x: x > 0)))
+    out = cut.withColumn("_least", F.min("_least").over(W.partitionBy("utt")))
     return out.withColumn("S", F.transform("S", lambda x: F.ln(F.when(x > 0, x).otherwise(F.col("_least"))))).drop("_least")
 
 
@@ -142,6 +157,72 @@ def smoothed(frames: DataFrame, along_freq: Sequence[float], along_time: Sequenc
     return out.drop("S", "_chunk", "_own", *[f"_s{i}" for i in range(m)]).withColumnRenamed("_out", "S")
 
 
+def _arrays() -> tuple[Callable, ...]:
+    """The array work of edges and bits, as functions that travel to workers with the closures that call them."""
+
+    def dense(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Lists as rows of the longest one's length: their values, which of them there are, and their lengths (no list: -1)."""
+        n = pc.fill_null(pc.list_value_length(lists), -1).to_numpy(zero_copy_only=False)
+        flat = lists.flatten()
+        slot = np.arange(max(n.max(initial=0), 0)) < n[:, None]
+        values, there = np.full(slot.shape, np.nan), np.zeros(slot.shape, bool)
+        values[slot] = flat.to_numpy(zero_copy_only=False)
+        there[slot] = flat.is_valid().to_numpy(zero_copy_only=False)
+        return values, there, n
+
+    def steps(near: Sequence[tuple[np.ndarray, np.ndarray]], height: np.ndarray) -> np.ndarray:
+        """edge_map's E (rows, 8, channels) of rows of channels, given as (values, which of them there are) for the frame
+        before, the frame itself, and two behind. Values that aren't there have no steps; not-a-number is the largest, as in Spark."""
+        p, a, b, c = near
+        width = a[0].shape[-1]
+        inner = (np.arange(width) >= 1) & (np.arange(width) <= height[..., None] - 3)
+
+        def at(x, k):
+            values, there = np.full_like(x[0], np.nan), np.zeros_like(x[1])
+            to, of = (slice(0, max(width - k, 0)), slice(k, None)) if k >= 0 else (slice(-k, None), slice(0, max(width + k, 0)))
+            values[..., to], there[..., to] = x[0][..., of], x[1][..., of]
+            return values, there
+
+        minus = lambda x, y: (x[0] - y[0], x[1] & y[1])
+        least = lambda x, y: x[1] & y[1] & ((x[0] >= y[0]) | np.isnan(x[0]))
+        zero = (np.zeros(1), np.ones(1, bool))
+        lines = [
+            (minus(b, a), minus(a, p), minus(c, b), True),
+            (minus(at(a, 1), a), minus(a, at(a, -1)), minus(at(a, 2), at(a, 1)), inner),
+            (minus(at(b, 1), a), minus(a, at(p, -1)), minus(at(c, 2), at(b, 1)), inner),
+            (minus(b, at(a, 1)), minus(at(a, 1), at(p, 2)), minus(at(c, -1), b), inner),
+        ]
+        sides = []
+        for step, before, behind, ok in lines:
+            sides.append(np.where(least(step, before) & least(step, behind) & least(step, zero) & ok, step[0], 0.0))
+            sides.append(np.where(least(before, step) & least(behind, step) & least(zero, step) & ok, -step[0], 0.0))
+        return np.stack(sides, axis=-2)
+
+    def lit(E: np.ndarray, height: np.ndarray, first: np.ndarray, last: np.ndarray, q: float, spread: int, least: np.ndarray) -> tuple[np.ndarray, ...]:
+        """edge_bits of blocks' E (blocks, frames, 8, channels): block, frame in it from first to before last, orientation, channel."""
+        blocks, frames, _, width = E.shape
+        positive = (E > 0) | np.isnan(E)
+        ranked = np.sort(np.where(positive, E, np.nan).transpose(0, 2, 1, 3).reshape(blocks, 8, -1), axis=2)
+        n = positive.sum(axis=(1, 3))
+        at = np.floor(q * n).astype(int)
+        bar = np.take_along_axis(ranked, np.clip(at, 0, frames * width - 1)[..., None], axis=2)[..., 0]
+        bar = np.where((at >= 0) & (at < n), np.maximum(bar, least), least)
+        on = positive & ((E >= bar[:, None, :, None]) | np.isnan(E))
+        out = np.zeros_like(on)
+        f = np.arange(width)
+        shift = lambda k, size: (slice(max(k, 0), max(size + min(k, 0), 0)), slice(max(-k, 0), max(size - max(k, 0), 0)))
+        for o, (dt, df) in enumerate(ORIENTATIONS):
+            for k in range(-spread, spread + 1):
+                inside = (f + k * df >= 0) & (f + k * df < height[..., None])
+                (to, of), (up, low) = shift(k * dt, frames), shift(k * df, width)
+                out[:, to, o, up] |= (on[:, :, o] & inside)[:, of, low]
+        t = np.arange(frames)
+        out &= ((t >= first[:, None]) & (t < last[:, None]))[:, :, None, None]
+        return np.nonzero(out)
+
+    return dense, steps, lit
+
+
 def edge_map(frames: DataFrame, size: int = CHUNK) -> DataFrame:
     """frames (utt, frame, S) with E, eight arrays of channels: for each of ORIENTATIONS the step of S along it,
     where it is at least as large as the steps before and behind on the same line and not negative; zero
@@ -149,30 +230,21 @@ def edge_map(frames: DataFrame, size: int = CHUNK) -> DataFrame:
     rows = chunked(frames, 1, 2, size)
     w = _in_chunk()
     rows = rows.select("*", F.lag("S").over(w).alias("_p"), F.lead("S").over(w).alias("_b"), F.lead("S", 2).over(w).alias("_c")).where("_own")
-    p, a, b, c = (F.col(x) for x in ("_p", "S", "_b", "_c"))
-    height = F.size("S")
-    timed = p.isNotNull() & c.isNotNull()
-
-    def line(i: Column, step: Column, before: Column, behind: Column, ok: Column) -> list[Column]:
-        rise = ok & (step >= before) & (step >= behind) & (step >= 0)
-        fall = ok & (step <= before) & (step <= behind) & (step <= 0)
-        return [F.when(rise, step).otherwise(0.0), F.when(fall, -step).otherwise(0.0)]
-
-    def both(i: Column, which: int) -> list[Column]:
-        inner = (i >= 1) & (i <= height - 3)
-        up = lambda x, k=1: _at(x, F.when(inner, i + k))
-        if which == 0:
-            return line(i, _at(b, i) - _at(a, i), _at(a, i) - _at(p, i), _at(c, i) - _at(b, i), timed)
-        if which == 1:
-            return line(i, up(a) - _at(a, i), _at(a, i) - up(a, -1), up(a, 2) - up(a), inner)
-        if which == 2:
-            return line(i, up(b) - _at(a, i), _at(a, i) - up(p, -1), up(c, 2) - up(b), inner & timed)
-        return line(i, _at(b, i) - up(a), up(a) - up(p, 2), up(c, -1) - _at(b, i), inner & timed)
+    dense, steps, _ = _arrays()
 
-    def one(which: int, side: int) -> Column:
-        return F.transform(F.sequence(F.lit(0), height - 1), lambda i: both(i, which)[side])
+    @F.arrow_udf("array<array<double>>")
+    def run(p: pa.Array, a: pa.Array, b: pa.Array, c: pa.Array) -> pa.Array:
+        given = [dense(x) for x in (p, a, b, c)]
+        height = given[1][2]
+        width = max(x[0].shape[1] for x in given)
+        wide = [[np.pad(y, ((0, 0), (0, width - y.shape[1]))) for y in x[:2]] for x in given]
+        with np.errstate(invalid="ignore"):
+            E = steps(wide, height)
+        n = np.repeat(np.maximum(height, 0), 8)
+        inner = pa.ListArray.from_arrays(np.append(0, np.cumsum(n)).astype(np.int32), E.reshape(-1, width)[np.arange(width) < n[:, None]], mask=pa.array(np.repeat(height < 0, 8)))
+        return pa.ListArray.from_arrays(np.arange(len(a) + 1, dtype=np.int32) * 8, inner)
 
-    return rows.withColumn("E", F.array(*[one(o // 2, o % 2) for o in range(8)])).drop("_p", "_b", "_c", "_chunk", "_own")
+    return rows.withColumn("E", run("_p", "S", "_b", "_c")).drop("_p", "_b", "_c", "_chunk", "_own")
 
 
 def edge_steps(frames: DataFrame, size: int = CHUNK) -> DataFrame:
@@ -211,34 +283,73 @@ def gated(edges: DataFrame, bits: DataFrame) -> DataFrame:
 
 
 def edge_bits(edges: DataFrame, block: int, q: float, spread: int = 0, least: Sequence[float] = (0.0,) * 8) -> DataFrame:
-    """Distinct (utt, frame, freq, orient) of edges (utt, frame, E).
+    """Distinct (utt, frame, freq, orient) of edges (utt, frame, E), or of frames (utt, frame, S), whose edge_map is made by the way.
 
     In each block of frames and each orientation the positive values are ranked; the bits are those at or above
     the one of 0-based rank int(q n), and at or above `least`. They spread along their orientation both ways within
-    the block. A partial last block takes the utterance's last `block` frames for its ranks and its spreading."""
-    n = edges.groupBy("utt").agg(F.count("*").alias("_n"))
-    rows = edges.select("utt", "frame", "E").join(n, "utt")
+    the block. A partial last block takes the utterance's last `block` frames for its ranks and its spreading.
+
+    A block is one row for the arrays' work, so the input is read once. If there are columns frames and channels, the
+    utterance's size, bits have them too."""
+    made = "E" in edges.columns
+    ahead, behind = (0, 0) if made else (1, 2)  # frames beside a block that its steps need
+    sized = [x for x in ("frames", "channels") if x in edges.columns]
+    rows = edges.where("utt IS NOT NULL")
+    n = F.col("frames") if "frames" in sized else F.count("*").over(W.partitionBy("utt"))
+    rows = rows.select("utt", "frame", F.col("E" if made else "S").alias("x"), *sized, n.alias("_n"))
     whole = F.floor(F.col("_n") / block)
-    own = F.floor(F.col("frame") / block)
-    tail = (F.col("_n") % block != 0) & (F.col("frame") >= F.col("_n") - block)
-    groups = F.array_compact(F.array(F.when(own < whole, own), F.when(tail, F.lit(-1).cast("long"))))
-    rows = rows.withColumn("_g", F.explode(groups))
-    values = rows.select("utt", "_g", F.posexplode("E").alias("orient", "x")).groupBy("utt", "_g", "orient")
-    ranked = values.agg(F.array_sort(F.filter(F.flatten(F.collect_list("x")), lambda v: v > 0)).alias("v"))  # a block's values
-    floor = F.element_at(F.array(*[F.lit(float(x)) for x in least]), F.col("orient") + 1)
-    at = F.get("v", F.floor(F.lit(float(q)) * F.size("v")).cast("int"))
-    bars = ranked.where(F.size("v") > 0).select("utt", "_g", "orient", F.greatest(at, floor).alias("_bar"))
-    cells = rows.select("utt", "_g", "frame", "_n", F.posexplode("E").alias("orient", "x")).join(bars, ["utt", "_g", "orient"])
-    height = F.size("x")
-    bits = cells.select("utt", "_g", "frame", "_n", "orient", height.alias("_h"), "_bar", F.posexplode("x").alias("freq", "v")).where((F.col("v") > 0) & (F.col("v") >= F.col("_bar")))
-    if spread:
-        step = lambda part: F.element_at(F.array(*[F.lit(o[part]) for o in ORIENTATIONS]), F.col("orient") + 1)
-        bits = bits.withColumn("_k", F.explode(F.sequence(F.lit(-spread), F.lit(spread))))
-        bits = bits.withColumns({"frame": F.col("frame") + F.col("_k") * step(0), "freq": F.col("freq") + F.col("_k") * step(1)})
-    first = F.when(F.col("_g") >= 0, F.col("_g") * block).otherwise(F.floor(F.col("_n") / block) * block)
-    last = F.when(F.col("_g") >= 0, F.col("_g") * block + block).otherwise(F.col("_n"))
-    inside = (F.col("frame") >= first) & (F.col("frame") < last) & (F.col("freq") >= 0) & (F.col("freq") < F.col("_h"))
-    return bits.where(inside).select("utt", "frame", F.col("freq").cast("long").alias("freq"), "orient").distinct()
+    low = F.greatest(F.floor((F.col("frame") - behind) / block), F.lit(0).cast("long"))
+    high = F.least(F.floor((F.col("frame") + ahead) / block), whole - 1)
+    tail = (F.col("_n") % block != 0) & (F.col("frame") >= F.col("_n") - block - ahead)
+    groups = F.concat(F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>")), F.when(tail, F.array(F.lit(-1).cast("long"))).otherwise(F.array().cast("array<bigint>")))
+    held = rows.withColumn("_g", F.explode(groups)).groupBy("utt", "_g", "_n", *sized).agg(F.collect_list(F.struct("frame", "x")).alias("held"))
+    start = F.when(F.col("_g") >= 0, F.col("_g") * block).otherwise(F.greatest(F.col("_n") - block, F.lit(0).cast("long")))
+    first = F.when(F.col("_g") >= 0, start).otherwise(whole * block)
+    last = F.when(F.col("_g") >= 0, start + block).otherwise(F.col("_n"))
+    bars = np.array([float(x) for x in least])
+    dense, steps, lit = _arrays()
+
+    def some(held: pa.Array, start: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
+        of = np.repeat(np.arange(len(held)), pc.list_value_length(held).to_numpy(zero_copy_only=False))
+        frame, x = (held.flatten().field(k) for k in (0, 1))
+        at = (of, frame.to_numpy() - start[of] + ahead)
+        if made:
+            values, there, height = dense(x.flatten())  # eight a frame, or none
+            full = x.is_valid().to_numpy(zero_copy_only=False)
+            at, height = tuple(a[full] for a in at), height[::8]
+            values = np.where(there, values, 0.0).reshape(-1, 8, values.shape[1])
+            E = np.zeros((len(held), block, *values.shape[1:]))
+            E[at] = values
+        else:
+            values, there, height = dense(x)
+            S, seen = np.full((len(held), block + ahead + behind, values.shape[1]), np.nan), np.zeros((len(held), block + ahead + behind, values.shape[1]), bool)
+            S[at], seen[at] = values, there
+        heights = np.zeros((len(held), block + ahead + behind), int)
+        heights[at] = height
+        heights = heights[:, ahead : ahead + block]
+        if not made:
+            E = steps([(S[:, k : k + block], seen[:, k : k + block]) for k in range(4)], heights)
+        if not E.shape[-1]:
+            return [np.zeros(0, int)] * 4
+        g, t, o, f = lit(E, heights, first - start, last - start, q, spread, bars)
+        return [g, start[g] + t, f, o]
+
+    @F.arrow_udf("array<struct<frame: bigint, freq: bigint, orient: int>>")
+    def run(held: pa.Array, start: pa.Array, first: pa.Array, last: pa.Array) -> pa.Array:
+        begin = [x.to_numpy() for x in (start, first, last)]
+        longest = pc.max(pc.list_value_length(held.flatten().field(1).flatten() if made else held.flatten().field(1))).as_py() or 1
+        step = max(1, CELLS // (8 * block * longest))
+        found = []
+        for i in range(0, len(held), step):
+            with np.errstate(invalid="ignore"):
+                g, *cells = some(held[i : i + step], *[x[i : i + step] for x in begin])
+            found.append([g + i, *cells])
+        g, frame, freq, orient = (np.concatenate(x) for x in zip(*found, strict=True))
+        cells = pa.StructArray.from_arrays([pa.array(frame.astype(np.int64)), pa.array(freq.astype(np.int64)), pa.array(orient.astype(np.int32))], ["frame", "freq", "orient"])
+        return pa.ListArray.from_arrays(np.append(0, np.cumsum(np.bincount(g, minlength=len(held)))).astype(np.int32), cells)
+
+    bits = held.withColumn("_bit", F.explode(run("held", start, first, last)))
+    return bits.select("utt", *[F.col(f"_bit.{x}").alias(x) for x in ("frame", "freq", "orient")], *sized)
 
 
 def magnitude_bits(frames: DataFrame, block: int, q: float, by_channel: bool = True, spread: int = 1, smooth: int = 0, every: int = 1) -> DataFrame:
@@ -294,17 +405,16 @@ def magnitude_bits(frames: DataFrame, block: int, q: float, by_channel: bool = T
 
 def edge_features(frames: DataFrame, mode: str, block: int, q: float, spread: int, least: Sequence[float] = (0.0,) * 8, mag_block: int = 32, mag_q: float = 0.7, mag_spread: int = 1, mag_smooth: int = 0, mag_every: int = 1) -> DataFrame:
     """(utt, frame, freq, orient) by one of four modes: 'edges'; 'magnitude', where all bits have the orientation
-    MAGNITUDE; 'both'; and 'gated', where edges count only where the magnitude of all channels together is large."""
+    MAGNITUDE; 'both'; and 'gated', where edges count only where the magnitude of all channels together is large.
+    Bits of edges alone have the columns frames and channels, the size of the utterance, if frames have."""
     mags = lambda by_channel: magnitude_bits(frames, mag_block, mag_q, by_channel, mag_spread, mag_smooth, mag_every)
     if mode == "magnitude":
         return mags(True).withColumn("orient", F.lit(MAGNITUDE))
     if mode not in ("edges", "both", "gated"):
         raise ValueError(f"no such mode: {mode}")
-    edges = edge_map(frames)
-    if mode == "gated":
-        edges = gated(edges, mags(False))
+    edges = gated(edge_map(frames), mags(False)) if mode == "gated" else frames
     bits = edge_bits(edges, block, q, spread, least)
-    return bits.unionByName(mags(False).withColumn("orient", F.lit(MAGNITUDE))) if mode == "both" else bits
+    return bits.select("utt", "frame", "freq", "orient").unionByName(mags(False).withColumn("orient", F.lit(MAGNITUDE))) if mode == "both" else bits
 
 
 def code_patches(bits: DataFrame, parts: DataFrame, count: int, least: int, masked_least: int | None = None, sizes: DataFrame | None = None) -> DataFrame:
@@ -312,37 +422,74 @@ def code_patches(bits: DataFrame, parts: DataFrame, count: int, least: int, mask
     the part, from 1 to count, with the largest log likelihood, the lowest number on ties; other cells have
     no row. With masked_least, over so many bits must also lie where the column `masked` is true.
 
-    parts (part, dt, df, orient, p) are a bank of `count` parts with a p for each place, small by its nature. Each bit meets the places of
-    a patch once, with the log odds of all parts side by side. Bits are dealt by chunks of frames, into as many tasks as
-    sizes (utt, frames, channels), if given, call for, with what the next chunk shares, so all bits of a patch are in one task, whose sums
-    stay as many as its cells, however long the table."""
+    parts (part, dt, df, orient, p) are a bank of `count` parts with a p for each place, small by its nature. Bits are dealt by
+    chunks of frames, into as many tasks as sizes (utt, frames, channels), if given, call for, with what the next chunk shares, so
+    all bits of a patch are in one row for the arrays' work, however long the table. Without sizes, bits may have the columns frames and
+    channels, which their cells then have too."""
     odds = F.ln(F.col("p") / (1 - F.col("p")))
-    of = lambda c, k: F.max(F.when(F.col("part") == k, c))
-    bank = parts.withColumn("_c", F.sum(F.ln(1 - F.col("p"))).over(W.partitionBy("part"))).groupBy("dt", "df", "orient")
-    bank = bank.agg(*[of(odds, k).alias(f"_w{k}") for k in range(1, count + 1)], *[of(F.col("_c"), k).alias(f"_c{k}") for k in range(1, count + 1)])
-    cells = (sizes.agg(F.sum(F.col("frames") * F.col("channels"))).first()[0] or 0) if sizes is not None else 0
-    tasks = max(int(bits.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(cells / PATCH_CELLS))
-    reach = parts.agg(F.max("dt")).first()[0] or 0
-    own = F.floor(F.col("frame") / PATCH_CHUNK)
-    chunks = F.sequence(F.greatest(F.floor((F.col("frame") - reach) / PATCH_CHUNK), F.lit(0).cast("long")), own)
-    dealt = bits.withColumn("_chunk", F.explode(chunks)).repartition(tasks, "utt", "_chunk")
-    met = dealt.join(F.broadcast(bank), "orient").withColumns({"frame": F.col("frame") - F.col("dt"), "freq": F.col("freq") - F.col("df")})  # a row a place of a patch
-    met = met.where(F.floor(F.col("frame") / PATCH_CHUNK) == F.col("_chunk"))
-    over = [F.sum(F.col("masked").cast("int")).alias("_m")] if masked_least is not None else []
-    likes = [F.round(F.sum(f"_w{k}") + F.max(f"_c{k}"), 9) for k in range(1, count + 1)]
-    sums = met.groupBy("utt", "_chunk", "frame", "freq").agg(F.count("*").alias("_n"), *over, F.array(*likes).alias("_like"))
-    sums = sums.where((F.col("_n") >= least) & (F.col("frame") >= 0) & (F.col("freq") >= 0))
-    sums = sums.where(F.col("_m") > masked_least) if masked_least is not None else sums
-    return sums.select("utt", "frame", "freq", F.array_position("_like", F.array_max("_like")).cast("int").alias("part"))
-
-
-def part_features(bits: DataFrame, sizes: DataFrame, parts: DataFrame, count: int, shape: tuple[int, int], least: int, reach: tuple[int, int], graph: DataFrame | None = None, grid: tuple[int, int] = (1, 1)) -> DataFrame:
+    bank = parts.select("part", "dt", "df", "orient", odds.alias("w"), F.sum(F.ln(1 - F.col("p"))).over(W.partitionBy("part")).alias("c")).toPandas()
+    reach, freqs, orients = (int(bank[x].max() or 0) + 1 if len(bank) else 1 for x in ("dt", "df", "orient"))
+    weights, known, base = np.zeros((reach, freqs, orients, count)), np.zeros((reach, freqs, orients), bool), np.full(count, -np.inf)
+    at = tuple(bank[x].to_numpy(int) for x in ("dt", "df", "orient"))
+    weights[(*at, bank["part"].to_numpy(int) - 1)], known[at] = bank["w"].fillna(0.0), True
+    base[bank["part"].to_numpy(int) - 1] = bank["c"]
+    size, reach = PATCH_CHUNK, reach - 1
+    sized = [x for x in ("frames", "channels") if x in bits.columns] if sizes is None else []
+    chunks = F.sequence(F.greatest(F.floor((F.col("frame") - reach) / size), F.lit(0).cast("long")), F.floor(F.col("frame") / size))
+    dealt = bits.withColumn("_chunk", F.explode(chunks))
+    if sizes is not None:
+        cells = sizes.agg(F.sum(F.col("frames") * F.col("channels"))).first()[0] or 0
+        dealt = dealt.repartition(max(int(bits.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(cells / PATCH_CELLS)), "utt", "_chunk")
+    masked = F.col("masked").cast("long") if masked_least is not None else F.lit(0).cast("long")
+    code = (F.col("frame") - F.col("_chunk") * size) * F.lit(1 << 40) + F.col("freq") * F.lit(1 << 8) + F.col("orient") * F.lit(2) + masked  # one number a bit
+    held = dealt.groupBy("utt", "_chunk", *sized).agg(F.collect_list(code).alias("held"))
+
+    def some(of: np.ndarray, code: np.ndarray, groups: int) -> list[np.ndarray]:
+        order = np.lexsort((code, of))
+        of, code = of[order], code[order]
+        t, f, o, over = code >> 40, (code >> 8) & ((1 << 32) - 1), (code >> 1) & 127, code & 1
+        last = (min(int(t.max(initial=0)) + 1, size), int(f.max(initial=0)) + 1)
+        n, mask, like = np.zeros(groups * last[0] * last[1]), np.zeros(groups * last[0] * last[1]), np.zeros((count, groups * last[0] * last[1]))
+        for dt, df in np.ndindex(reach + 1, freqs):
+            ok = (o < orients) & (t >= dt) & (t - dt < size) & (f >= df)
+            ok[ok] = known[dt, df, o[ok]]
+            cell = (of[ok] * last[0] + t[ok] - dt) * last[1] + f[ok] - df
+            n += np.bincount(cell, minlength=len(n))
+            if masked_least is not None:
+                mask += np.bincount(cell, over[ok], minlength=len(n))
+            for k in range(count):
+                like[k] += np.bincount(cell, weights[dt, df, o[ok], k], minlength=len(n))
+        cell = np.flatnonzero((n >= max(least, 1)) & (mask > masked_least if masked_least is not None else True))
+        part = np.argmax(np.round(like[:, cell] + base[:, None], 9), axis=0) + 1
+        return [cell // (last[0] * last[1]), cell // last[1] % last[0], cell % last[1], part]
+
+    @F.arrow_udf("array<struct<frame: bigint, freq: bigint, part: int>>")
+    def run(held: pa.Array, chunk: pa.Array) -> pa.Array:
+        code = held.flatten().to_numpy(zero_copy_only=False)
+        ends = np.append(0, np.cumsum(pc.list_value_length(held).to_numpy(zero_copy_only=False)))
+        width = int(((code >> 8) & ((1 << 32) - 1)).max(initial=0)) + 1
+        step = max(1, CELLS // (min(int((code >> 40).max(initial=0)) + 1, size) * width))
+        found = []
+        for i in range(0, len(held), step):
+            j = min(i + step, len(held))
+            g, *cells = some(np.repeat(np.arange(j - i), np.diff(ends[i : j + 1])), code[ends[i] : ends[j]], j - i)
+            found.append([g + i, *cells])
+        g, t, f, part = (np.concatenate(x) for x in zip(*found, strict=True))
+        cells = pa.StructArray.from_arrays([pa.array((t + chunk.to_numpy()[g] * size).astype(np.int64)), pa.array(f.astype(np.int64)), pa.array(part.astype(np.int32))], ["frame", "freq", "part"])
+        return pa.ListArray.from_arrays(np.append(0, np.cumsum(np.bincount(g, minlength=len(held)))).astype(np.int32), cells)
+
+    out = held.withColumn("_cell", F.explode(run("held", "_chunk")))
+    return out.select("utt", *[F.col(f"_cell.{x}").alias(x) for x in ("frame", "freq", "part")], *sized)
+
+
+def part_features(bits: DataFrame, sizes: DataFrame | None, parts: DataFrame, count: int, shape: tuple[int, int], least: int, reach: tuple[int, int], graph: DataFrame | None = None, grid: tuple[int, int] = (1, 1)) -> DataFrame:
     """Distinct (utt, frame, freq, part): parts coded, spread over a box, joined by their neighbours in a graph (part,
     neighbour), and kept at every grid-th frame and channel, which are numbered anew.
 
-    sizes (utt, frames, channels) tell how far patches and spreading may go."""
+    sizes (utt, frames, channels) tell how far patches and spreading may go; without them, bits have their columns frames and channels."""
     dt, df = shape
-    coded = code_patches(bits, parts, count, least, sizes=sizes).join(sizes, "utt")
+    coded = code_patches(bits, parts, count, least, sizes=sizes)
+    coded = coded.join(sizes, "utt") if sizes is not None else coded.where("utt IS NOT NULL")
     rows, cols = F.col("frames") - (dt - 1), F.col("channels") - (df - 1)
     coded = coded.where((F.col("frame") < rows) & (F.col("freq") < cols))
     near = coded.withColumn("_x", F.explode(F.sequence(F.lit(-reach[0]), F.lit(reach[0])))).withColumn("_y", F.explode(F.sequence(F.lit(-reach[1]), F.lit(reach[1]))))

@@ -8,6 +8,7 @@ from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from larkspan.operators import features as ft
 
@@ -85,7 +86,11 @@ class EdgeFeatures(_Step):
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         get = self.value
+        utt = W.partitionBy("utt")
+        dataset = dataset.withColumns({"frames": F.count("*").over(utt), "channels": F.max(F.size("S")).over(utt).cast("long")})
         bits = ft.edge_features(dataset, get("mode"), get("block"), get("quantile"), get("spread"), get("least"), get("magnitudeBlock"), get("magnitudeQuantile"), get("magnitudeSpread"))
+        if "frames" in bits.columns:
+            return bits
         sizes = dataset.groupBy("utt").agg(F.count("*").alias("frames"), F.max(F.size("S")).cast("long").alias("channels"))
         return bits.join(sizes, "utt")
 
@@ -105,5 +110,4 @@ class PartFeatures(_Step):
         spark = dataset.sparkSession
         places = [(k + 1, i, j, o) for k in range(count) for i in range(dt) for j in range(df) for o in range(orients)]
         parts = spark.createDataFrame([(*at, p) for at, p in zip(places, self.value("probabilities"), strict=True)], "part int, dt int, df int, orient int, p double")
-        sizes = dataset.groupBy("utt").agg(F.max("frames").alias("frames"), F.max("channels").alias("channels"))
-        return ft.part_features(dataset, sizes, parts, count, (dt, df), self.value("least"), tuple(self.value("reach")), None, tuple(self.value("grid")))
+        return ft.part_features(dataset, None, parts, count, (dt, df), self.value("least"), tuple(self.value("reach")), None, tuple(self.value("grid")))

@@ -282,3 +282,23 @@ def test_patches_are_coded_in_as_many_tasks_as_their_cells_call_for(spark, monke
     out = ft.code_patches(bits, parts, 2, 2, sizes=sizes)
     assert sorted(map(tuple, out.collect())) == want and len(want) > 300
     assert out.rdd.getNumPartitions() == 18
+
+
+def test_signal_features_reads_its_samples_once(spark, tmp_path):
+    """Each step reads the one before once, so samples are scanned once; before, steps that needed an utterance's size read everything again."""
+    from larkspan.plans import feature_queries as fq
+
+    rng = np.random.default_rng(11)
+    rows = [(u, t, float(x)) for u, n in {1: 90, 2: 40}.items() for t, x in enumerate(rng.normal(size=n))]
+    spark.createDataFrame(rows, "utt long, frame long, value double").write.parquet(str(tmp_path / "s"))
+    samples = spark.read.parquet(str(tmp_path / "s"))
+    out = fq.signal_pipeline().fit(samples).transform(samples)
+    assert out._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert {u for u, *_ in cells_of(out, "part")} == {1, 2}
+
+
+def test_spectra_of_missing_samples_are_null(spark):
+    """Windows with a null sample, over several chunks: null power, which takes the least power in logged."""
+    rows = [(1, t, None if t == 30 else float(t * t % 7 + 1)) for t in range(90)]
+    power = arrays_of(ft.spectra(spark.createDataFrame(rows, "utt long, frame long, value double"), 16, 4, 32, size=5))[1]
+    assert [w for w, s in enumerate(power.tolist()) if None in s or np.isnan(np.array(s, float)).any()] == [w for w in range(18) if w * 4 <= 30 < w * 4 + 16]
