@@ -132,7 +132,8 @@ def smoothed(frames: DataFrame, along_freq: Sequence[float], along_time: Sequenc
         total = F.lit(0.0)
         for j, g in taps:
             x = i * every + j - lead
-            total = total + F.lit(g) * F.when((x >= 0) & (x < F.size("S")), _at(F.col("S"), x)).otherwise(0.0)
+            inside = _at(F.col("S"), x) if mode == "valid" else F.when((x >= 0) & (x < F.size("S")), _at(F.col("S"), x)).otherwise(0.0)
+            total = total + F.lit(g) * inside
         return total
 
     kept = F.ceil(count / every).cast("int")
